@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q = 8
+Q = 10
 _SEPARATORS = re.compile(r"[\W_]+")
 _U = np.uint64
 OUTPUT = "doc_id long, item_id long, begin long, end long, edits long, item_chars long"
@@ -35,13 +35,15 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def qgrams(chars: np.ndarray, q: int = Q) -> np.ndarray:
-    """64-bit value of the q-gram (q: 2, 4 or 8) at each position; equal for q <= 8 Latin-1 characters only if equal."""
-    value, width = (chars ^ (chars >> np.uint32(8)) * np.uint32(0x9D)).astype(_U) & _U(0xFF), 1
-    while width < q:
-        value = (value[:-width] << _U(8 * width)) | value[width:] if len(value) > width else value[:0]
-        width *= 2
-    return value
+def qgrams(chars: np.ndarray) -> np.ndarray:
+    """A 64-bit value of the Q-gram at each position: eight characters packed, the last two mixed in."""
+    if len(chars) < Q:
+        return np.empty(0, _U)
+    two = (chars ^ (chars >> np.uint32(8)) * np.uint32(0x9D)).astype(_U) & _U(0xFF)
+    two = (two[:-1] << _U(8)) | two[1:]
+    four = (two[:-2] << _U(16)) | two[2:]
+    eight = (four[:-4] << _U(32)) | four[4:]
+    return eight[:-2] + two[8:] * _U(0x9E3779B97F4A7C15)
 
 
 def _slot(grams: np.ndarray, bits: int) -> np.ndarray:
@@ -53,13 +55,13 @@ class Items:
 
     BITS = 20
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, q: int = Q):
-        self.q, self.rate = q, rate
+    def __init__(self, items: list[tuple[int, str]], rate: float):
         self.ids = [i for i, _ in items]
         self.chars = [codes(normalise(t)) for _, t in items]
         self.budget = np.array([int(rate * len(c)) for c in self.chars], np.int64)
-        self.bound = np.array([len(c) + 1 - q * (e + 1) for c, e in zip(self.chars, self.budget, strict=True)], np.int64)
-        grams = [qgrams(c, q) for c in self.chars]
+        # at least 1: passages so short that the lemma promises nothing are not looked for
+        self.bound = np.array([max(1, len(c) + 1 - Q * (e + 1)) for c, e in zip(self.chars, self.budget, strict=True)], np.int64)
+        grams = [qgrams(c) for c in self.chars]
         if grams:
             gram = np.concatenate(grams)
             item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -102,34 +104,52 @@ def align(item: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, int, in
 def occurrences(text: str, items: Items) -> list[tuple[int, int, int, int, int]]:
     """(index of item, begin, end, edits, item length) of the best verified occurrence of each item."""
     chars = codes(text)
-    grams = qgrams(chars, items.q)
+    grams = qgrams(chars)
     where = np.flatnonzero(items.seen[_slot(grams, items.BITS)])
     if not len(where):
         return []
-    low, high = np.searchsorted(items.gram, grams[where], "left"), np.searchsorted(items.gram, grams[where], "right")
-    found, best = high - low, {}
+    if len(where) < items.bound.min():
+        return []
+    low = np.searchsorted(items.gram, grams[where], "left")
+    found = np.searchsorted(items.gram, grams[where], "right") - low
     where, low, found = where[found > 0], low[found > 0], found[found > 0]
     if not len(where):
         return []
     entry = np.repeat(low - np.concatenate([[0], np.cumsum(found)[:-1]]), found) + np.arange(found.sum())
-    item, diagonal = items.item[entry], np.repeat(where, found) - items.at[entry]
-    step = items.budget[item] + 1
-    cell = diagonal // step
+    item, text_at = items.item[entry], np.repeat(where, found)
+    # whatever the band, a passage needs its bound of shared q-grams in all
+    enough = np.bincount(item, minlength=len(items.bound)) >= items.bound
+    item, text_at, entry = item[enough[item]], text_at[enough[item]], entry[enough[item]]
+    if not len(item):
+        return []
+    at = items.at[entry]
+    cell = (text_at - at) // (items.budget[item] + 1)
     # overlapping bands: band b holds the diagonals of cells b and b + 1
-    band_item, band_cell = np.tile(item, 2), np.concatenate([cell, cell - 1])
     span = int(np.abs(cell).max()) + 2
-    key = band_item * (2 * span + 1) + band_cell + span
-    # several text positions may hit one q-gram of the passage: count the distinct ones of each band
-    distinct = np.unique(np.stack([key, np.tile(items.at[entry], 2)]), axis=1)[0]
-    bands, shared = np.unique(distinct, return_counts=True)
-    of = bands // (2 * span + 1)
-    for band, i in zip(bands[shared >= np.maximum(1, items.bound[of])], of[shared >= np.maximum(1, items.bound[of])], strict=True):
+    own = item * (2 * span + 1) + cell + span
+    cells, count = np.unique(own, return_counts=True)
+    after = np.searchsorted(cells, cells + 1)
+    both = count + np.where(np.take(cells, after, mode="clip") == cells + 1, np.take(count, after, mode="clip"), 0)
+    before = np.searchsorted(cells, cells - 1)
+    lone = np.take(cells, before, mode="clip") != cells - 1
+    bands = np.concatenate([cells, cells[lone] - 1])
+    shared = np.concatenate([both, count[lone]])
+    bands = bands[shared >= items.bound[(bands) // (2 * span + 1)]]
+    best: dict[int, tuple[int, int, int]] = {}
+    kept, of = [], []
+    for band in bands.tolist():
+        # several text positions may hit one q-gram of the passage: count the different ones
+        i = band // (2 * span + 1)
+        if len(np.unique(at[(own == band) | (own == band + 1)])) >= items.bound[i]:
+            kept.append(band)
+            of.append(i)
+    for band, i in zip(kept, of, strict=True):
         budget, m = int(items.budget[i]), len(items.chars[i])
-        lowest = (int(band) - int(i) * (2 * span + 1) - span) * (budget + 1)
+        lowest = (band - i * (2 * span + 1) - span) * (budget + 1)
         begin, end = max(0, lowest - budget), min(len(chars), lowest + 2 * (budget + 1) + m + budget)
         hit = align(items.chars[i], chars[begin:end], budget)
-        if hit and (int(i) not in best or (hit[0], begin + hit[1]) < best[int(i)][:2]):
-            best[int(i)] = (hit[0], begin + hit[1], begin + hit[2])
+        if hit and (i not in best or (hit[0], begin + hit[1]) < best[i][:2]):
+            best[i] = (hit[0], begin + hit[1], begin + hit[2])
     return [(i, b, e, edits, len(items.chars[i])) for i, (edits, b, e) in sorted(best.items())]
 
 
