@@ -1,15 +1,19 @@
 """WARC archives with revisit resolution.
 
-Headers (id, digest, length) are shuffled by payload digest, never payloads:
+Headers (id, digest, length) are shuffled by payload digest and aggregated:
 the smallest page_id of a digest is the response, the others become revisit
-records that refer to it.  Archives are WARC/1.1 files written by Spark's own
-text writer with the record separator CR LF CR LF, which works on any file
-system and commits each file once, whichever executors are lost.  They are
-read back by their Content-Length.
+records that refer to it.  The pages then meet the digests that repeat in one
+join (AQE broadcasts those while they are few, else pages move once).
+Archives are gzipped WARC/1.1 files written by Spark's own text writer with
+the record separator CR LF CR LF, which works on any file system and commits
+each file once, whichever executors are lost.  They are read back by their
+Content-Length.
 """
 
 from __future__ import annotations
 
+import gzip
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,11 +82,13 @@ def write(resolved: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", re
         F.lit(_CRLF),
     )
     record = F.concat(header, F.when(revisit, F.lit("")).otherwise(F.col("html")))
-    resolved.select(record.alias("value")).write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", records_per_file).text(path)
+    resolved.select(record.alias("value")).write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
 def parse(archive: bytes):
-    """(headers by lower-cased name, block) of each record of an uncompressed archive."""
+    """(headers by lower-cased name, block) of each record of an archive, gzipped or not."""
+    if archive[:2] == b"\x1f\x8b":
+        archive = gzip.decompress(archive)
     at = 0
     while at < len(archive):
         end = archive.index(b"\r\n\r\n", at)
