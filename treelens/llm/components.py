@@ -16,7 +16,8 @@ from .common import save
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    # written, so that the join's sides are plain exchanges and a hub's rows can be split among tasks
+    least = save(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 

@@ -94,7 +94,7 @@ def judge(text: str | None, min_words: int, max_share: float, max_longest_share:
     return n, sum(map(len, words)), len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), n_repeat, base_failed, not (base_failed or repetitive), inside, longest
 
 
-def quality_rules(docs: DataFrame, min_words: int = 8, max_share: float = 0.4, max_longest_share: float = 0.25, longest_from: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 8, max_share: float = 0.5, max_longest_share: float = 0.25, longest_from: int = 50) -> DataFrame:
     """Counts and verdict of every document's whole text.
 
     ``max_share``: largest share of the words in repeats of at least
