@@ -8,11 +8,14 @@ never take part; their path is one join away.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import CycleFound
 from ..schema import contains, join_path
+from ..storage import save
 
 #: Jumps of 2**MAX_ROUNDS levels; a chain that is still open then is a cycle.
 MAX_ROUNDS = 12
@@ -28,16 +31,24 @@ def folder_paths(entries: DataFrame) -> DataFrame:
     The filesystem root (empty name) has path /.  Folders whose chain breaks
     off (orphans and all below them) have a null path and a null chain.
     """
-    state = folders(entries).select("id", F.col("parent").alias("up"), F.col("name").alias("tail"), F.array("id").alias("chain")).persist()
+    first = folders(entries).select("id", F.col("parent").alias("up"), F.col("name").alias("tail"), F.array("id").alias("chain"))
+    first = save(first, "paths")
+    done, open_ = [first.where("up <= 0")], first.where("up > 0")
     for _ in range(MAX_ROUNDS + 1):
-        if state.where("up > 0").isEmpty():
+        # each round is written: the next one reads it, and its plan does not hold those before
+        if open_.isEmpty():
             break
-        other = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("tail").alias("head"), F.col("chain").alias("before"))
-        open_ = state.where("up > 0").join(other, "up", "left")
-        joined = open_.select("id", F.coalesce("up2", F.lit(-1)).alias("up"), F.concat_ws("/", "head", "tail").alias("tail"), F.concat("before", "chain").alias("chain"))
-        state = state.where("up <= 0").unionByName(joined).persist()
+        known = open_
+        for part in done:
+            known = known.unionByName(part)
+        other = known.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("tail").alias("head"), F.col("chain").alias("before"))
+        joined = open_.join(other, "up", "left").select("id", F.coalesce("up2", F.lit(-1)).alias("up"), F.concat_ws("/", "head", "tail").alias("tail"), F.concat("before", "chain").alias("chain"))
+        joined = save(joined, "paths")
+        done.append(joined.where("up <= 0"))
+        open_ = joined.where("up > 0")
     else:
         raise CycleFound("the parents of a folder form a cycle")
+    state = reduce(DataFrame.unionByName, done)
     path = F.when(F.col("tail") == "", "/").otherwise(F.col("tail"))
     return state.select("id", F.when(F.col("up") == 0, path).alias("path"), F.when(F.col("up") == 0, F.col("chain")).alias("chain"))
 
