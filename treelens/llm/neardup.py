@@ -251,6 +251,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     centre = F.struct(-F.col("copies"), F.xxhash64("id"), F.col("id").alias("id"), F.col("set").alias("set"))
     picks = sets.withColumn("draw", F.pmod(F.xxhash64(F.lit("centre"), "id"), F.lit(CENTRES)))
     picks = picks.groupBy("group", "draw").agg(F.min(centre).alias("c")).groupBy("group").agg(F.collect_list(F.struct(F.col("c.id").alias("id"), F.col("c.set").alias("set"))).alias("centres"))
+    # written, so that the join's sides are plain exchanges and a hot group's members can be split among tasks
+    picks = save(picks, "centres")
     stars = sets.join(picks, "group").select("id", "set", "centres").mapInPandas(_to_centres(percent), "src long, dst long")
     stars = save(stars, "stars")
     first = connected_components(stars, "stars-cc")
