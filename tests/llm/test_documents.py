@@ -207,6 +207,28 @@ def test_mix_edges(spark):
     assert all(r.target == 0 and r.taken == 0 for r in mixing.mix(docs.where("text is null or text = ''")).collect())
 
 
+def test_mix_of_whole_documents(spark):
+    rows = [(1, "a b c " * 400, "s", "x"), (1, "a b c " * 400, "s", "x"), (1, "a b c " * 400, "s", "y"), (None, "k " * 500, None, None), (None, None, None, "z"), (2, "w " * 90, "t", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` string").selectExpr("*", "1 as taken", "2 as _order", "3 as _row")
+    got = mixing.mix_documents(docs)
+    assert got.columns == ["doc_id", "text", "source", "a.b", "_order", "_row", "size", "source_size", "target", "taken"]
+    got = got.collect()
+    key = lambda r: tuple("" if x is None else str(x) for x in r)
+    assert sorted((tuple(r)[:4] for r in got), key=key) == sorted(rows, key=key)
+    assert sorted(key((r.doc_id, r.size, r.target, r.taken)) for r in got) == sorted(key((r.doc_id, r.size, r.target, r.taken)) for r in mixing.mix(docs).collect())
+    assert sum(r.taken for r in got if r.doc_id is None) > 0
+    assert mixing.mix_documents(docs.limit(0)).count() == 0
+
+
+def test_large_ids_beside_null_ids(spark):
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(big, "alpha beta gamma delta epsilon " * 4), (None, "alpha beta gamma delta epsilon " * 4), (big + 2, "one two three four five six")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in neardup.near_duplicates(docs).collect()} == {r.doc_id for r in repetition.quality_rules(docs).collect()} == {big, big + 2, None}
+    bench = spark.createDataFrame([(7, "alpha beta gamma delta epsilon alpha beta gamma delta")], "item_id long, text string")
+    assert {r.doc_id for r in decontam.contaminated(docs, bench).collect()} == {big, None}
+    assert {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()} == {big + 2, None}
+
+
 def test_apportionment_is_sainte_lague(spark):
     dice = random.Random(4)
     for seats in (0, 1, 7, 100, 1001):

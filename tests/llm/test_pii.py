@@ -58,3 +58,8 @@ def test_redaction_merges_overlaps_and_keeps_columns(spark):
     assert rows[1].text == "call <PHONE> now é <EMAIL>" and rows[1].n_chars == len(rows[1].text)
     assert rows[2].text is None and rows[3].text == ""
     assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_redaction_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "to joe@x.org", 3, "k", "b", "m")], "doc_id long, text string, `a.b` int, _key string, _base string, _merged string")
+    assert [tuple(r) for r in pii.redact(docs).collect()] == [(1, "to <EMAIL>", 3, "k", "b", "m")]

@@ -50,6 +50,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def id_text(name: str) -> Column:
+    """An id on its way to pandas: as text, for a null would turn the integers beside it into doubles."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def id_number(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the id that ``id_text`` made an integer again, at its place."""
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents that no model may learn from."""
     return F.crc32(doc_id.cast("string")) % 5 == 0

@@ -21,10 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns, id_number, id_text
+
 Q = 10
 _SEPARATORS = re.compile(r"[\W_]+")
 _U = np.uint64
-OUTPUT = "doc_id long, item_id long, begin long, end long, edits long, item_chars long"
+OUTPUT = "doc_id string, item_id long, begin long, end long, edits long, item_chars long"
 
 
 def normalise(text: str | None) -> str:
@@ -193,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_
     extra columns are ignored; empty tables give an empty table.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    texts = docs.select(id_text("doc_id"), "text").where("text is not null")
     passages = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     out = None
     for block in _blocks(passages, max_block_chars):
@@ -201,10 +203,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_
         if block:
             part = texts.mapInPandas(_search(spark.sparkContext.broadcast(Items(block, rate))), OUTPUT)
             out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], OUTPUT) if out is None else out
+    return id_number(spark.createDataFrame([], OUTPUT) if out is None else out, "doc_id")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no passage was found, all columns as they came (null doc_ids stay)."""
     gone = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))

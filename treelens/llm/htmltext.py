@@ -14,7 +14,8 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import id_number, id_text
 
 # Frequent function words of the languages of the corpus.
 STOP_WORDS = frozenset(
@@ -240,4 +241,4 @@ def extract(pages: DataFrame) -> DataFrame:
             text = [main_text(h) for h in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return id_number(pages.select(id_text("page_id"), "url", "html").mapInPandas(run, "page_id string, url string, text string, n_chars long"), "page_id")

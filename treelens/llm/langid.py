@@ -14,10 +14,11 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out
+from .common import bounded_sample, held_out, id_number, id_text
 
 # First code points of the scripts that are told apart (each range ends where it says).
 SCRIPTS = (
@@ -36,7 +37,7 @@ CLIP = 8.0
 #: Training rows at most, by a hash of their id.
 TRAIN_ROWS = 4000
 
-OUTPUT = "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<begin:int,end:int,lang:string>>"
+OUTPUT = "doc_id string, held_out boolean, lang_pred string, score double, spans array<struct<begin:int,end:int,lang:string>>"
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -251,23 +252,25 @@ def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
                 found = predict(list(part["text"]), shared.value, scored, spans)
                 yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "spans": [x[2] for x in found]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(run, OUTPUT)
+    rows = docs.select(id_text("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    return id_number(rows.mapInPandas(run, OUTPUT), "doc_id")
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame:
     """The documents with an identified language, all columns as they came.
 
     Rejects text that is null or has no letter, and documents whose language
-    holds less than ``min_score`` of the letters.
+    holds less than ``min_score`` of the letters.  Arrow batches are filtered
+    as they are: nulls, large ids and nested columns pass unchanged.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         scored = Scored(shared.value)
         for batch in batches:
-            for part in _groups(batch):
-                found = predict(list(part["text"]), shared.value, scored, spans=False)
-                yield part[[x[0] != UNKNOWN and x[1] >= min_score for x in found]]
+            keep = []
+            for part in _groups(pd.DataFrame({"text": batch.column("text").to_pylist()}, dtype=object)):
+                keep += [x[0] != UNKNOWN and x[1] >= min_score for x in predict(list(part["text"]), shared.value, scored, spans=False)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

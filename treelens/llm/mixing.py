@@ -17,8 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
-from .common import save, word_count
+from .common import columns, save, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -29,6 +30,8 @@ BLOCK_TOKENS = 64
 #: Documents in a shard, on average over all sources, and shards at most.
 ROWS_PER_SHARD, MAX_SHARDS = 1024, 4096
 SEED = 20
+#: What the mix says of a document.
+ADDED = ("size", "source_size", "target", "taken")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -80,6 +83,12 @@ def apportion(parties: DataFrame, group: list[str], key: Column, votes: Column,
     return out.select(*parties.columns, "quota")
 
 
+def _tie(docs: DataFrame) -> Column:
+    """Sets rows of equal id and text apart by their other columns of plain types."""
+    plain = [c for c, t in zip(columns(docs), docs.schema, strict=True) if not isinstance(t.dataType, (MapType, StructType, ArrayType, VariantType))]
+    return F.xxhash64(*plain)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every document.
 
@@ -92,13 +101,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     they are equal); null doc_ids are ordered by hash like the others; extra
     columns are ignored; an empty table gives an empty table.
     """
+    return _mixed(docs, False, weights, max_repeats, block_tokens, seed, rows_per_shard).select("doc_id", *ADDED)
+
+
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
+    """Every document with all its columns, and ``size, source_size, target, taken`` as ``mix`` has them.
+
+    One row per row, with null or repeated doc_ids too: nothing is joined by
+    id.  Columns of docs that have one of the four names are replaced.
+    """
+    rows = _mixed(docs, True, weights, max_repeats, block_tokens, seed, rows_per_shard)
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in ADDED], *ADDED)
+
+
+def _mixed(docs: DataFrame, whole: bool, weights: tuple[int, ...], max_repeats: int, block_tokens: int, seed: int, rows_per_shard: int) -> DataFrame:
+    """The rows of ``mix``; ``whole``: with the document packed in ``_row``."""
     count = docs.count()
     shards = min(MAX_SHARDS, max(1, -(-count // rows_per_shard)))
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), order.alias("_order"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), order.alias("_order"), *([F.struct(*columns(docs)).alias("_row"), _tie(docs).alias("_tie")] if whole else []))
     # a null source has no key to join on: it gets one that no other source has
     rows = rows.withColumn("_source", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source"))).withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.lit(shards)))
-    rows = save(rows, "sizes")
+    if not whole:
+        rows = save(rows, "sizes")  # whole documents are read twice instead of written once more
 
     shard = rows.groupBy("_source", "_shard").agg(F.first("source").alias("source"), F.sum("size").alias("shard_size"))
     blocks = F.when(F.col("shard_size") > 0, F.greatest(F.lit(1), F.round(F.col("shard_size") / block_tokens))).otherwise(0).cast("long")
@@ -116,7 +141,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     shard = shard.withColumn("extra", F.when(F.col("blocks") > 0, capped - F.col("rounds") * F.col("blocks")).otherwise(0))
     shard = shard.withColumn("start", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "_source", "_shard"), F.col("blocks"))).otherwise(0))
 
-    after = F.sum("size").over(W.partitionBy("_source", "_shard").orderBy("_order", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
+    after = F.sum("size").over(W.partitionBy("_source", "_shard").orderBy("_order", "doc_id", "size", *(["_tie"] if whole else [])).rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("_end", after).withColumn("_begin", F.col("_end") - F.col("size")).join(shard, ["_source", "_shard"])
 
     def extra_words(position: Column) -> Column:
@@ -133,4 +158,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
 
     words = F.when(F.col("blocks") > 0, F.round(extra_words(F.col("_end"))) - F.round(extra_words(F.col("_begin")))).otherwise(0)
     taken = F.least(F.col("rounds") * F.col("size") + F.least(F.greatest(words, F.lit(0)), F.col("size")), F.col("size") * max_repeats)
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.withColumn("taken", taken.cast("long"))

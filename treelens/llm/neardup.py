@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import columns, id_number, id_text, save
 from .components import connected_components
 
 SLOTS, ROWS = 128, 4
@@ -231,8 +231,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     a null doc_id is its own null component and kept is false; extra columns
     are ignored.  An empty table gives an empty table.
     """
+    signed = docs.select(id_text("doc_id"), "text").mapInPandas(_signatures(width), "doc_id string, n_shingles long, digest binary, bands array<long>")
+    signed = save(id_number(signed, "doc_id"), "signatures")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = save(docs.mapInPandas(_signatures(width), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
     known = signed.where("doc_id is not null and digest is not null")
     # bands follow from the digest, so any row of a class has the same ones
     classes = save(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "classes")
@@ -274,4 +275,4 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     Rows that repeat a kept doc_id are all kept; rows with a null doc_id are kept.
     """
     gone = near_duplicates(docs, width, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))

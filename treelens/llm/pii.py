@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import columns, save
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
@@ -187,8 +187,8 @@ def redact(docs: DataFrame) -> DataFrame:
     Overlapping spans are replaced as one, by the name of the one that begins
     first.  Texts without spans stay as they are, null too.
     """
-    columns = docs.columns
-    rows = _annotated(docs, columns)
+    # the rows travel packed, so that no column of theirs can clash with the ones made here
+    rows = _annotated(docs.select(F.struct(*columns(docs)).alias("_row"), "doc_id", "text"), ["_row", "text"])
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in (*KINDS, FOUND)])
     ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["kind"].alias("kind"))))
     merged_type = "array<struct<begin:int,end:int,kind:int>>"
@@ -207,6 +207,7 @@ def redact(docs: DataFrame) -> DataFrame:
     last = F.get("_merged", F.size("_merged") - 1)["end"]
     text = F.concat(F.array_join(F.transform("_merged", piece), ""), F.substring(F.col("text"), last + 1, F.length("text")))
     rows = rows.withColumn("text", F.when(F.size("_merged") > 0, text).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*columns)
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out
+from .common import bounded_sample, held_out, id_number, id_text
 
 BUCKETS, DIM = 1 << 17, 8
 ORDERS = (3, 4, 5)
@@ -36,7 +36,7 @@ LEAN = 0.7
 #: Training rows at most, by a hash of their id.
 TRAIN_ROWS = 5000
 
-OUTPUT = "doc_id long, held_out boolean, score double, predicted int"
+OUTPUT = "doc_id string, held_out boolean, score double, predicted int"
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -183,4 +183,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": p, "predicted": (p >= 0.5).astype("int32")})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, OUTPUT)
+    return id_number(docs.select(id_text("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, OUTPUT), "doc_id")
