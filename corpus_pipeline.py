@@ -8,7 +8,6 @@ return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from treelens.llm import decontam, langid, mixing, neardup, pii
 from treelens.llm.common import save, table
@@ -36,9 +35,7 @@ def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds size, source_size, target and taken; documents the mix takes nothing of stay, with taken 0."""
-    # duplicate rows of one document would meet each other: doc_ids are unique after near_dedup
-    mixed = mixing.mix(docs).where("doc_id is not null")
-    return docs.join(mixed, "doc_id", "left").select(*docs.columns, "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return mixing.mix_documents(docs)
 
 
 STAGES = [
