@@ -72,5 +72,35 @@ FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >=
 """
 
 
+#: Exact: shingle sets, links between different sets by a join on shingles, components by reachability.
+_OP7 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)
+), four AS (
+  SELECT doc_id, i, n, concat_ws(' ', word, lead(word) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o) AS shingle FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), shingles AS (
+  SELECT DISTINCT doc_id, shingle FROM four WHERE i <= greatest(n - 3, 1)
+), sets AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS digest FROM shingles GROUP BY doc_id
+), classes AS (
+  SELECT digest, min(doc_id) AS id, any_value(n) AS n FROM sets GROUP BY digest
+), members AS (
+  SELECT c.id, c.n, s.shingle FROM classes c JOIN shingles s ON s.doc_id = c.id
+), links AS (
+  SELECT a.id AS x, b.id AS y FROM members a JOIN members b ON a.shingle = b.shingle AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(id, root) AS (
+  SELECT id, id FROM classes UNION SELECT e.y, r.root FROM reach r JOIN edges e ON e.x = r.id WHERE e.y > r.root
+), component AS (
+  SELECT c.digest, min(r.root) AS component_id FROM classes c JOIN reach r ON r.id = c.id GROUP BY c.digest
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id LEFT JOIN component c ON c.digest = s.digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_revisits": _OP5}
+    return {"op5_warc_revisits": _OP5, "op7_near_duplicates": _OP7}
