@@ -40,7 +40,8 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.quality_rules(table(spark, sf_dir, "documents"))
+    # without the operator's longest_repeat: its rule is in `kept`, and SQL has no suffix array to find the length itself
+    return repetition.quality_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +102,42 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_
 FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id LEFT JOIN component c ON c.digest = s.digest
 """
 
+#: Exact: words in repeats of at least m words are the words in windows of m words that occur twice.  The longest
+#: repeat is too long if a window of that many words (and one more than a quarter of the text) occurs twice; such a
+#: window starts where a window of eight words occurs twice, so only those starts are looked at.
+_OP8 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d
+), windows AS (
+  SELECT doc_id, i, n, word, CASE WHEN i <= n - 2 THEN concat_ws(' ', word, lead(word) OVER o, lead(word, 2) OVER o) END AS w3,
+         CASE WHEN i <= n - 7 THEN string_agg(word, ' ') OVER (o ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) END AS w8
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), twice AS (
+  SELECT doc_id, i, n, word, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w3) > 1 AS r3, w8 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w8) > 1 AS r8 FROM windows
+), inside AS (
+  SELECT doc_id, i, n, word, r8, bool_or(r3) OVER (o ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3, bool_or(r8) OVER (o ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS c8
+  FROM twice WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), counts AS (
+  SELECT doc_id, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars, count(*) FILTER (c3) AS n_repeat_words, count(*) FILTER (c8) AS covered_words FROM inside GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), too_long_ones AS (
+  SELECT doc_id, count(*) > count(DISTINCT window_hash) AS too_long FROM (
+    SELECT t.doc_id, md5(array_to_string(d.w[t.i : t.i + greatest(50, t.n // 4 + 1) - 1], ' ')) AS window_hash FROM inside t JOIN d ON d.doc_id = t.doc_id WHERE t.r8 AND t.i + greatest(50, t.n // 4 + 1) - 1 <= t.n
+  ) GROUP BY doc_id
+), judged AS (
+  SELECT d.doc_id, coalesce(c.n_words, 0) AS n_words, coalesce(c.word_chars, 0) AS word_chars, length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(x.n_dup_lines, 0) AS n_dup_lines,
+         coalesce(c.n_repeat_words, 0) AS n_repeat_words, coalesce(c.covered_words, 0) AS covered_words, coalesce(l.too_long, false) AS too_long
+  FROM d LEFT JOIN counts c ON c.doc_id = d.doc_id LEFT JOIN too_long_ones l ON l.doc_id = d.doc_id LEFT JOIN lines x ON x.doc_id = d.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 2 * covered_words > n_words OR too_long) AS kept, covered_words
+FROM judged
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_revisits": _OP5, "op7_near_duplicates": _OP7}
+    return {"op5_warc_revisits": _OP5, "op7_near_duplicates": _OP7, "op8_quality_rules": _OP8}
