@@ -28,6 +28,19 @@ def test_two_passes_without_an_article():
     assert htmltext.main_text(page) == " ".join(["Title of it", good.strip(), "Short one.", good.strip()])
 
 
+def test_an_article_is_evidence_and_no_switch():
+    good = ("the cat is on the mat and it is not in the house with you " * 5).strip()
+    bare = "lorem ipsum dolor consectetur adipiscing elit vestibulum tincidunt pellentesque habitant morbi"
+    # main text outside a teaser's article
+    assert good in htmltext.main_text(f"<article><p>A teaser.</p></article><div><p>{good}</p><p>Short one.</p><p>{good}</p></div>")
+    # text without stop words: kept among an article's paragraphs, not at its end
+    page = f"<nav>Home</nav><article><h1>Title</h1><p>{good}</p><p>{bare}</p><div class=ad>Buy</div><p>{good}</p><p>End.</p><p>{bare}</p></article>"
+    assert htmltext.main_text(page) == " ".join(["Title", good, bare, good, "End."])
+    # nothing else is known of an article in another language
+    other = "漢字" * 60
+    assert htmltext.main_text(f"<nav>Home</nav><article><p>{other}</p><p>{bare}</p></article>") == f"{other} {bare}"
+
+
 def test_broken_and_odd_pages(spark):
     pages = ["", None, "plain & simple", "<", "<a href='", "<p", "<!-- never closed", "<script>x", "a < b and c", "<article>" * 3000 + "deep", "</p></div>", "<article><p>\x00\ufeff é</article>"]
     df = spark.createDataFrame([(i, None, p, "t") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")

@@ -1,10 +1,11 @@
 """Main-text extraction from HTML in two passes over blocks.
 
 Pass 1 looks at each block alone: where it stands (navigation, advert, form,
-comment section and so on never hold main text; ``article`` and ``main`` do),
-its link density, its length and its stop-word density make it good, bad,
-short or near-good.  Pass 2 decides the ambiguous ones by their nearest
-decided neighbours.
+comment section and so on never hold main text), its link density, its length
+and its stop-word density make it good, bad, short or near-good.  Standing in
+an ``article`` or ``main`` lifts a block by one step: near-good to good, few
+stop words to short, none at all to weak.  Pass 2 decides the ambiguous ones by their
+nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ _WORD = re.compile(r"\w+")
 class Block:
     __slots__ = ("parts", "linked", "inside", "outside", "heading", "text", "label")
 
-    def __init__(self, inside: bool, outside: bool, heading: bool):
+    def __init__(self, inside: int, outside: bool, heading: bool):
         self.parts: list[str] = []
         self.linked, self.inside, self.outside, self.heading = 0, inside, outside, heading
 
@@ -72,8 +73,9 @@ def _boilerplate(attributes: str) -> bool:
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks with their surroundings; tolerates any broken markup."""
     blocks: list[Block] = []
-    # open elements: (name, inside article/main, outside main text, heading)
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    # open elements: (name, number of the outermost article/main or 0, outside main text, heading)
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    articles = 0
     block, links, at, size = None, 0, 0, len(page)
     lower = page.lower() if len(page.lower()) == size else "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
 
@@ -169,33 +171,33 @@ def blocks_of(page: str) -> list[Block]:
         _, inside, outside, heading = stack[-1]
         if tag == "header" and inside and not outside and not (len(attributes) > 2 and _boilerplate(attributes)):
             bad = False  # an article's own header holds its title
-        stack.append((tag, inside or tag in ("article", "main"), outside or bad, heading or tag in HEADINGS))
+        if tag in ("article", "main") and not inside:
+            articles += 1
+            inside = articles
+        stack.append((tag, inside, outside or bad, heading or tag in HEADINGS))
     return blocks
 
 
 def classify(blocks: list[Block]) -> None:
     """Sets ``label`` to good or bad (two passes) on blocks that have their ``text``."""
-    has_article = any(b.inside and not b.outside for b in blocks)
     for b in blocks:
         words = _WORD.findall(b.text.lower())
         density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         links = b.linked / max(1, sum(map(len, b.parts)))
-        if b.outside:
-            b.label = "bad"
-        elif has_article:
-            # the page says where its article is; only lists of links inside it are not text
-            b.label = "good" if b.inside and links <= MAX_LINKS_INSIDE else "bad"
-        elif links > MAX_LINKS:
+        if b.outside or links > (MAX_LINKS_INSIDE if b.inside else MAX_LINKS):
             b.label = "bad"
         elif len(b.text) < SHORT:
-            b.label = "short" if links == 0 else "bad"
+            b.label = "short" if links == 0 else "weak" if b.inside else "bad"
         elif density >= STOP_HIGH:
-            b.label = "good" if len(b.text) > LONG else "near"
+            b.label = "good" if len(b.text) > LONG or b.inside else "near"
         elif density >= STOP_LOW:
-            b.label = "near"
+            b.label = "good" if b.inside else "near"
         else:
-            b.label = "bad"
-    decided = [b.label if b.label in ("good", "bad") else "" for b in blocks]
+            b.label = "bad" if not b.inside else "short" if density > 0 else "weak"
+    # what never holds main text says nothing of the article around it
+    decided = [b.label if b.label in ("good", "bad") and not (b.outside and b.inside) else "" for b in blocks]
+    # an article without a good block of its own is too short, or in no known language: only its markup speaks
+    proven = {b.inside for b in blocks if b.label == "good"}
     left, right, last = [""] * len(blocks), [""] * len(blocks), "bad"
     for i, label in enumerate(decided):
         left[i] = last
@@ -208,10 +210,16 @@ def classify(blocks: list[Block]) -> None:
     for i, b in enumerate(blocks):
         if first_pass[i] == "near":
             b.label = "bad" if left[i] == right[i] == "bad" and len(blocks) > 1 and "good" in decided else "good"
+        elif first_pass[i] in ("short", "weak") and b.inside and b.inside not in proven:
+            b.label = "good"
+        elif first_pass[i] == "weak":
+            b.label = "good" if left[i] == right[i] == "good" else "bad"
         elif first_pass[i] == "short":
             if left[i] == right[i]:
                 b.label = left[i]
-            else:  # between a good and a bad one: a near-good neighbour on the bad side decides
+            elif b.inside:  # between a good and a bad one: the article decides
+                b.label = "good"
+            else:  # or a near-good neighbour on the bad side decides
                 side = i - 1 if left[i] == "bad" else i + 1
                 b.label = "good" if 0 <= side < len(blocks) and first_pass[side] == "near" else "bad"
             if b.label == "bad" and b.heading and any(x in ("good", "near") for x in first_pass[i + 1 : i + 1 + HEADING_REACH]):
