@@ -41,6 +41,20 @@ def test_an_article_is_evidence_and_no_switch():
     assert htmltext.main_text(f"<nav>Home</nav><article><p>{other}</p><p>{bare}</p></article>") == f"{other} {bare}"
 
 
+def test_names_of_containers_do_not_discard_the_page():
+    good = ("the cat is on the mat and it is not in the house with you " * 5).strip()
+    body = f"<h2>Title of it</h2><p>{good}</p><p>Short one.</p><p>{good}</p>"
+    whole = f"Title of it {good} Short one. {good}"
+    for start, end in (("<body class='no-sidebar'>", ""), ("<div class='content-with-sidebar'>", "</div>"), ("<article class='post comments-open'>", "</article>"),
+                       ("<article class='comments'>", "</article>"), ("<main id='content-share'>", "</main>"), ("<form action=x>", "</form>"), ("<div class=widget>", "</div>")):
+        assert htmltext.main_text(start + body + end) == whole, start
+    assert htmltext.main_text("<form><article><p>Short one.</p></article></form>") == "Short one."
+    assert htmltext.main_text(f"<p>{good}</p><figure><img src=x><figcaption>The cat.</figcaption></figure><p>{good}</p>") == f"{good} The cat. {good}"
+    # what is named whole stays out, and so do small forms, among good text too
+    for extra in ("<div class=sidebar><p>Short.</p></div>", "<div id='x cookie-notice'>We use cookies</div>", "<form>Your mail</form>", f"<div hidden><p>{good}</p></div>", "<span class=ad>Buy</span>"):
+        assert htmltext.main_text(f"<article><p>{good}</p>{extra}<p>{good}</p></article>") == f"{good} {good}", extra
+
+
 def test_broken_and_odd_pages(spark):
     pages = ["", None, "plain & simple", "<", "<a href='", "<p", "<!-- never closed", "<script>x", "a < b and c", "<article>" * 3000 + "deep", "</p></div>", "<article><p>\x00\ufeff é</article>"]
     df = spark.createDataFrame([(i, None, p, "t") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")

@@ -1,7 +1,8 @@
 """Main-text extraction from HTML in two passes over blocks.
 
-Pass 1 looks at each block alone: where it stands (navigation, advert, form,
-comment section and so on never hold main text), its link density, its length
+Pass 1 looks at each block alone: where it stands (navigation, header, footer
+and so on never hold main text; forms and what is named advert, comments and
+so on only if long blocks full of stop words say otherwise), its link density, its length
 and its stop-word density make it good, bad, short or near-good.  Standing in
 an ``article`` or ``main`` lifts a block by one step: near-good to good, few
 stop words to short, none at all to weak.  Pass 2 decides the ambiguous ones by their
@@ -26,10 +27,12 @@ STOP_WORDS = frozenset(
     "al como con del donde el ella ellos entre era eso esta este fue ha hay las lo los más mi muy no nos para pero por porque sin sobre su sus también todo yo y".split()
 )
 # Elements whose text is never main text.
-OUTSIDE = frozenset("nav header footer aside form button select dialog menu noscript figure".split())
+OUTSIDE = frozenset("nav header footer aside button select dialog menu noscript".split())
 # Elements whose content is not text at all.
 RAW = frozenset("script style template textarea iframe object svg math title noframes".split())
-# Words of class, id and role attributes that mark boilerplate.
+# Elements that may hold more than boilerplate, whatever their class or id is.
+PAGE = frozenset("html body main article".split())
+# Names in class, id and role attributes that mark boilerplate, alone or joined with each other.
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer header login masthead menu modal nav navbar navigation "
     "newsletter notice notices pagination pager popup promo promotion promoted related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget".split()
@@ -48,34 +51,39 @@ HEADING_REACH = 2
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 _ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_TOKEN = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[a-z0-9]+")
 _WORD = re.compile(r"\w+")
 
 
 class Block:
-    __slots__ = ("parts", "linked", "inside", "outside", "heading", "text", "label")
+    __slots__ = ("parts", "linked", "inside", "outside", "doubt", "heading", "text", "label")
 
-    def __init__(self, inside: int, outside: bool, heading: bool):
+    def __init__(self, inside: int, outside: bool, doubt: int, heading: bool):
         self.parts: list[str] = []
-        self.linked, self.inside, self.outside, self.heading = 0, inside, outside, heading
+        self.linked, self.inside, self.outside, self.doubt, self.heading = 0, inside, outside, doubt, heading
+
+
+def _hidden(attributes: str) -> bool:
+    return any(n.lower() == "hidden" or (n.lower() == "aria-hidden" and v.strip("\"'").lower() == "true") for n, v in _ATTRIBUTE.findall(attributes))
 
 
 def _boilerplate(attributes: str) -> bool:
+    """Whether a whole name (``sidebar``, ``cookie-notice``; not ``no-sidebar``) marks boilerplate."""
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name in ("class", "id", "role") and BOILERPLATE.intersection(_TOKEN.findall(value)):
-            return True
+        if name.lower() in ("class", "id", "role"):
+            for own in value.strip("\"'").lower().split():
+                if (parts := _PART.findall(own)) and BOILERPLATE.issuperset(parts):
+                    return True
     return False
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks with their surroundings; tolerates any broken markup."""
     blocks: list[Block] = []
-    # open elements: (name, number of the outermost article/main or 0, outside main text, heading)
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
-    articles = 0
+    # open elements: (name, number of the outermost article/main or 0, outside main text, number of the innermost
+    # doubtful element (negative: a form) or 0, heading)
+    stack: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]
+    articles = doubts = 0
     block, links, at, size = None, 0, 0, len(page)
     lower = page.lower() if len(page.lower()) == size else "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
 
@@ -86,8 +94,7 @@ def blocks_of(page: str) -> list[Block]:
         if block is None:
             if not text.strip():
                 return
-            _, inside, outside, heading = stack[-1]
-            block = Block(inside, outside, heading)
+            block = Block(*stack[-1][1:])
             blocks.append(block)
         block.parts.append(text)
         if links:
@@ -147,11 +154,12 @@ def blocks_of(page: str) -> list[Block]:
                 at = size
             continue
         attributes = page[name.end() : at]
-        bad = tag in OUTSIDE or (len(attributes) > 2 and _boilerplate(attributes))
+        named = len(attributes) > 2 and tag not in PAGE and _boilerplate(attributes)
+        bad = tag in OUTSIDE or (len(attributes) > 2 and _hidden(attributes))
         if tag == "br":
             add(" " if block is not None else "")
             continue
-        if tag in INLINE and not bad:
+        if tag in INLINE and not (bad or named):
             if tag == "a":
                 links += 1
             continue
@@ -168,24 +176,39 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[depth][0] in ("ul", "ol", "dl", "table", "div", "article", "section"):
                     break
         block, links = None, 0
-        _, inside, outside, heading = stack[-1]
-        if tag == "header" and inside and not outside and not (len(attributes) > 2 and _boilerplate(attributes)):
+        _, inside, outside, doubt, heading = stack[-1]
+        if tag == "header" and inside and not outside and not named and not (len(attributes) > 2 and _hidden(attributes)):
             bad = False  # an article's own header holds its title
         if tag in ("article", "main") and not inside:
             articles += 1
             inside = articles
-        stack.append((tag, inside, outside or bad, heading or tag in HEADINGS))
+        if named or tag == "form":
+            doubts += 1
+            doubt = doubts if named else -doubts
+        elif tag == "main" or (tag == "article" and doubt < 0):
+            doubt = 0  # a form around an article says nothing of it
+        stack.append((tag, inside, outside or bad, doubt, heading or tag in HEADINGS))
     return blocks
 
 
 def classify(blocks: list[Block]) -> None:
     """Sets ``label`` to good or bad (two passes) on blocks that have their ``text``."""
+    measured = []
+    dense: dict[int, int] = {}  # characters of each doubtful element: in long blocks full of stop words for, others against
     for b in blocks:
         words = _WORD.findall(b.text.lower())
         density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         links = b.linked / max(1, sum(map(len, b.parts)))
+        sure = len(b.text) > LONG and density >= STOP_HIGH and links <= MAX_LINKS
+        measured.append((density, links, sure))
+        if b.doubt and not b.outside:
+            dense[b.doubt] = dense.get(b.doubt, 0) + (len(b.text) if sure else -len(b.text))
+    for b, (density, links, sure) in zip(blocks, measured, strict=True):
+        doubtful = dense.get(b.doubt, 0) < 0
         if b.outside or links > (MAX_LINKS_INSIDE if b.inside else MAX_LINKS):
             b.label = "bad"
+        elif doubtful:
+            b.label = "good" if sure else "bad"
         elif len(b.text) < SHORT:
             b.label = "short" if links == 0 else "weak" if b.inside else "bad"
         elif density >= STOP_HIGH:
@@ -195,7 +218,7 @@ def classify(blocks: list[Block]) -> None:
         else:
             b.label = "bad" if not b.inside else "short" if density > 0 else "weak"
     # what never holds main text says nothing of the article around it
-    decided = [b.label if b.label in ("good", "bad") and not (b.outside and b.inside) else "" for b in blocks]
+    decided = [b.label if b.label in ("good", "bad") and not (b.inside and (b.outside or b.doubt)) else "" for b in blocks]
     # an article without a good block of its own is too short, or in no known language: only its markup speaks
     proven = {b.inside for b in blocks if b.label == "good"}
     left, right, last = [""] * len(blocks), [""] * len(blocks), "bad"
