@@ -13,9 +13,13 @@ from treelens.llm import decontam, langid, mixing, neardup, pii
 from treelens.llm.common import save, table
 
 
+#: A document's language holds so much of its letters at least, and so many of its n-grams are known.
+MIN_SCORE, MIN_KNOWN = 0.5, 0.2
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without an identifiable language."""
-    return langid.keep_identified(docs, langid.fit(docs))
+    """Rejects documents without an identifiable language: no main language, a script or n-grams that no language has."""
+    return langid.keep_identified(docs, langid.fit(docs), MIN_SCORE, MIN_KNOWN)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from treelens.llm import decontam, pii
 from treelens.llm.common import table
@@ -17,6 +19,20 @@ def test_stages_and_run(spark):
     assert all(r.size == len(r.text.encode().split()) and 0 <= r.taken <= 3 * r.size for r in rows.values())
 
 
+def test_language_stage_rejects_what_has_no_language(spark):
+    docs = table(spark, SF, "documents")
+    texts = {r.lang: r.text for r in docs.where("n_chars between 800 and 3000").orderBy("doc_id").collect()}
+    dice = random.Random(4)
+    mixed = " ".join(" ".join(t.split()[:40]) for _, t in sorted(texts.items()))
+    junk = " ".join("".join(dice.choice("bcdfghjklmnpqrstvwxz") for _ in range(dice.randint(3, 9))) for _ in range(80))
+    bad = ["漢字 中文 文章 " * 20, "слово о полку игореве " * 20, junk, mixed, "123 !?"]
+    rows = [(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(bad)]
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), SF).collect()}
+    assert len(texts) == 4 and not kept & {r[0] for r in rows}
+    words = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert len(words - kept) <= 0.01 * len(words)
+
+
 def test_stages_keep_the_columns_and_survive_nulls(spark):
     docs = table(spark, SF, "documents").limit(30).unionByName(spark.createDataFrame([(None, None, None, None, None), (10**9, None, None, "s", 0)], table(spark, SF, "documents").schema))
     for _, stage in corpus_pipeline.STAGES[:-1]:

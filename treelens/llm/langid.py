@@ -98,10 +98,14 @@ class Model:
         padded = f"^{word}$"
         return [padded[i : i + n] for n in ORDERS for i in range(len(padded) - n + 1)]
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Log-score of each language for each word, 0 for the best one."""
+    def learned(self, name: str) -> bool:
+        """Whether a learned language is written in this script."""
+        return name in self.scripts and bool(self.scripts[name].any())
+
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: log-score of each language, 0 for the best one; whether its script is learned; share of its n-grams that are (2-grams aside)."""
         if not words:
-            return np.zeros((0, max(1, len(self.langs))), np.float32)
+            return np.zeros((0, max(1, len(self.langs))), np.float32), np.zeros(0, bool), np.zeros(0, np.float32)
         known, unknown, rows, starts = self.grams, len(self.grams), [], []
         for word in words:
             starts.append(len(rows))
@@ -114,27 +118,34 @@ class Model:
             if written is not None and written.any() and not written.all():
                 of = [n == name for n in names]
                 score[np.ix_(of, ~written)] = -np.inf
-        return np.maximum(score - score.max(axis=1, keepdims=True), -CLIP)
+        within = {name for name in set(names) if self.learned(name)}
+        ours = np.array([n in within for n in names])
+        # the 2-grams come first, one more than the word has letters
+        begin, pairs = np.array(starts, np.int64), np.fromiter(map(len, words), np.int64, len(words)) + 1
+        hits = np.add.reduceat((np.array(rows, np.int64) != unknown).astype(np.int64), np.stack([begin, begin + pairs], 1).ravel())[1::2]
+        known = ours * hits / (np.diff(begin, append=len(rows)) - pairs)
+        return np.maximum(score - score.max(axis=1, keepdims=True), -CLIP), ours, known.astype(np.float32)
 
 
 class Scored(dict):
-    """Row of ``table`` with the scores of each word seen so far."""
+    """Row of ``table`` with the scores of each word seen so far, and of ``ours`` and ``known``."""
 
     WORDS = 300_000
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.table = np.zeros((0, max(1, len(model.langs))), np.float32)
+        self.table, self.ours, self.known = model.scores([])
 
     def add(self, words: set[str]) -> None:
         """Past WORDS words it starts anew, with these."""
         if len(self) > self.WORDS:
             self.clear()
-            self.table = self.table[:0]
+            self.table, self.ours, self.known = self.table[:0], self.ours[:0], self.known[:0]
         new = [w for w in words if w not in self]
         self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
-        self.table = np.concatenate([self.table, self.model.scores(new)])
+        table, ours, known = self.model.scores(new)
+        self.table, self.ours, self.known = np.concatenate([self.table, table]), np.concatenate([self.ours, ours]), np.concatenate([self.known, known])
 
 
 def viterbi(emit: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -179,6 +190,11 @@ def viterbi(emit: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np
 
 def predict(texts: list[str | None], model: Model, scored: Scored | None = None, spans: bool = True) -> list[tuple[str, float, list[dict]]]:
     """(language, share of the letters labelled with it, spans) of each text."""
+    return [x[:3] for x in _judged(texts, model, scored, spans)]
+
+
+def _judged(texts: list[str | None], model: Model, scored: Scored | None = None, spans: bool = True) -> list[tuple[str, float, list[dict], float, float]]:
+    """As ``predict``, and the share of the letters that the language has in learned scripts, and of those in learned n-grams (by words)."""
     scored = Scored(model) if scored is None else scored
     words: list[str] = []
     lengths = []
@@ -190,13 +206,14 @@ def predict(texts: list[str | None], model: Model, scored: Scored | None = None,
     rows = np.fromiter(map(scored.__getitem__, words), np.int64, len(words))
     letters = np.fromiter(map(len, words), np.int64, len(words))
     size = max(1, len(model.langs))
+    ours, known = scored.ours[rows], scored.known[rows]
     labels = viterbi(scored.table[rows], np.array(lengths, np.int64))
     out, at = [], 0
     for text, n in zip(texts, lengths, strict=True):
-        own, weight = labels[at : at + n], letters[at : at + n]
+        own, weight, of = labels[at : at + n], letters[at : at + n], slice(at, at + n)
         at += n
         if not n:
-            out.append((UNKNOWN, 0.0, []))
+            out.append((UNKNOWN, 0.0, [], 0.0, 0.0))
             continue
         share = np.bincount(own, weights=weight, minlength=size)
         best = int(np.argmax(share))
@@ -206,7 +223,9 @@ def predict(texts: list[str | None], model: Model, scored: Scored | None = None,
             place = [m.span() for m in _WORD.finditer(text)]
             end = np.concatenate([cut[1:], [n]]) - 1
             found = [{"begin": place[b][0], "end": place[e][1], "lang": model.langs[own[b]]} for b, e in zip(cut, end, strict=True)]
-        out.append((model.langs[best], float(share[best] / share.sum()), found))
+        total = float(share.sum())
+        held = float(weight[(own == best) & ours[of]].sum()) / total
+        out.append((model.langs[best], float(share[best]) / total, found, held, float(weight @ known[of]) / total))
     return out
 
 
@@ -256,11 +275,14 @@ def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     return id_number(rows.mapInPandas(run, OUTPUT), "doc_id")
 
 
-def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0, min_known: float = 0.0) -> DataFrame:
     """The documents with an identified language, all columns as they came.
 
-    Rejects text that is null or has no letter, and documents whose language
-    holds less than ``min_score`` of the letters.  Arrow batches are filtered
+    Rejects text that is null or has no letter, documents whose language holds
+    less than ``min_score`` of the letters (those in scripts that no learned
+    language uses are held by none), and documents of whose n-grams (3 and 4
+    letters, weighted by the words' letters) less than ``min_known`` occur in
+    any learned language.  Arrow batches are filtered
     as they are: nulls, large ids and nested columns pass unchanged.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -270,7 +292,8 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> Da
         for batch in batches:
             keep = []
             for part in _groups(pd.DataFrame({"text": batch.column("text").to_pylist()}, dtype=object)):
-                keep += [x[0] != UNKNOWN and x[1] >= min_score for x in predict(list(part["text"]), shared.value, scored, spans=False)]
+                found = _judged(list(part["text"]), shared.value, scored, spans=False)
+                keep += [lang != UNKNOWN and held >= min_score and known >= min_known for lang, _, _, held, known in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
