@@ -172,6 +172,22 @@ def test_decontamination_finds_edited_passages_and_nothing_else(spark):
     assert kept.count() == both.count() - len({d for d, _ in want})
 
 
+def test_decontamination_finds_parts_and_short_passages(spark):
+    dice = random.Random(6)
+
+    def fresh(n):
+        return " ".join("".join(dice.choice("abcdefghij") for _ in range(dice.randint(3, 9))) for _ in range(n))
+
+    long, filler = fresh(1000), fresh(80)
+    bench = spark.createDataFrame([(1, long), (2, "Short answer: 42"), (3, "?!")], "item_id long, text string")
+    quotes = {k: long[(at := dice.randrange(len(long) - 160)) : at + 160] for k in range(40)}
+    rows = [(k, f"{filler} {_edited(q, dice.randint(0, 11), dice)} {filler}") for k, q in quotes.items()]
+    rows += [(100, long[len(long) // 5 :] + filler), (101, filler + long[: len(long) // 2]), (102, " ".join(long.split()[300:600]))]
+    rows += [(200, f"{filler}, short ANSWER 42!"), (201, "short answer 421"), (202, filler), (203, long[:90] + filler)]
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, 1) for k in (*quotes, 100, 101, 102)] + [(200, 2)]
+
+
 def test_mix(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = mixing.mix(docs).toPandas()

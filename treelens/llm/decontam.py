@@ -7,6 +7,12 @@ Diagonals are cut into overlapping bands (width 2 * (e + 1), step e + 1), the
 shared q-grams of each band are counted, bands that meet the bound are kept,
 and a banded semi-global alignment verifies them.
 
+Long passages are looked for in parts too: whatever stretch of ``part_chars``
+characters occurs with e edits holds one of the windows of part_chars + 1 -
+step characters that begin every ``step`` of them, with at most e edits.  A
+window's q-grams lie on the same diagonals as its passage's, so that windows
+are counted within the passage's bands.  Short passages are looked up exactly.
+
 Both sides are lower-cased, characters other than letters and digits become
 one space.  The benchmark is read in blocks of bounded size, so that what is
 broadcast never grows with it.
@@ -57,12 +63,25 @@ class Items:
 
     BITS = 20
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int = 0, part_chars: int = 160):
+        short = [(i, own) for i, t in items if 0 < len(own := normalise(t)) < min_chars]
+        items = [(i, t) for i, t in items if len(normalise(t)) >= max(1, min_chars)]
+        #: words of the short passages -> their ids, by number of words
+        self.short: dict[int, dict[str, list[int]]] = {}
+        for i, own in short:
+            self.short.setdefault(own.count(" ") + 1, {}).setdefault(own, []).append(i)
         self.ids = [i for i, _ in items]
         self.chars = [codes(normalise(t)) for _, t in items]
         self.budget = np.array([int(rate * len(c)) for c in self.chars], np.int64)
         # at least 1: passages so short that the lemma promises nothing are not looked for
         self.bound = np.array([max(1, len(c) + 1 - Q * (e + 1)) for c, e in zip(self.chars, self.budget, strict=True)], np.int64)
+        self.part_budget = int(rate * part_chars)
+        self.step = self.part_budget or 1
+        self.window = part_chars + 1 - self.step
+        self.part_bound = max(1, self.window + 1 - Q * (self.part_budget + 1))
+        self.long = np.array([len(c) > part_chars for c in self.chars], bool)
+        #: shared q-grams without which a text holds nothing
+        self.least = min([*self.bound.tolist(), *([self.part_bound] if self.long.any() else [])], default=1)
         grams = [qgrams(c) for c in self.chars]
         if grams:
             gram = np.concatenate(grams)
@@ -110,7 +129,7 @@ def occurrences(text: str, items: Items) -> list[tuple[int, int, int, int, int]]
     where = np.flatnonzero(items.seen[_slot(grams, items.BITS)])
     if not len(where):
         return []
-    if len(where) < items.bound.min():
+    if len(where) < items.least:
         return []
     low = np.searchsorted(items.gram, grams[where], "left")
     found = np.searchsorted(items.gram, grams[where], "right") - low
@@ -120,10 +139,42 @@ def occurrences(text: str, items: Items) -> list[tuple[int, int, int, int, int]]
     entry = np.repeat(low - np.concatenate([[0], np.cumsum(found)[:-1]]), found) + np.arange(found.sum())
     item, text_at = items.item[entry], np.repeat(where, found)
     # whatever the band, a passage needs its bound of shared q-grams in all
-    enough = np.bincount(item, minlength=len(items.bound)) >= items.bound
-    item, text_at, entry = item[enough[item]], text_at[enough[item]], entry[enough[item]]
+    shared = np.bincount(item, minlength=len(items.bound))
+    enough = shared >= items.bound
+    best = _whole(chars, items, item[enough[item]], text_at[enough[item]], entry[enough[item]])
+    for i in np.flatnonzero(items.long & (shared >= items.part_bound)).tolist():
+        own = item == i
+        if i not in best and (hit := _part(chars, items, i, text_at[own], items.at[entry[own]])):
+            best[i] = hit
+    return [(i, b, e, edits, len(items.chars[i])) for i, (edits, b, e) in sorted(best.items())]
+
+
+def _part(chars: np.ndarray, items: Items, i: int, text_at: np.ndarray, at: np.ndarray) -> tuple[int, int, int] | None:
+    """The first verified window of a long passage: (edits, begin, end)."""
+    budget, window, item = items.part_budget, items.window, items.chars[i]
+    starts = np.unique(np.append(np.arange(0, len(item) - window, items.step), len(item) - window))
+    cell = (text_at - at) // (budget + 1)
+    order = np.argsort(cell, kind="stable")
+    cell, at = cell[order], at[order]
+    known = np.unique(cell)
+    for band in np.union1d(known, known - 1).tolist():
+        own = np.unique(at[np.searchsorted(cell, band) : np.searchsorted(cell, band + 1, "right")])
+        if len(own) < items.part_bound:
+            continue
+        inside = np.searchsorted(own, starts + window - Q, "right") - np.searchsorted(own, starts)
+        lowest = band * (budget + 1)
+        for start in starts[inside >= items.part_bound].tolist():
+            begin, end = max(0, lowest + start - budget), min(len(chars), lowest + start + 2 * (budget + 1) + window + budget)
+            hit = align(item[start : start + window], chars[begin:end], budget)
+            if hit:
+                return hit[0], begin + hit[1], begin + hit[2]
+    return None
+
+
+def _whole(chars: np.ndarray, items: Items, item: np.ndarray, text_at: np.ndarray, entry: np.ndarray) -> dict[int, tuple[int, int, int]]:
+    """Index of each passage found whole -> (edits, begin, end) of its best occurrence."""
     if not len(item):
-        return []
+        return {}
     at = items.at[entry]
     cell = (text_at - at) // (items.budget[item] + 1)
     # overlapping bands: band b holds the diagonals of cells b and b + 1
@@ -152,7 +203,21 @@ def occurrences(text: str, items: Items) -> list[tuple[int, int, int, int, int]]
         hit = align(items.chars[i], chars[begin:end], budget)
         if hit and (i not in best or (hit[0], begin + hit[1]) < best[i][:2]):
             best[i] = (hit[0], begin + hit[1], begin + hit[2])
-    return [(i, b, e, edits, len(items.chars[i])) for i, (edits, b, e) in sorted(best.items())]
+    return best
+
+
+def exact(text: str, items: Items) -> list[tuple[int, int, int, int, int]]:
+    """(id, begin, end, 0, length) of the first occurrence of each short passage, on word boundaries."""
+    if not items.short:
+        return []
+    words, found = text.split(" "), {}
+    places = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()
+    for n, known in items.short.items():
+        for k in range(len(words) - n + 1):
+            own = text[places[k] : places[k + n] - 1]
+            for i in known.get(own, ()):
+                found.setdefault((i, own), (i, places[k], places[k] + len(own), 0, len(own)))
+    return list(found.values())
 
 
 def _blocks(benchmark: DataFrame, max_chars: int):
@@ -176,21 +241,27 @@ def _search(shared):
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 if text:
-                    rows += [(doc_id, items.ids[i], b, e, edits, m) for i, b, e, edits, m in occurrences(normalise(text), items)]
+                    text = normalise(text)
+                    rows += [(doc_id, items.ids[i], b, e, edits, m) for i, b, e, edits, m in occurrences(text, items)]
+                    rows += [(doc_id, *x) for x in exact(text, items)]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUTPUT.split(", ")])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_chars: int = 40, max_block_chars: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_chars: int = 40, max_block_chars: int = 4_000_000, part_chars: int = 160) -> DataFrame:
     """Benchmark passages found in the documents: ``doc_id, item_id, begin, end, edits, item_chars``.
 
     A passage counts as found when the whole of it aligns with at most
     ``rate`` * its normalised length edits (``rate`` < 1/8 keeps the lemma's
-    bound positive).  Positions count characters of the normalised text;
+    bound positive), or, of a passage longer than ``part_chars``, any stretch
+    of so many characters with at most ``rate`` * part_chars edits (begin, end
+    and edits are then those of the first window found).  Passages of fewer
+    than ``min_chars`` normalised characters are found where they stand
+    exactly, on word boundaries.  Positions count characters of the normalised text;
     of several occurrences of one passage in one row the best is reported.
-    Null and empty texts contain nothing; passages of fewer than ``min_chars``
-    normalised characters and null passages are never looked for; documents
+    Null and empty texts contain nothing; null passages and those without a
+    letter or digit are never looked for; documents
     with a null doc_id are reported with null; repeated rows each report;
     extra columns are ignored; empty tables give an empty table.
     """
@@ -199,9 +270,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_
     passages = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     out = None
     for block in _blocks(passages, max_block_chars):
-        block = [(i, t) for i, t in block if len(normalise(t)) >= min_chars]
-        if block:
-            part = texts.mapInPandas(_search(spark.sparkContext.broadcast(Items(block, rate))), OUTPUT)
+        items = Items(block, rate, min_chars, part_chars)
+        if items.ids or items.short:
+            part = texts.mapInPandas(_search(spark.sparkContext.broadcast(items)), OUTPUT)
             out = part if out is None else out.unionByName(part)
     return id_number(spark.createDataFrame([], OUTPUT) if out is None else out, "doc_id")
 
