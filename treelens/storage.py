@@ -9,18 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is configured."""
+    """The folder in spark.checkpoint.dir; a temporary one only where none is configured and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(spark, "_treelens_shared", None)
         if folder is None:
             folder = spark._treelens_shared = tempfile.mkdtemp(prefix="treelens-")
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder, which discard() deletes."""
+    path = f"{shared_dir(spark)}/treelens-{name}-{uuid.uuid4().hex}"
+    spark.__dict__.setdefault("_treelens_folders", []).append(path)
+    return path
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Written and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/treelens-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes what this session has saved, once no DataFrame that reads it is needed any more; the number of folders."""
+    folders, spark._treelens_folders = spark.__dict__.get("_treelens_folders", []), []
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
