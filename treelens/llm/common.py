@@ -8,42 +8,40 @@ costs a re-read and never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import pickle
 import sys
-import tempfile
-import uuid
+from collections.abc import Callable
 
 import pyspark.cloudpickle as cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Functions of this package that run on executors travel by value: no executor
-# needs the repository on its path.
+from ..storage import new_folder, save
+
+__all__ = ["bounded_sample", "columns", "held_out", "id_number", "id_text", "new_folder", "save", "ship", "table", "word_count"]
+
+# Functions of this package that run on executors travel by value, and
+# so do the objects that ``ship`` broadcasts: no executor needs the repository on its path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
 #: White space of the word definition used by every operator: \x20, \x09-\x0D.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark, "_treelens_shared", None)
-        if folder is None:
-            folder = spark._treelens_shared = tempfile.mkdtemp(prefix="treelens-")
-    return folder.rstrip("/")
-
+def ship(spark: SparkSession, value) -> Callable[[], object]:
+    """A function that gives ``value`` on any executor, with its classes: it is broadcast as bytes made by cloudpickle.
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/treelens-{name}-{uuid.uuid4().hex}"
+    (A plain broadcast pickles instances by the name of their class, which an
+    executor without this package cannot import.)  Each worker process loads it once.
+    """
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
+    def get():
+        if not hasattr(shared, "_loaded"):
+            shared._loaded = pickle.loads(shared.value)
+        return shared._loaded
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return get
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, id_number, id_text
+from .common import columns, id_number, id_text, ship
 
 Q = 10
 _SEPARATORS = re.compile(r"[\W_]+")

@@ -9,16 +9,15 @@ most letters.
 
 from __future__ import annotations
 
-import functools
-import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, id_number, id_text
+from .common import bounded_sample, held_out, id_number, id_text, ship
 
 # First code points of the scripts that are told apart (each range ends where it says).
 SCRIPTS = (
@@ -38,22 +37,18 @@ CLIP = 8.0
 TRAIN_ROWS = 4000
 
 OUTPUT = "doc_id string, held_out boolean, lang_pred string, score double, spans array<struct<begin:int,end:int,lang:string>>"
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+# letters with the marks that follow them (vowel signs, accents of decomposed text); no numerals of any kind
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+(?:['’]\p{L}[\p{L}\p{M}]*+)*+")
 
 
-@functools.cache
-def _script(char: str) -> str:
-    code = ord(char)
+def script(word: str) -> str:
+    code = ord(word[0])
     for name, first, last in SCRIPTS:
         if first <= code <= last:
             return name
     return "other"
 
 
-def script(word: str) -> str:
-    return _script(word[0])
-
-
 class Model:
     def __init__(self, rows: list[tuple[str, str]]):
         """rows: (text, language) of the training documents."""
@@ -262,13 +257,14 @@ def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     name).  Repeated rows each get a row; a null doc_id has held_out null;
     extra columns are ignored; an empty table gives an empty table.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def run(batches):
-        scored = Scored(shared.value)
+        model = shared()
+        scored = Scored(model)
         for batch in batches:
             for part in _groups(batch):
-                found = predict(list(part["text"]), shared.value, scored, spans)
+                found = predict(list(part["text"]), model, scored, spans)
                 yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "spans": [x[2] for x in found]})
 
     rows = docs.select(id_text("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
@@ -285,14 +281,15 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0, min_k
     any learned language.  Arrow batches are filtered
     as they are: nulls, large ids and nested columns pass unchanged.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def run(batches):
-        scored = Scored(shared.value)
+        model = shared()
+        scored = Scored(model)
         for batch in batches:
             keep = []
             for part in _groups(pd.DataFrame({"text": batch.column("text").to_pylist()}, dtype=object)):
-                found = _judged(list(part["text"]), shared.value, scored, spans=False)
+                found = _judged(list(part["text"]), model, scored, spans=False)
                 keep += [lang != UNKNOWN and held >= min_score and known >= min_known for lang, _, _, held, known in found]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -18,23 +18,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, id_number, id_text
+from .common import bounded_sample, held_out, id_number, id_text, ship
 
 BUCKETS, DIM = 1 << 17, 8
 ORDERS = (3, 4, 5)
-#: Words in a window; windows overlap by half.
-WINDOW = 5
-EPOCHS, RATE = 12, 0.2
+#: Words in a window; one window begins at every word.
+WINDOW = 3
+EPOCHS, RATE = 16, 0.2
 #: An n-gram is learned only if that many training texts have it (a hundredth of them, if that is less); the others stay at zero.
-LEAST_TEXTS = 20
+LEAST_TEXTS = 3
 #: Weight of a toxic row's step; the other rows weigh 1.
-POSITIVE = 3.0
-#: From pass TRIM_FROM on, the share of either label's rows with the largest loss is left out: labels are noisy.
-TRIM, TRIM_FROM = {0: 0.0, 1: 0.5}, 1
-#: Added to the toxic logit after training: leaving out rows of large loss makes the model timid.
-LEAN = 0.7
+POSITIVE = 2.0
 #: Training rows at most, by a hash of their id.
-TRAIN_ROWS = 5000
+TRAIN_ROWS = 6000
 
 OUTPUT = "doc_id string, held_out boolean, score double, predicted int"
 _WORD = re.compile(r"[^\W_]+")
@@ -79,14 +75,11 @@ class Model:
         offset, n = float(self.bias[1] - self.bias[0]), len(values)
         if not n:
             return offset, (0, 0)
-        sums = np.concatenate([[0.0], np.cumsum(values)])
-        at = np.arange(0, max(1, n - WINDOW + 1), WINDOW // 2)
-        if n > WINDOW:
-            at = np.append(at, n - WINDOW)
         width = min(n, WINDOW)
-        means = (sums[at + width] - sums[at]) / width
+        sums = np.concatenate([[0.0], np.cumsum(values)])
+        means = (sums[width:] - sums[:-width]) / width
         best = int(np.argmax(means))
-        return float(means[best]) + offset, (int(at[best]), int(at[best]) + width)
+        return float(means[best]) + offset, (best, best + width)
 
     def train(self, rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> None:
         """rows: (text, label 0 or 1)."""
@@ -113,20 +106,12 @@ class Model:
         for epoch in range(epochs):
             pull = self.embed @ (self.weight[1] - self.weight[0])
             value = np.add.reduceat(pull[flat], first[:-1]) / sizes if len(bags) else np.empty(0)
-            chosen, loss = [], np.zeros(len(rows))
-            for k, text in enumerate(texts):
-                logit, (b, e) = self._best(value[text])
-                # at first nothing is known: the whole text stands for its windows
-                chosen.append(text if epoch == 0 else text[b:e])
-                loss[k] = np.logaddexp(0, -logit if labels[k] else logit)
+            # at first nothing is known: the whole text stands for its windows
+            chosen = texts if epoch == 0 else [text[slice(*self._best(value[text])[1])] for text in texts]
             order = random.permutation(len(rows))
-            if epoch >= TRIM_FROM:
-                limit = np.array([np.quantile(loss[labels == y], 1 - TRIM[y]) for y in (0, 1)])
-                order = order[loss[order] <= limit[labels[order]]]
             for begin in range(0, len(order), 32):
                 part = order[begin : begin + 32]
                 self._step([chosen[i] for i in part], labels[part], rate * (1 - epoch / epochs), (flat, first, sizes), frozen, speed)
-        self.bias[1] += LEAN
         self.pull, self.cache = None, {}
 
     def _step(self, texts: list[np.ndarray], labels: np.ndarray, rate: float, bags: tuple, frozen: np.ndarray, speed: list[np.ndarray]) -> None:
@@ -158,11 +143,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     """Learns from at most ``train_rows`` labelled documents that are not held out.
 
     Labels other than 0 and 1 are ignored; of a document labelled more than
-    once the largest label counts.
+    once the largest label counts, of rows that repeat a doc_id one text.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = bounded_sample(known.where(~held_out(F.col("doc_id"))), "doc_id", train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy("doc_id", "text")  # at most train_rows rows
+    own = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most train_rows ids on the right
+    rows = own.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy("doc_id")
     model = Model()
     model.train([(r.text, r.toxic) for r in rows.select("text", "toxic").toLocalIterator()])
     return model
@@ -175,11 +161,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows each get a row; a null doc_id has held_out null; extra columns are
     ignored; an empty table gives an empty table.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, model)
 
     def run(batches):
+        model = shared()
         for batch in batches:
-            logits = np.array([shared.value.logit(t) for t in batch["text"]], np.float64)
+            logits = np.array([model.logit(t) for t in batch["text"]], np.float64)
             p = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": p, "predicted": (p >= 0.5).astype("int32")})
 
