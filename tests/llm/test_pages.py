@@ -1,3 +1,5 @@
+import pytest
+
 from treelens.llm import htmltext, warc
 
 
@@ -13,6 +15,26 @@ def test_archive_round_trip_and_revisits(spark, tmp_path):
     back = sorted((r.page_id or 0, r.html) for r in warc.restore(records).collect())
     assert back == sorted((i or 0, h or "") for i, _, h in rows)
     assert warc.archive(pages.limit(0), str(tmp_path / "e")).count() == 0
+    # revisits refer to record ids that exist, of the response's page
+    ids = {r.record_id: r for r in records.collect()}
+    assert all(ids[r.refers_to_id].page_id == r.refers_to for r in records.collect() if r.record_type == "revisit")
+
+
+def test_repeated_rows_get_records_of_their_own(spark, tmp_path):
+    body = "<p>the same</p>" * 20
+    pages = spark.createDataFrame([(1, "u", body)] * 3 + [(2, "v", body)] * 2 + [(3, "w", "small")] * 2 + [(None, None, "alone " * 50)] * 2, "page_id long, url string, html string")
+    records = warc.archive(pages, str(tmp_path / "w")).collect()
+    assert len({r.record_id for r in records}) == len(records) == 9
+    assert sorted((r.page_id or 0, r.record_type) for r in records) == [(0, "response")] * 2 + [(1, "response")] * 3 + [(2, "revisit")] * 2 + [(3, "response")] * 2
+
+
+def test_a_damaged_payload_is_noticed():
+    good = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Payload-Digest: sha256:00\r\nX-Payload-Length: 3\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (headers, block), = warc.parse(good)
+    assert block == b"abc"
+    for broken in (lambda: warc._record(headers, block), lambda: list(warc.parse(good[:-2])), lambda: list(warc.parse(b"x" + good))):
+        with pytest.raises(ValueError):
+            broken()
 
 
 def test_article_without_its_surroundings():

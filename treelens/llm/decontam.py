@@ -21,13 +21,15 @@ broadcast never grows with it.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, id_number, id_text, ship
+from .common import id_number, id_text, ship
 
 Q = 10
 _SEPARATORS = re.compile(r"[\W_]+")
@@ -73,12 +75,13 @@ class Items:
         self.ids = [i for i, _ in items]
         self.chars = [codes(normalise(t)) for _, t in items]
         self.budget = np.array([int(rate * len(c)) for c in self.chars], np.int64)
-        # at least 1: passages so short that the lemma promises nothing are not looked for
-        self.bound = np.array([max(1, len(c) + 1 - Q * (e + 1)) for c, e in zip(self.chars, self.budget, strict=True)], np.int64)
+        self.bound = np.array([len(c) + 1 - Q * (e + 1) for c, e in zip(self.chars, self.budget, strict=True)], np.int64)
         self.part_budget = int(rate * part_chars)
         self.step = self.part_budget or 1
         self.window = part_chars + 1 - self.step
-        self.part_bound = max(1, self.window + 1 - Q * (self.part_budget + 1))
+        self.part_bound = self.window + 1 - Q * (self.part_budget + 1)
+        if min(self.bound.min(initial=1), self.part_bound) < 1:
+            raise ValueError(f"at {rate} edits a character the q-gram lemma promises nothing for some passages; take a smaller rate or a larger min_chars")
         self.long = np.array([len(c) > part_chars for c in self.chars], bool)
         #: shared q-grams without which a text holds nothing
         self.least = min([*self.bound.tolist(), *([self.part_bound] if self.long.any() else [])], default=1)
@@ -234,27 +237,50 @@ def _blocks(benchmark: DataFrame, max_chars: int):
         yield block
 
 
+def _found(text: str | None, items: Items) -> list[tuple[int, int, int, int, int]]:
+    """(item's id, begin, end, edits, item length) of everything found in a text."""
+    if not text or not (text := normalise(text)):
+        return []
+    return [(items.ids[i], *rest) for i, *rest in occurrences(text, items)] + exact(text, items)
+
+
 def _search(shared):
     def run(batches):
-        items = shared.value
+        items = shared()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                if text:
-                    text = normalise(text)
-                    rows += [(doc_id, items.ids[i], b, e, edits, m) for i, b, e, edits, m in occurrences(text, items)]
-                    rows += [(doc_id, *x) for x in exact(text, items)]
+                rows += [(doc_id, *x) for x in _found(text, items)]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUTPUT.split(", ")])
 
     return run
 
 
+def _keep_clean(shared):
+    def run(batches):
+        items = shared()
+        for batch in batches:
+            yield batch.filter(pa.array([not _found(t, items) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return run
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, rate: float, min_chars: int, max_block_chars: int, part_chars: int):
+    """The benchmark's blocks as functions that give them on executors."""
+    passages = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    for block in _blocks(passages, max_block_chars):
+        items = Items(block, rate, min_chars, part_chars)
+        if items.ids or items.short:
+            yield ship(docs.sparkSession, items)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_chars: int = 40, max_block_chars: int = 4_000_000, part_chars: int = 160) -> DataFrame:
     """Benchmark passages found in the documents: ``doc_id, item_id, begin, end, edits, item_chars``.
 
     A passage counts as found when the whole of it aligns with at most
-    ``rate`` * its normalised length edits (``rate`` < 1/8 keeps the lemma's
-    bound positive), or, of a passage longer than ``part_chars``, any stretch
+    ``rate`` * its normalised length edits (an error where the lemma's bound
+    would not be positive: from 1/10 on, and for short passages before that),
+    or, of a passage longer than ``part_chars``, any stretch
     of so many characters with at most ``rate`` * part_chars edits (begin, end
     and edits are then those of the first window found).  Passages of fewer
     than ``min_chars`` normalised characters are found where they stand
@@ -265,19 +291,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_
     with a null doc_id are reported with null; repeated rows each report;
     extra columns are ignored; empty tables give an empty table.
     """
-    spark = docs.sparkSession
     texts = docs.select(id_text("doc_id"), "text").where("text is not null")
-    passages = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    out = None
-    for block in _blocks(passages, max_block_chars):
-        items = Items(block, rate, min_chars, part_chars)
-        if items.ids or items.short:
-            part = texts.mapInPandas(_search(spark.sparkContext.broadcast(items)), OUTPUT)
-            out = part if out is None else out.unionByName(part)
-    return id_number(spark.createDataFrame([], OUTPUT) if out is None else out, "doc_id")
+    parts = [texts.mapInPandas(_search(shared), OUTPUT) for shared in _searched(docs, benchmark, rate, min_chars, max_block_chars, part_chars)]
+    return id_number(reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], OUTPUT), "doc_id")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no passage was found, all columns as they came (null doc_ids stay)."""
-    gone = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_chars: int = 40, max_block_chars: int = 4_000_000, part_chars: int = 160) -> DataFrame:
+    """The documents in which ``contaminated`` finds no passage, all columns as they came.
+
+    Each row is judged by its own text, in place and in one pass however many
+    blocks the benchmark has: contaminated rows with a null doc_id go too, and
+    clean rows that share the id of a contaminated one stay.
+    """
+    for shared in _searched(docs, benchmark, rate, min_chars, max_block_chars, part_chars):
+        docs = docs.mapInArrow(_keep_clean(shared), docs.schema)
+    return docs

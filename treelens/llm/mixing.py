@@ -28,7 +28,7 @@ MAX_REPEATS = 3
 #: Words in a block.
 BLOCK_TOKENS = 64
 #: Documents in a shard, on average over all sources, and shards at most.
-ROWS_PER_SHARD, MAX_SHARDS = 1024, 4096
+ROWS_PER_SHARD, MAX_SHARDS = 1024, 1 << 20
 SEED = 20
 #: What the mix says of a document.
 ADDED = ("size", "source_size", "target", "taken")

@@ -9,12 +9,18 @@ ranks for a whole batch of documents at once.
 Plan
   1. one pass over the texts: shingle-set size, 128-bit digest of the set, band keys;
   2. exact copies of a set collapse to one representative (the smallest id);
-  3. band keys give candidate groups (components of the bucket graph);
-  4. each member is verified against a few centres of its group, full sets;
-  5. what the centres left apart is compared in blocks, full sets, skipping
-     pairs that are already connected - no pair is ever emitted unless it is a link;
+  3. equal band keys make buckets; only documents that share a bucket are ever compared;
+  4. each member is verified against the centre of each of its buckets, full
+     sets, every pair once, and the verified links are contracted;
+  5. buckets whose members are not all connected yet are compared in blocks,
+     full sets, across components only - no pair is emitted unless it is a link;
   6. components of the verified links, mapped back to all documents.
 
+A bucket of up to BLOCK members is a block (equal ones are compared once).  The
+members of larger buckets are dealt to blocks by the largest of their buckets,
+so that documents of a kind lie together, and two blocks meet once if they
+have a bucket in common.
+
 Candidate recall: a pair at the threshold 0.8 shares one of 32 bands of 4 rows
 with probability 1 - (1 - 0.8^4)^32 > 1 - 5e-8; everything after that is exact.
 """
@@ -31,10 +37,8 @@ from .common import columns, id_number, id_text, save
 from .components import connected_components
 
 SLOTS, ROWS = 128, 4
-#: Members of a candidate group that one block of step 5 holds, on average.
+#: Members of a block in step 5 (on average, in buckets that are cut).
 BLOCK = 96
-#: Centres per candidate group in step 4.
-CENTRES = 3
 #: Documents whose shingles are flattened together in one signature call.
 CHUNK = 256
 
@@ -142,7 +146,8 @@ def _sets(width: int):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "set": [shingles(t, width, hashes).tobytes() for t in batch["text"]]})
+            sets = [shingles(t, width, hashes).tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["doc_id"], "digest": [xxhash.xxh3_128_digest(s) for s in sets], "set": sets})
 
     return run
 
@@ -151,21 +156,18 @@ def linked(common, a, b, percent: int):
     return 100 * common >= percent * (a + b - common)
 
 
-def _to_centres(percent: int):
-    """Links from each member to the centres of its group."""
+def _pairwise(percent: int):
+    """The pairs (src with set a, dst with set b) that are links."""
 
     def run(batches):
         for batch in batches:
             src, dst = [], []
-            for i, raw, centres in zip(batch["id"], batch["set"], batch["centres"], strict=True):
-                mine = np.frombuffer(raw, _U)
-                for c in centres:
-                    other = np.frombuffer(c["set"], _U)
-                    if c["id"] != i and linked(min(len(mine), len(other)), len(mine), len(other), percent):
-                        at = np.minimum(np.searchsorted(other, mine), len(other) - 1)
-                        if linked(np.count_nonzero(other[at] == mine), len(mine), len(other), percent):
-                            src.append(i)
-                            dst.append(c["id"])
+            for i, a, j, b in zip(batch["src"], batch["a"], batch["dst"], batch["b"], strict=True):
+                mine, other = np.frombuffer(a, _U), np.frombuffer(b, _U)
+                at = np.minimum(np.searchsorted(other, mine), len(other) - 1)
+                if linked(np.count_nonzero(other[at] == mine), len(mine), len(other), percent):
+                    src.append(i)
+                    dst.append(j)
             yield pd.DataFrame({"src": src, "dst": dst}, dtype="int64")
 
     return run
@@ -197,28 +199,35 @@ def _in_block(percent: int):
     return run
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """``(group, id, component)`` -> ``(pair, side, id, component)`` for step 5.
+def _small_blocks(members: DataFrame) -> DataFrame:
+    """``(band, id, component)`` of buckets up to BLOCK members -> ``(pair, side, id, component)``, equal buckets once."""
+    blocks = members.groupBy("band").agg(F.array_sort(F.collect_set(F.struct("id", "component"))).alias("own")).select("own").distinct()
+    key = F.md5(F.array_join(F.transform("own", lambda m: m["id"].cast("string")), ","))
+    return blocks.select(key.alias("pair"), F.lit(0).alias("side"), F.explode("own").alias("m")).select("pair", "side", "m.id", "m.component")
+
+
+def _cut_blocks(members: DataFrame) -> DataFrame:
+    """``(band, n, id, component)`` of larger buckets -> ``(pair, side, id, component)``.
 
     A component of more than BLOCK members is cut into blocks of its own, the
-    small components of a group share blocks; two blocks of the same large
-    component are never paired, so a large group that is already connected
-    costs nothing.
+    small ones of a bucket share blocks; two blocks of the same large
+    component are never paired, so what is connected already costs nothing.
     """
-    size = members.groupBy("group", "component").agg(F.count("*").alias("n"))
-    groups = size.groupBy("group").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).alias("small"))
-    size = size.join(groups.where("parts > 1"), "group")
+    own = members.groupBy("id", "component").agg(F.max_by("band", F.struct("n", "band")).alias("home"))
+    size = own.groupBy("home", "component").agg(F.count("*").alias("n"))
+    small = size.groupBy("home").agg(F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).alias("small"))
     large = F.col("n") > BLOCK
-    size = size.select("group", "component", F.when(large, F.col("component")).otherwise(F.lit(-1)).alias("part"), F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / BLOCK).alias("cuts"))
-    cut = members.join(size, ["group", "component"]).select("group", "id", "component", "part", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("cuts")).alias("cut"))
-    cut = save(cut, "blocks")
-    blocks = cut.select("group", "part", "cut").distinct()
-    other = blocks.select("group", F.col("part").alias("part2"), F.col("cut").alias("cut2"))
-    pairs = blocks.join(other, "group").where("(part < part2) or (part = part2 and part = -1 and cut <= cut2)")
-    pairs = pairs.withColumn("pair", F.concat_ws(":", "group", "part", "cut", "part2", "cut2"))
-    one = pairs.select("pair", "group", "part", "cut", F.lit(0).alias("side"))
-    two = pairs.where("part <> part2 or cut <> cut2").select("pair", "group", F.col("part2").alias("part"), F.col("cut2").alias("cut"), F.lit(1).alias("side"))
-    return cut.join(one.unionByName(two), ["group", "part", "cut"]).select("pair", "side", "id", "component")
+    size = save(size.join(small, "home").select("home", "component", F.when(large, F.col("component")).otherwise(F.lit(-1)).alias("part"), F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / BLOCK).alias("cuts")), "cuts")
+    block = F.concat_ws(":", "home", "part", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("cuts")))
+    placed = save(own.join(size, ["home", "component"]).select("id", "component", "part", block.alias("block")), "blocks")
+    # which blocks meet: those with members in one bucket; counts of blocks, not of members
+    held = save(members.select("id", "band").join(placed.select("id", "part", "block"), "id").select("band", "part", "block").distinct(), "held")
+    other = held.select("band", F.col("part").alias("part2"), F.col("block").alias("block2"))
+    meet = held.join(other, "band").where("block <= block2 and (part <> part2 or part = -1)").select("block", "block2").distinct()
+    meet = save(meet.withColumn("pair", F.concat_ws("|", "block", "block2")), "meet")
+    one = meet.select("pair", "block", F.lit(0).alias("side"))
+    two = meet.where("block <> block2").select("pair", F.col("block2").alias("block"), F.lit(1).alias("side"))
+    return placed.join(one.unionByName(two), "block").select("pair", "side", "id", "component")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -228,7 +237,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Null, empty and wordless texts have an empty set and are linked with
     nothing; fewer than ``width`` words form one shingle; rows that repeat a
     doc_id each get a row (and share the id's component when their sets do);
-    a null doc_id is its own null component and kept is false; extra columns
+    a row with a null doc_id links nothing: it shares the component of an equal
+    set, else has none, and kept is false; extra columns
     are ignored.  An empty table gives an empty table.
     """
     signed = docs.select(id_text("doc_id"), "text").mapInPandas(_signatures(width), "doc_id string, n_shingles long, digest binary, bands array<long>")
@@ -236,30 +246,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = signed.where("doc_id is not null and digest is not null")
     # bands follow from the digest, so any row of a class has the same ones
-    classes = save(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "classes")
-
-    bands = classes.select("id", F.explode("bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "low")
-    reached = save(bands.join(buckets, "band").where("id <> low").select(F.col("id").alias("src"), F.col("low").alias("dst")).distinct(), "buckets")
-    groups = save(connected_components(reached, "candidates").withColumnRenamed("component", "group"), "groups")
-
-    texts = docs.where("doc_id is not null").join(groups.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = texts.mapInPandas(_sets(width), "id long, set binary")
-    # a doc_id that repeats with another text: keep the set of the class that chose the id
-    digests = classes.select("id", "digest", "copies").join(groups, "id")
-    sets = save(sets.dropDuplicates(["id", "set"]).join(digests.select("id", "group", "copies"), "id"), "sets")
-
-    centre = F.struct(-F.col("copies"), F.xxhash64("id"), F.col("id").alias("id"), F.col("set").alias("set"))
-    picks = sets.withColumn("draw", F.pmod(F.xxhash64(F.lit("centre"), "id"), F.lit(CENTRES)))
-    picks = picks.groupBy("group", "draw").agg(F.min(centre).alias("c")).groupBy("group").agg(F.collect_list(F.struct(F.col("c.id").alias("id"), F.col("c.set").alias("set"))).alias("centres"))
-    # written, so that the join's sides are plain exchanges and a hot group's members can be split among tasks
-    picks = save(picks, "centres")
-    stars = sets.join(picks, "group").select("id", "set", "centres").mapInPandas(_to_centres(percent), "src long, dst long")
-    stars = save(stars, "stars")
-    first = connected_components(stars, "stars-cc")
-    members = groups.join(first, "id", "left").select("group", "id", F.coalesce("component", "id").alias("component"))
-    paired = _block_pairs(members).join(sets.select("id", "set"), "id")
-    rest = paired.groupBy("pair").applyInPandas(_in_block(percent), "src long, dst long")
+    classes = save(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies")), "classes")
+
+    bands = classes.select("id", "copies", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
+    # the centre of a bucket: what has most exact copies, the same one for all buckets where possible
+    order = F.struct(-F.col("copies"), F.xxhash64("id"), F.col("id").alias("id"), F.col("size").alias("size"))
+    buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min(order).alias("centre")).where("n > 1")
+    buckets = save(buckets.select("band", "n", F.col("centre.id").alias("centre"), F.col("centre.size").alias("centre_size")), "buckets")
+    members = save(bands.drop("copies").join(buckets, "band"), "members")
+
+    texts = docs.where("doc_id is not null").join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # a doc_id that repeats with another text has the sets of the classes that it represents
+    sets = texts.mapInPandas(_sets(width), "id long, digest binary, set binary").dropDuplicates(["id", "digest"])
+    sets = save(sets.join(classes.select("id", "digest"), ["id", "digest"], "left_semi").select("id", "set"), "sets")
+
+    possible = (F.col("id") != F.col("centre")) & (100 * F.least("size", "centre_size") >= percent * F.greatest("size", "centre_size"))
+    stars = members.where(possible).select(F.col("id").alias("src"), F.col("centre").alias("dst")).distinct()
+    stars = stars.join(sets.select(F.col("id").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("set").alias("b")), "dst")
+    stars = save(stars.select("src", "a", "dst", "b").mapInPandas(_pairwise(percent), "src long, dst long"), "stars")
+
+    first = save(connected_components(stars, "stars-cc"), "first")
+    members = save(members.join(first, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component")), "joined")
+    # what is all one component is settled
+    open_ = save(members.groupBy("band").agg((F.min("component") < F.max("component")).alias("open")).where("open").select("band"), "open")
+    members = save(members.join(open_, "band", "left_semi"), "unsettled")
+    blocks = _small_blocks(members.where(F.col("n") <= BLOCK)).unionByName(_cut_blocks(members.where(F.col("n") > BLOCK)))
+    rest = blocks.join(sets, "id").groupBy("pair").applyInPandas(_in_block(percent), "src long, dst long")
     links = stars.unionByName(save(rest, "links"))
     components = connected_components(links, "components")
 
@@ -272,7 +284,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents that represent their component, all columns as they came.
 
-    Rows that repeat a kept doc_id are all kept; rows with a null doc_id are kept.
+    Rows that repeat a kept doc_id are all kept; rows with a null doc_id are
+    kept, since no component has them for its representative.
     """
     gone = near_duplicates(docs, width, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))

@@ -103,7 +103,7 @@ FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id LEFT JOIN component c O
 """
 
 #: Exact: words in repeats of at least m words are the words in windows of m words that occur twice.  The longest
-#: repeat is too long if a window of that many words (and one more than a quarter of the text) occurs twice; such a
+#: repeat is too long if a window of that many words (and one more than a tenth of the text) occurs twice; such a
 #: window starts where a window of eight words occurs twice, so only those starts are looked at.
 _OP8 = r"""
 WITH d AS (
@@ -125,7 +125,7 @@ WITH d AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), too_long_ones AS (
   SELECT doc_id, count(*) > count(DISTINCT window_hash) AS too_long FROM (
-    SELECT t.doc_id, md5(array_to_string(d.w[t.i : t.i + greatest(50, t.n // 4 + 1) - 1], ' ')) AS window_hash FROM inside t JOIN d ON d.doc_id = t.doc_id WHERE t.r8 AND t.i + greatest(50, t.n // 4 + 1) - 1 <= t.n
+    SELECT t.doc_id, md5(array_to_string(d.w[t.i : t.i + greatest(50, t.n // 10 + 1) - 1], ' ')) AS window_hash FROM inside t JOIN d ON d.doc_id = t.doc_id WHERE t.r8 AND t.i + greatest(50, t.n // 10 + 1) - 1 <= t.n
   ) GROUP BY doc_id
 ), judged AS (
   SELECT d.doc_id, coalesce(c.n_words, 0) AS n_words, coalesce(c.word_chars, 0) AS word_chars, length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
@@ -134,7 +134,7 @@ WITH d AS (
   FROM d LEFT JOIN counts c ON c.doc_id = d.doc_id LEFT JOIN too_long_ones l ON l.doc_id = d.doc_id LEFT JOIN lines x ON x.doc_id = d.doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 2 * covered_words > n_words OR too_long) AS kept, covered_words
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * covered_words > 30 * n_words OR too_long) AS kept, covered_words
 FROM judged
 """
 

@@ -80,7 +80,7 @@ def covered_windows(repeats: np.ndarray, width: int) -> int:
     return covered(np.where(repeats >= width, width, 0), width)
 
 
-def judge(text: str | None, min_words: int, max_share: float, max_longest_share: float, longest_from: int) -> tuple:
+def judge(text: str | None, min_words: int, max_percent: int, max_longest_percent: int, longest_from: int) -> tuple:
     text = text or ""
     words = _WORD.findall(text)
     n = len(words)
@@ -91,16 +91,17 @@ def judge(text: str | None, min_words: int, max_share: float, max_longest_share:
     n_repeat = covered_windows(repeats, 3)
     base_failed = n < 50 or 100 * n_repeat > 50 * n
     inside, longest = covered(repeats, min_words), int(repeats.max()) if n else 0
-    repetitive = n > 0 and (inside > max_share * n or (longest >= longest_from and longest > max_longest_share * n))
+    repetitive = 100 * inside > max_percent * n or (longest >= longest_from and 100 * longest > max_longest_percent * n)
     return n, sum(map(len, words)), len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), n_repeat, base_failed, not (base_failed or repetitive), inside, longest
 
 
-def quality_rules(docs: DataFrame, min_words: int = 8, max_share: float = 0.5, max_longest_share: float = 0.25, longest_from: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 8, max_percent: int = 30, max_longest_percent: int = 10, longest_from: int = 50) -> DataFrame:
     """Counts and verdict of every document's whole text.
 
-    ``max_share``: largest share of the words in repeats of at least
-    ``min_words`` words.  ``max_longest_share``: largest share of the words in
-    the longest repeat, if that has ``longest_from`` words or more.
+    ``max_percent``: of the words, as many at most may lie in repeats of at
+    least ``min_words`` words (the base rule alone lets half of them).
+    ``max_longest_percent``: as many at most in the longest repeat, if that
+    has ``longest_from`` words or more (two copies of it may stay below the first limit).
     Null text counts as empty (all counts 0, base_failed true); repeated rows
     each get a row; null doc_id stays null; extra columns are ignored; an
     empty table gives an empty table.
@@ -109,7 +110,7 @@ def quality_rules(docs: DataFrame, min_words: int = 8, max_share: float = 0.5, m
     def run(batches):
         names = [x.split()[0] for x in OUTPUT.split(", ")][1:]
         for batch in batches:
-            rows = [judge(t, min_words, max_share, max_longest_share, longest_from) for t in batch["text"]]
+            rows = [judge(t, min_words, max_percent, max_longest_percent, longest_from) for t in batch["text"]]
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out

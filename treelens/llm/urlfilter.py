@@ -26,25 +26,34 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
-#: The labelled URLs (1: block) that the model is trained from unless another table is given.
-LABELLED = tuple(
-    [(f"https://{u}", 1) for u in (
-        "spam-farm.example.org/en/1", "www.spam-farm.example.net/de/20", "spam-deals.example.com/offer", "best-spam.example.net/es/buy-now", "adult-x.example.net/en/7", "m.adult-x.example.com/fr/19",
-        "adult-video.example.org/watch", "xxx-adult.example.net/cam", "casino-win.example.com/bonus", "online-casino.example.net/poker/free-spins", "cheap-pills.example.org/viagra", "free-pills.example.net/order",
-        "porn-tube.example.com/video/5", "hot-xxx.example.org/gallery", "click-farm.example.net/ads?ref=x", "malware-download.example.com/setup.exe", "warez-crack.example.net/keygen", "phishing-login.example.org/verify-account",
-        "payday-loans.example.com/apply-now", "replica-watches.example.net/sale", "link-farm.example.org/en/300", "spamlinks.example.com/page/2", "adult-dating.example.net/join", "betting-casino.example.org/odds",
-    )]
-    + [(f"https://{u}", 0) for u in (
-        "www.therhe.example.org/en/12", "blog.tionsh.example.net/de/945", "news.example.com/en/world/article-5", "docs.example.org/guide/install.html", "m.ththth.example.net/en/742/", "blog.ththan.example.net/en/78?utm_source=feed",
-        "www.ththhe.example.com/fr/773", "library.example.org/catalog/1999", "university.example.net/research/paper", "weather.example.com/today", "ththre.example.com/fr/825?page=2&ref=x", "www.tionble.example.com/fr/748",
-        "recipes.example.net/es/soup", "museum.example.org/exhibits", "therat.example.net/en/627/", "forum.example.com/thread/88", "m.theron.example.com/fr/357", "wiki.example.org/history",
-        "ththing.example.net/en/125/", "ththnt.example.com/de/252.html", "sports.example.net/en/results", "maps.example.com/city", "blog.tiontion.example.com/en/99", "www.ththis.example.net/es/12#top",
-    )]
-)
+# The labelled URLs that the model is trained from unless another table is given: invented hosts, by a rule.
+_BAD = "casino poker slots betting jackpot viagra pills pharma porn xxx adult escort webcam spam spamlinks clickfarm linkfarm warez cracks keygen malware phishing replica payday".split()
+_GOOD = "news docs library university museum recipes weather wiki forum journal school research garden travel music health science sports city maps history theatre kitchen river".split()
+_PLAIN = "velora minathe sorenth tarion ondale thestin larenth evonne marisol brennach dolive castelle norand ithera penwick aldine".split()
+_ENDINGS = ("com", "net", "org", "info")
+
+
+def _labelled() -> list[tuple[str, int]]:
+    """(url, label): 1 means block."""
+    rows = []
+    for i, word in enumerate(_BAD):
+        rows += [(f"https://{word}-{_PLAIN[i % 16]}.{_ENDINGS[i % 4]}/{('offer', 'free', 'join', 'bonus')[i % 4]}/{i}", 1), (f"http://www.best-{word}.{_ENDINGS[(i + 1) % 4]}/{word}/{7 * i}", 1)]
+        rows += [(f"http://{word}{_BAD[(i + 7) % 24]}.{_PLAIN[(i + 9) % 16]}.{_ENDINGS[(i + 2) % 4]}/{_BAD[(i + 3) % 24]}", 1)]
+    for i, word in enumerate(_GOOD):
+        rows += [(f"https://{word}.{_PLAIN[i % 16]}.{_ENDINGS[i % 4]}/en/{3 * i}", 0), (f"http://www.{_PLAIN[(i + 5) % 16]}-{word}.{_ENDINGS[(i + 1) % 4]}/{('article', 'guide', 'page', 'de')[i % 4]}/{i}.html", 0)]
+        rows += [(f"http://{word}{('', '-')[i % 2]}{_GOOD[(i + 7) % 24]}.{_PLAIN[(i + 9) % 16]}.{_ENDINGS[(i + 2) % 4]}/{_GOOD[(i + 3) % 24]}", 0)]
+    for i, word in enumerate(_PLAIN):
+        rows += [(f"https://{('m', 'blog', 'www')[i % 3]}.{word}.{_ENDINGS[k]}/{('en', 'de', 'fr', 'es')[k]}/{37 * i + k}{('', '/', '.html', '?page=2')[k]}", 0) for k in range(4)]
+    return rows
+
+
+LABELLED = tuple(_labelled())
 
 DIMENSIONS = 4096
 ORDERS = (3, 4, 5)
-STEPS, RATE, PENALTY = 150, 0.5, 0.01
+STEPS, RATE, PENALTY = 400, 0.1, 0.001
+#: Value of the bias's feature; less than an example's length, or the bias alone would sway in the descent.
+BIAS = 0.3
 #: The labelled table must be small: its examples at most, and the characters of each that are used at most.
 MAX_EXAMPLES = 500
 
@@ -97,7 +106,7 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, steps: int = STEPS,
         return F.size(F.array_intersect(a["x"], b["x"])) / F.sqrt(F.size(a["x"]) * F.size(b["x"]).cast("double"))
 
     # written and read back, here and below: else the optimiser would put the matrix into the descent's loops
-    data = save(data.where(n > 0).withColumn("k", F.transform("d", lambda a: F.transform("d", lambda b: dot(a, b) + 1.0))), "gram")
+    data = save(data.where(n > 0).withColumn("k", F.transform("d", lambda a: F.transform("d", lambda b: dot(a, b) + BIAS * BIAS))), "gram")
     zero = F.transform("d", lambda _: F.lit(0.0))
 
     def step(alpha: Column, _: Column) -> Column:
@@ -113,7 +122,7 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, steps: int = STEPS,
     out = [0.0] * dimensions
     for r in weights.collect():  # at most `dimensions` rows
         out[r.g] = r.w
-    return out, each.agg(F.coalesce(F.sum("alpha"), F.lit(0.0))).first()[0]
+    return out, BIAS * BIAS * each.agg(F.coalesce(F.sum("alpha"), F.lit(0.0))).first()[0]
 
 
 def rule(host: Column, path: Column, rules=RULES) -> Column:
