@@ -38,8 +38,11 @@ def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds size, source_size, target and taken; documents the mix takes nothing of stay, with taken 0."""
-    return mixing.mix_documents(docs)
+    """The documents that the mix takes words of, each with ``taken``: its words in the mix, taken / size times over.
+
+    Adds size, source_size, target and taken; a document of which nothing is taken goes.
+    """
+    return mixing.mix_documents(docs).where("taken > 0")
 
 
 STAGES = [
