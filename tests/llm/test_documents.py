@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -63,6 +64,27 @@ def test_near_duplicates_edges(spark):
     assert sorted(r.doc_id or 0 for r in neardup.drop_near_duplicates(docs).collect()) == [0, 1, 1]
 
 
+def test_large_buckets_lose_no_link(spark):
+    """Many texts that share buckets without being one component: cut into blocks, nothing is lost."""
+    dice = random.Random(15)
+    words = [f"w{i}" for i in range(3000)]
+    base = [dice.choice(words) for _ in range(90)]
+    texts = {}
+    for k in range(420):
+        own = list(base)
+        for _ in range(dice.choice([4, 6, 7, 8, 9])):  # most pairs are below the limit, some above
+            own[dice.randrange(len(own))] = dice.choice(words)
+        texts[k] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    before, neardup.BLOCK = neardup.BLOCK, 16
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 4, 80).collect()}
+    finally:
+        neardup.BLOCK = before
+    want = _near(texts, 4, 80)
+    assert len({c for _, c in want.values()}) > 60 and got == want
+
+
 def test_superminhash_is_the_sequential_algorithm_and_estimates():
     slots = 16
     sets = [neardup.shingles(" ".join(f"w{i}" for i in range(n)), 2, neardup.WordHashes()) for n in (2, 3, 9, 200)]
@@ -118,7 +140,7 @@ def test_quality_rules(spark):
     assert got[6].n_repeat_words == 150000 and not got[6].kept
     # long single repeat beyond a quarter of the words, though the base rule passes
     text = " ".join([f"p{i}" for i in range(100)] + [f"q{i}" for i in range(75)] + [f"r{i}" for i in range(5)] + [f"q{i}" for i in range(75)] + [f"s{i}" for i in range(45)])
-    row = repetition.judge(text, 8, 0.9, 0.2, 50)
+    row = repetition.judge(text, 8, 90, 20, 50)
     assert row[-1] == 75 and row[-2] == 150 and not row[-3] and not row[5]
 
 
@@ -168,8 +190,51 @@ def test_decontamination_finds_edited_passages_and_nothing_else(spark):
     # blocks of the benchmark give the same result as one
     assert got == {(r.doc_id, r.item_id) for r in decontam.contaminated(both, bench, max_block_chars=2000).collect()}
     assert decontam.contaminated(both, bench.limit(0)).count() == 0 and decontam.contaminated(both.limit(0), bench).count() == 0
-    kept = decontam.drop_contaminated(both, bench)
-    assert kept.count() == both.count() - len({d for d, _ in want})
+    for options in ({}, {"max_block_chars": 2000}):
+        kept = decontam.drop_contaminated(both, bench, **options)
+        assert kept.count() == both.count() - len({d for d, _ in got})
+    # each row by its own text
+    pair = spark.createDataFrame([(1, items[0]), (1, filler), (None, items[0]), (None, filler), (None, None)], "doc_id long, text string")
+    assert [r.text for r in decontam.drop_contaminated(pair, bench).orderBy("text").collect()] == [None, filler, filler]
+
+
+def _plain_alignment(item, text):
+    """Least edits of the whole of ``item`` anywhere in ``text``."""
+    cost = np.zeros(len(text) + 1, np.int64)
+    steps = np.arange(len(text) + 1)
+    own = np.array([ord(c) for c in text])
+    for c in item:
+        new = np.minimum(cost + 1, np.concatenate([[1 << 30], cost[:-1] + (own != ord(c))]))
+        cost = np.minimum.accumulate(new - steps) + steps
+    return int(cost.min())
+
+
+def test_decontamination_equals_plain_alignment_of_every_pair(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if len(r.text) < 2500][:70]
+    dice = random.Random(12)
+    items = {r.item_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").orderBy("item_id").limit(12).collect()}
+    for k, (i, t) in enumerate(sorted(items.items()) * 4):  # on both sides of the limit
+        own = decontam.normalise(t)[:150].strip()
+        items[i] = own
+        docs.append((10**6 + k, "zz qq " * dice.randrange(20) + _edited(own, dice.randint(0, int(0.13 * len(own))), dice) + " yy"))
+    docs.append((10**7, "word " * 40000 + items[min(items)] + " x" * 1000))
+    want = set()
+    for d, t in docs[:-1]:
+        text = decontam.normalise(t)
+        want |= {(d, i) for i, own in items.items() if _plain_alignment(own, text) <= int(0.08 * len(own))}
+    want.add((10**7, min(items)))
+    assert len(want) > 25
+    bench = spark.createDataFrame(sorted(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == want
+
+
+def test_decontamination_refuses_what_the_lemma_cannot_promise(spark):
+    docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "passage " * 12)], "item_id long, text string")
+    for rate in (0.1, 0.125):
+        with pytest.raises(ValueError):
+            decontam.contaminated(docs, bench, rate=rate)
 
 
 def test_decontamination_finds_parts_and_short_passages(spark):
@@ -242,7 +307,7 @@ def test_large_ids_beside_null_ids(spark):
     assert {r.doc_id for r in neardup.near_duplicates(docs).collect()} == {r.doc_id for r in repetition.quality_rules(docs).collect()} == {big, big + 2, None}
     bench = spark.createDataFrame([(7, "alpha beta gamma delta epsilon alpha beta gamma delta")], "item_id long, text string")
     assert {r.doc_id for r in decontam.contaminated(docs, bench).collect()} == {big, None}
-    assert {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()} == {big + 2, None}
+    assert {r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()} == {big + 2}
 
 
 def test_apportionment_is_sainte_lague(spark):

@@ -47,14 +47,17 @@ def test_quality_rules(spark, tmp_path):
     once, short = fresh(60), fresh(10)
     texts = [
         *_ODD, " ".join(once), " ".join(["same"] * 300), " ".join(fresh(70) + short * 5 + fresh(70)), " ".join(short * 9 + fresh(60)),
-        " ".join(once + fresh(20) + once + fresh(90)),  # covered 120 of 230, too much
-        " ".join(once + fresh(120) + once),  # covered exactly half, longest exactly a quarter
-        " ".join(once + fresh(119) + once),  # one word less: over both
+        " ".join(once + fresh(20) + once + fresh(90)),  # covered 120 of 230, too much for the base too
+        " ".join(once + fresh(480) + once),  # covered a fifth, longest exactly a tenth
+        " ".join(once + fresh(479) + once),  # one word less: a repeat over a tenth
+        " ".join(sum((short + fresh(20) for _ in range(6)), []) + fresh(20)),  # 60 of 200 words in short repeats, the limit
+        " ".join(sum((short + fresh(20) for _ in range(6)), []) + fresh(19)),  # one word less: too many
         " ".join(once + fresh(20) + once[:49] + fresh(90)), "\n".join([" ".join(once)] * 2 + ["", " "] * 3),
     ]
     found = _both(spark, tmp_path, "op8_quality_rules", list(enumerate(texts)))
     limit = len(_ODD) + 5
-    assert found[limit]["kept"] and not found[limit]["base_failed"] and not found[limit + 1]["kept"]
+    assert not any(found[limit + k]["base_failed"] for k in range(4))
+    assert [found[limit + k]["kept"] for k in range(4)] == [True, False, True, False]
 
 
 def test_empty_tables(spark, tmp_path):

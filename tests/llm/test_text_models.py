@@ -1,22 +1,37 @@
+import random
 import re
 
 import numpy as np
 
 from treelens.llm import toxicity, urlfilter
 
-LEXICON = re.compile(r"\b(worthless|trash|disgusting|scum|idiot|stupid|moron|pathetic|clown|loser)\b", re.I)
-
-
-def test_toxicity_on_held_out_documents(spark):
+def test_toxicity_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.fit(docs, labels)
-    got = toxicity.score(docs, model).where("held_out").join(docs, "doc_id").toPandas()
-    bad = got.text.map(lambda t: bool(LEXICON.search(t)))
-    # one label in twenty is random, so the words themselves are the measure
-    assert got.predicted[bad].mean() > 0.9 and got.predicted[~bad].mean() < 0.04
+    got = toxicity.score(docs, model).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id").toPandas()
+    bad, good = got[got.toxic == 1], got[got.toxic == 0]
+    # some labels are random and 33 Spanish examples are few: see README
+    assert bad.predicted.mean() > 0.78 and good.predicted.mean() < 0.02
+    assert bad[bad.lang == "en"].predicted.mean() > 0.88
     assert ((got.score >= 0.5) == (got.predicted == 1)).all() and got.score.between(0, 1).all()
-    assert model.value("idiott") > model.value("thanedble") + 1 and model.value("worthles") > 2
+
+
+def test_toxicity_of_unseen_misspellings():
+    dice = random.Random(8)
+    stems = ["".join(dice.choice("bdfgklmnprst") + dice.choice("aeiou") for _ in range(4)) for _ in range(46)]
+    bad, plain = stems[:6], stems[6:]
+
+    def text(words):
+        own = [dice.choice(plain) for _ in range(30)]
+        own[4:4] = words
+        return " ".join(own)
+
+    model = toxicity.Model()
+    model.train([(text([dice.choice(bad), dice.choice(bad)] if k % 3 == 0 else []), int(k % 3 == 0)) for k in range(900)])
+    twisted = [w[:-1] + c for w in bad for c in "xzq"] + [w + w[-1] for w in bad]
+    assert sum(model.logit(text([w, w[::1]])) > 0 for w in twisted) >= 0.9 * len(twisted)
+    assert sum(model.logit(text([])) > 0 for _ in range(200)) <= 4
 
 
 def test_toxicity_edges(spark):
@@ -54,15 +69,38 @@ def test_url_rules_against_brute_force(spark):
 def test_url_model_learns_and_equals_plain_descent(spark):
     labelled = urlfilter.labelled_urls(spark)
     weights, bias = urlfilter.train(labelled)
-    pages = spark.createDataFrame([(1, "http://adult-xx.example.net/en/5"), (2, "https://blog.thnew.example.net/en/31")], "page_id long, url string")
-    assert {r.page_id: r.verdict for r in urlfilter.judge(pages).collect()} == {1: "block", 2: "allow"}
     # the same descent on the weights themselves
     rows = labelled.select("label", urlfilter.grams(urlfilter.host(labelled.url), urlfilter.path(labelled.url)).alias("x")).collect()
     x = np.zeros((len(rows), urlfilter.DIMENSIONS + 1))
     for i, r in enumerate(rows):
         x[i, r.x] = 1 / np.sqrt(len(r.x))
-    x[:, -1] = 1
+    x[:, -1] = urlfilter.BIAS
     y, w = np.array([r.label for r in rows]), np.zeros(x.shape[1])
     for _ in range(urlfilter.STEPS):
         w = w * (1 - urlfilter.RATE * urlfilter.PENALTY) + urlfilter.RATE * x.T @ (y - 1 / (1 + np.exp(-x @ w)))
-    assert np.allclose(w[:-1], weights) and np.isclose(w[-1], bias)
+    assert np.allclose(w[:-1], weights) and np.isclose(w[-1] * urlfilter.BIAS, bias)
+
+
+HELD_OUT = [(f"http://{u}", 1) for u in (
+    "luckycasino.example/play", "online-poker-room.biz/tables", "xxx-tube.example.net/video/5", "hot-porn.example.org/cam", "cheappills.shop/order", "buy-viagra-now.net/", "adult-dating.example.com/join", "warez-world.net/keygen",
+    "malware-download.example.com/setup.exe", "phishing-login.example.org/verify", "payday-loans.example/apply", "replica-watch.example.net/sale", "spam-farm.example.org/en/1", "sportsbetting.example/odds", "casino-win.example.org/fr/3",
+    "cheap-pills.example.com/de/7", "m.adult-x.example.net/en/9",
+)] + [(f"https://{u}", 0) for u in (
+    "city-library.example.org/catalog", "www.newspaper.example.com/world/article-5", "docs.sparkling.io/guide/install.html", "weather-today.example.com/en/3", "university-press.example.net/journal", "blog.ththan.example.net/en/960",
+    "www.ththhe.example.com/fr/773", "maps.oldtown.org/city", "cooking-recipes.net/es/soup", "m.therou.example.com/en/474.html", "forum.gardeners.org/thread/88", "museum-of-science.org/exhibits", "tionsh.example.net/de/12440#top", "healthcare.example.org/research/paper",
+)]
+
+
+def test_url_model_on_held_out_urls(spark):
+    hosts = {urlfilter_host(u) for u, _ in urlfilter.LABELLED}
+    assert not hosts & {urlfilter_host(u) for u, _ in HELD_OUT}
+    long = "http://" + "a" * 20000 + ".com/" + "b/" * 20000
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(HELD_OUT)] + [(-1, long)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlfilter.judge(pages, rules=()).collect()}
+    caught = [got[i] == "block" for i, (_, y) in enumerate(HELD_OUT) if y]
+    wrong = [got[i] == "block" for i, (_, y) in enumerate(HELD_OUT) if not y]
+    assert sum(caught) >= 14 and not any(wrong)
+
+
+def urlfilter_host(url):
+    return url.split("://")[1].split("/")[0]
