@@ -76,11 +76,11 @@ def test_large_buckets_lose_no_link(spark):
             own[dice.randrange(len(own))] = dice.choice(words)
         texts[k] = " ".join(own)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    before, neardup.BLOCK = neardup.BLOCK, 16
+    before, (neardup.SMALL, neardup.BLOCK) = (neardup.SMALL, neardup.BLOCK), (8, 16)
     try:
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 4, 80).collect()}
     finally:
-        neardup.BLOCK = before
+        neardup.SMALL, neardup.BLOCK = before
     want = _near(texts, 4, 80)
     assert len({c for _, c in want.values()}) > 60 and got == want
 

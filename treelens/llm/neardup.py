@@ -16,10 +16,10 @@ Plan
      full sets, across components only - no pair is emitted unless it is a link;
   6. components of the verified links, mapped back to all documents.
 
-A bucket of up to BLOCK members is a block (equal ones are compared once).  The
-members of larger buckets are dealt to blocks by the largest of their buckets,
-so that documents of a kind lie together, and two blocks meet once if they
-have a bucket in common.
+A bucket of up to SMALL members is a block (equal ones are compared once).  The
+members of larger buckets are dealt to blocks by the largest of their buckets
+and by size, so that documents of a kind lie together, and two blocks meet
+once if they have a bucket in common and sizes between which links are possible.
 
 Candidate recall: a pair at the threshold 0.8 shares one of 32 bands of 4 rows
 with probability 1 - (1 - 0.8^4)^32 > 1 - 5e-8; everything after that is exact.
@@ -27,6 +27,8 @@ with probability 1 - (1 - 0.8^4)^32 > 1 - 5e-8; everything after that is exact.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -37,8 +39,8 @@ from .common import columns, id_number, id_text, save
 from .components import connected_components
 
 SLOTS, ROWS = 128, 4
-#: Members of a block in step 5 (on average, in buckets that are cut).
-BLOCK = 96
+#: Members up to which a bucket is one block in step 5, and members of a block of larger ones on average.
+SMALL, BLOCK = 32, 256
 #: Documents whose shingles are flattened together in one signature call.
 CHUNK = 256
 
@@ -200,30 +202,38 @@ def _in_block(percent: int):
 
 
 def _small_blocks(members: DataFrame) -> DataFrame:
-    """``(band, id, component)`` of buckets up to BLOCK members -> ``(pair, side, id, component)``, equal buckets once."""
+    """``(band, id, component)`` of buckets up to SMALL members -> ``(pair, side, id, component)``, equal buckets once."""
     blocks = members.groupBy("band").agg(F.array_sort(F.collect_set(F.struct("id", "component"))).alias("own")).select("own").distinct()
     key = F.md5(F.array_join(F.transform("own", lambda m: m["id"].cast("string")), ","))
     return blocks.select(key.alias("pair"), F.lit(0).alias("side"), F.explode("own").alias("m")).select("pair", "side", "m.id", "m.component")
 
 
-def _cut_blocks(members: DataFrame) -> DataFrame:
-    """``(band, n, id, component)`` of larger buckets -> ``(pair, side, id, component)``.
+def _cut_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """``(band, n, id, component, size)`` of larger buckets -> ``(pair, side, id, component)``.
 
     A component of more than BLOCK members is cut into blocks of its own, the
     small ones of a bucket share blocks; two blocks of the same large
     component are never paired, so what is connected already costs nothing.
+    Sizes are cut into classes so wide that links join equal or neighbouring ones.
     """
-    own = members.groupBy("id", "component").agg(F.max_by("band", F.struct("n", "band")).alias("home"))
-    size = own.groupBy("home", "component").agg(F.count("*").alias("n"))
-    small = size.groupBy("home").agg(F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).alias("small"))
-    large = F.col("n") > BLOCK
-    size = save(size.join(small, "home").select("home", "component", F.when(large, F.col("component")).otherwise(F.lit(-1)).alias("part"), F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / BLOCK).alias("cuts")), "cuts")
-    block = F.concat_ws(":", "home", "part", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("cuts")))
-    placed = save(own.join(size, ["home", "component"]).select("id", "component", "part", block.alias("block")), "blocks")
+    wide = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9
+    kind = F.floor(F.log(F.col("size").cast("double")) / wide).cast("long")
+    own = save(members.groupBy("id", "component").agg(F.max_by("band", F.struct("n", "band")).alias("home"), F.first(kind).alias("kind")), "homes")
+    # where most members of a bucket have gone, its others go too, twice over: else many small blocks would meet
+    gone = members.select("id", "band").join(own.select("id", "home"), "id").groupBy("band", "home").agg(F.count("*").alias("n"))
+    gone = save(gone.groupBy("band").agg(F.max_by("home", F.struct("n", "home")).alias("to")), "gone")
+    for _ in range(2):
+        own = own.join(gone.withColumnRenamed("band", "home"), "home").drop("home").withColumnRenamed("to", "home")
+    own = save(own, "rehomed")
+    parts = own.groupBy("home", "component").agg(F.when(F.count("*") > BLOCK, F.col("component")).otherwise(F.lit(-1)).alias("part"))
+    own = save(own.join(save(parts, "parts"), ["home", "component"]), "own")
+    cuts = save(own.groupBy("home", "part", "kind").agg(F.ceil(F.count("*") / BLOCK).alias("cuts")), "cuts")
+    block = F.concat_ws(":", "home", "part", "kind", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("cuts")))
+    placed = save(own.join(cuts, ["home", "part", "kind"]).select("id", "component", "part", "kind", block.alias("block")), "blocks")
     # which blocks meet: those with members in one bucket; counts of blocks, not of members
-    held = save(members.select("id", "band").join(placed.select("id", "part", "block"), "id").select("band", "part", "block").distinct(), "held")
-    other = held.select("band", F.col("part").alias("part2"), F.col("block").alias("block2"))
-    meet = held.join(other, "band").where("block <= block2 and (part <> part2 or part = -1)").select("block", "block2").distinct()
+    held = save(members.select("id", "band").join(placed.select("id", "part", "kind", "block"), "id").select("band", "part", "kind", "block").distinct(), "held")
+    other = held.select("band", F.col("part").alias("part2"), F.col("kind").alias("kind2"), F.col("block").alias("block2"))
+    meet = held.join(other, "band").where("block <= block2 and (part <> part2 or part = -1) and abs(kind - kind2) <= 1").select("block", "block2").distinct()
     meet = save(meet.withColumn("pair", F.concat_ws("|", "block", "block2")), "meet")
     one = meet.select("pair", "block", F.lit(0).alias("side"))
     two = meet.where("block <> block2").select("pair", F.col("block2").alias("block"), F.lit(1).alias("side"))
@@ -266,11 +276,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stars = save(stars.select("src", "a", "dst", "b").mapInPandas(_pairwise(percent), "src long, dst long"), "stars")
 
     first = save(connected_components(stars, "stars-cc"), "first")
-    members = save(members.join(first, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component")), "joined")
+    members = save(members.join(first, "id", "left").select("band", "n", "id", "size", F.coalesce("component", "id").alias("component")), "joined")
     # what is all one component is settled
     open_ = save(members.groupBy("band").agg((F.min("component") < F.max("component")).alias("open")).where("open").select("band"), "open")
     members = save(members.join(open_, "band", "left_semi"), "unsettled")
-    blocks = _small_blocks(members.where(F.col("n") <= BLOCK)).unionByName(_cut_blocks(members.where(F.col("n") > BLOCK)))
+    blocks = _small_blocks(members.where(F.col("n") <= SMALL)).unionByName(_cut_blocks(members.where(F.col("n") > SMALL), percent))
     rest = blocks.join(sets, "id").groupBy("pair").applyInPandas(_in_block(percent), "src long, dst long")
     links = stars.unionByName(save(rest, "links"))
     components = connected_components(links, "components")
