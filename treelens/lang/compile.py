@@ -1,4 +1,4 @@
-"""Alternatives of terms and filters to one Column over name, path, is_dir, size and modified."""
+"""Alternatives of terms and filters to one Column over name, folded (the name in lower case), ext, path, is_dir, size and modified."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from operator import and_, or_
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schema
 from ..errors import InvalidRegex
 from .filters import Filter, Group, Range
 from .parser import Term
@@ -47,8 +46,10 @@ def check_regex(spark: SparkSession, pattern: str) -> None:
         raise InvalidRegex(f"Invalid regular expression: {pattern}") from e
 
 
-def _literal(target: Column, text: str, match_case: bool) -> Column:
-    return target.contains(text) if match_case else F.lower(target).contains(text.lower())
+def _literal(on_path: bool, text: str, match_case: bool) -> Column:
+    if match_case:
+        return F.col("path" if on_path else "name").contains(text)
+    return (F.lower("path") if on_path else F.col("folded")).contains(text.lower())
 
 
 def term_column(term: Term, match_case: bool, whole_word: bool, match_path: bool) -> Column:
@@ -62,19 +63,19 @@ def term_column(term: Term, match_case: bool, whole_word: bool, match_path: bool
         # the substring test is cheap and true wherever the pattern is, for text that folds without surprises
         found = target.rlike(regex(word(term.text), match_case))
         if term.text.isascii() and match_case:
-            found = _literal(target, term.text, True) & found
+            found = _literal(on_path, term.text, True) & found
     else:
-        found = _literal(target, term.text, match_case)
+        found = _literal(on_path, term.text, match_case)
     return ~found if term.negated else found
 
 
 def range_column(value: Column, r: Range) -> Column:
-    """Bounds are compared as doubles, infinite ones not at all."""
+    """Whole numbers within the bounds, compared as such, so that the scan can skip by them; infinite bounds not at all."""
     parts = []
     if math.isfinite(r.low):
-        parts.append(value >= r.low if r.with_low else value > r.low)
+        parts.append(value >= F.lit(math.ceil(r.low) if r.with_low else math.floor(r.low) + 1).cast("long"))
     if math.isfinite(r.high):
-        parts.append(value <= r.high if r.with_high else value < r.high)
+        parts.append(value <= F.lit(math.floor(r.high) if r.with_high else math.ceil(r.high) - 1).cast("long"))
     inside = reduce(and_, parts) if parts else F.lit(True)
     return ~inside if r.inverted else inside
 
@@ -91,7 +92,7 @@ def filter_column(f: Filter, match_case: bool) -> Column:
     if f.kind == "directory":
         found = F.col("is_dir") if f.value else ~F.col("is_dir")
     elif f.kind == "extensions":
-        found = ~F.col("is_dir") & F.lower(schema.extension(F.col("name"))).isin(*sorted(f.value))
+        found = ~F.col("is_dir") & F.col("ext").isin(*sorted(f.value))
     elif f.kind == "size":
         found = ~F.col("is_dir") & range_column(F.col("size"), f.value)
     elif f.kind == "modified":
