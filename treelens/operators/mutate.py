@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import MoveRefused
 from ..schema import COLUMNS, ancestors, contains, last_component, parent_path
+from ..storage import save
 from . import hierarchy
 
 
@@ -31,22 +35,25 @@ def upsert(entries: DataFrame, incoming: DataFrame, seq: str | None = None) -> D
     """The next snapshot with ``change``: insert, update or none (for rows that incoming has no news for).
 
     Rows meet on (parent, name); of several incoming ones the last by ``seq``
-    counts.  Existing rows keep their id, so a replaced folder keeps its
-    children; what does not differ is no change.
+    counts (without seq the largest by kind, size, time and id, so that reruns
+    agree).  An incoming ``id`` (column, if there is one) becomes the row's id;
+    a folder keeps its own, so that its children stay its children.  Without
+    the column existing rows keep their ids and new rows get fresh ones.  What
+    does not differ is no change.  Incoming ids must be free.
     """
-    if seq:
-        fields = F.struct(seq, "is_dir", "size", "modified")
-        incoming = incoming.groupBy("parent", "name").agg(F.max(fields).alias("f")).select("parent", "name", "f.is_dir", "f.size", "f.modified")
-    else:
-        incoming = incoming.select("parent", "name", "is_dir", "size", "modified").dropDuplicates(["parent", "name"])
-    news = incoming.select("parent", "name", *[F.col(c).alias(f"new_{c}") for c in ("is_dir", "size", "modified")])
-    both = entries.join(news, ["parent", "name"], "left")
-    differs = F.col("new_is_dir").isNotNull() & ~(F.col("new_is_dir").eqNullSafe(F.col("is_dir")) & F.col("new_size").eqNullSafe(F.col("size")) & F.col("new_modified").eqNullSafe(F.col("modified")))
-    old = both.select(
-        "id", "parent", "name", *[F.when(differs, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("is_dir", "size", "modified")], F.when(differs, "update").otherwise("none").alias("change")
-    )
-    added = allocate_ids(incoming.join(entries.select("parent", "name"), ["parent", "name"], "left_anti"), entries, ["parent", "name"])
-    return old.unionByName(added.select(*COLUMNS, F.lit("insert").alias("change")))
+    given = "id" in incoming.columns
+    values = ["is_dir", "size", "modified", *(["id"] if given else [])]
+    fields = F.struct(*([F.col(seq).alias("_seq")] if seq else []), *values)
+    incoming = incoming.groupBy("parent", "name").agg(F.max(fields).alias("f")).select("parent", "name", *[f"f.{c}" for c in values])
+    both = entries.join(incoming.select("parent", "name", *[F.col(c).alias(f"new_{c}") for c in values]), ["parent", "name"], "left")
+    if given:
+        both = both.withColumn("new_id", F.when(F.col("is_dir") & F.col("new_is_dir"), F.col("id")).otherwise(F.col("new_id")))
+    differs = F.col("new_is_dir").isNotNull() & ~reduce(and_, [F.col(f"new_{c}").eqNullSafe(F.col(c)) for c in values])
+    kept = [c for c in COLUMNS if c not in values]
+    old = both.select(*kept, *[F.when(differs, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in values], F.when(differs, "update").otherwise("none").alias("change"))
+    added = incoming.join(entries.select("parent", "name"), ["parent", "name"], "left_anti")
+    added = added if given else allocate_ids(added, entries, ["parent", "name"])
+    return old.select(*COLUMNS, "change").unionByName(added.select(*COLUMNS, F.lit("insert").alias("change")))
 
 
 def insert(entries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -58,9 +65,12 @@ def delete_ids(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return entries.join(ids.select("id").distinct(), "id", "left_anti").select(*COLUMNS)
 
 
-def delete_subtree(entries: DataFrame, ids: DataFrame, keep: DataFrame | None = None) -> DataFrame:
-    """Without these folders and all below them; subtrees in ``keep`` stay, with their ancestors."""
-    paths = hierarchy.folder_paths(entries)
+def delete_subtree(entries: DataFrame, ids: DataFrame, keep: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
+    """Without these folders and all below them; subtrees in ``keep`` stay, with their ancestors.
+
+    paths: the entries' folder paths, here and below, if they are known already.
+    """
+    paths = hierarchy.folder_paths(entries) if paths is None else paths
     gone = hierarchy.descendants(entries, paths, ids)
     if keep is not None:
         stay = hierarchy.descendants(entries, paths, keep).unionByName(hierarchy.ancestor_ids(entries, paths, keep))
@@ -68,27 +78,31 @@ def delete_subtree(entries: DataFrame, ids: DataFrame, keep: DataFrame | None =
     return entries.join(gone, "id", "left_anti").select(*COLUMNS)
 
 
-def clear(entries: DataFrame, preserve: DataFrame | None = None) -> DataFrame:
+def clear(entries: DataFrame, preserve: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
     """Nothing, or only the subtrees ``preserve`` (column id) and their ancestors."""
     if preserve is None:
         return entries.limit(0)
-    paths = hierarchy.folder_paths(entries)
+    paths = hierarchy.folder_paths(entries) if paths is None else paths
     stay = hierarchy.descendants(entries, paths, preserve).unionByName(hierarchy.ancestor_ids(entries, paths, preserve))
     return entries.join(stay.distinct(), "id", "left_semi").select(*COLUMNS)
 
 
-def ensure_folders(entries: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The snapshot with every folder of ``wanted`` (column path) and their ancestors, below an index root that holds them."""
-    paths = hierarchy.folder_paths(entries)
+def ensure_folders(entries: DataFrame, wanted: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """The snapshot with every folder of ``wanted`` (column path) and their ancestors, below an index root that holds them.
+
+    A file in a folder's place gives way to it.
+    """
+    paths = hierarchy.folder_paths(entries) if paths is None else paths
     known = paths.where("path is not null").select("id", "path")
     roots = entries.where("parent = 0").select(F.when(F.col("name") == "", "/").otherwise(F.col("name")).alias("holder"))
     owned = hierarchy.owner(wanted.select("path").distinct(), roots).where("owner is not null")
     each = owned.withColumn("path", F.explode(F.concat(ancestors(F.col("path")), F.array("path")))).where(contains(F.col("owner"), F.col("path"))).select("path").distinct()
-    missing = allocate_ids(each.join(known, "path", "left_anti"), entries, ["path"]).persist()
+    missing = save(allocate_ids(each.join(known, "path", "left_anti"), entries, ["path"]), "missing")
     places = known.unionByName(missing.select("id", "path"))
     made = missing.withColumn("_up", parent_path(F.col("path"))).join(places.select(F.col("id").alias("parent"), F.col("path").alias("_up")), "_up")
     zero = F.lit(0).cast("long")
-    return insert(entries, made.select("id", "parent", last_component(F.col("path")).alias("name"), F.lit(True).alias("is_dir"), zero.alias("size"), zero.alias("modified")))
+    made = made.select("id", "parent", last_component(F.col("path")).alias("name"), F.lit(True).alias("is_dir"), zero.alias("size"), zero.alias("modified"))
+    return insert(entries.join(made.select("parent", "name"), ["parent", "name"], "left_anti").select(*COLUMNS), made)
 
 
 def _at(catalog: DataFrame, path: str) -> dict:
@@ -98,7 +112,7 @@ def _at(catalog: DataFrame, path: str) -> dict:
     return found[0].asDict()
 
 
-def relocate(entries: DataFrame, source: str, target: str, replace_empty: bool = False) -> DataFrame:
+def relocate(entries: DataFrame, source: str, target: str, replace_empty: bool = False, paths: DataFrame | None = None) -> DataFrame:
     """The subtree at ``source`` at ``target``: one row changes.
 
     Refused: into itself, onto anything but an empty folder (and onto that
@@ -107,7 +121,7 @@ def relocate(entries: DataFrame, source: str, target: str, replace_empty: bool =
     """
     if target == source or target.startswith(source.rstrip("/") + "/"):
         raise MoveRefused("A folder cannot be moved into itself.")
-    paths = hierarchy.folder_paths(entries)
+    paths = hierarchy.folder_paths(entries) if paths is None else paths
     catalog = hierarchy.with_paths(entries, paths, "empty").where(F.col("path").isin(source, target, target.rsplit("/", 1)[0] or "/"))
     moved = _at(catalog, source)
     there = catalog.where(F.col("path") == target).select("id", "is_dir").limit(1).collect()
@@ -164,11 +178,11 @@ def normalise_roots(roots: list[str]) -> list[str]:
     return sorted(kept)
 
 
-def sync_roots(entries: DataFrame, roots: list[str]) -> DataFrame:
+def sync_roots(entries: DataFrame, roots: list[str], paths: DataFrame | None = None) -> DataFrame:
     """The catalog with exactly these index roots: what they hold stays with its ids, the rest goes, missing roots are made."""
     wanted = normalise_roots(roots)
     spark = entries.sparkSession
-    rows = hierarchy.with_paths(entries, hierarchy.folder_paths(entries), "empty").where("path <> ''")
+    rows = hierarchy.with_paths(entries, hierarchy.folder_paths(entries) if paths is None else paths, "empty").where("path <> ''")
     if not wanted:
         return entries.limit(0)
     table = spark.createDataFrame([(r,) for r in wanted], "holder string")

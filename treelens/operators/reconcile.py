@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lang.compile import glob
-from ..schema import COLUMNS, contains
+from ..schema import COLUMNS, contains, parent_path
 from . import hierarchy
 from .mutate import allocate_ids
 
@@ -75,10 +75,10 @@ def diff(stored: DataFrame, observed: DataFrame) -> DataFrame:
     return both.withColumn("change", change)
 
 
-def apply_diff(stored: DataFrame, difference: DataFrame) -> DataFrame:
+def apply_diff(stored: DataFrame, difference: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """The snapshot after a diff: ids of changed rows stay; what lay below a folder that went, or became a file, goes too."""
     gone = difference.where("change = 'delete' or (change = 'update' and is_dir and not new_is_dir)").select("id")
-    paths = hierarchy.folder_paths(stored)
+    paths = hierarchy.folder_paths(stored) if paths is None else paths
     below = hierarchy.descendants(stored, paths, gone, include_self=False).unionByName(difference.where("change = 'delete'").select("id")).distinct()
     changed = difference.where("change = 'update'").select("id", "new_is_dir", "new_size", "new_modified")
     rows = stored.join(below, "id", "left_anti").join(changed, "id", "left")
@@ -87,6 +87,29 @@ def apply_diff(stored: DataFrame, difference: DataFrame) -> DataFrame:
     return kept.unionByName(allocate_ids(added, stored, ["parent", "name"]).select(*COLUMNS))
 
 
+def point_check(changed: DataFrame, stored: DataFrame, observed: DataFrame, folders: DataFrame) -> DataFrame:
+    """``path, action`` for paths (column path) of which a file event came: what to do without reading their folder.
+
+    stored and observed: ``path, is_dir, size, modified``; folders: ``path`` of
+    the catalog's folders.  insert, update, delete or none for files; what is
+    or was a folder needs a ``directory`` scan, and what has no known folder
+    above it a scan of its ``parent``.
+    """
+    old = stored.select("path", *[F.col(c).alias(f"old_{c}") for c in ("is_dir", "size", "modified")])
+    new = observed.select("path", "is_dir", "size", F.col("modified").cast("long").alias("modified"))
+    known = folders.select(F.col("path").alias("_up")).distinct().withColumn("_known", F.lit(True))
+    rows = changed.select("path").distinct().withColumn("_up", parent_path(F.col("path"))).join(known, "_up", "left").join(old, "path", "left").join(new, "path", "left")
+    same = (F.col("size") == F.col("old_size")) & (F.col("modified") == F.col("old_modified"))
+    action = (
+        F.when(F.coalesce("old_is_dir", F.lit(False)) | F.coalesce("is_dir", F.lit(False)), "directory")
+        .when(F.col("is_dir").isNull(), F.when(F.col("old_is_dir").isNull(), "none").otherwise("delete"))
+        .when(F.col("_known").isNull(), "parent")
+        .when(F.col("old_is_dir").isNull(), "insert")
+        .otherwise(F.when(same, "none").otherwise("update"))
+    )
+    return rows.select("path", action.alias("action"))
+
+
 def counters(difference: DataFrame) -> DataFrame:
     """One row: scanned, written, deleted, dirs, files, changed."""
     written = F.col("change").isin("insert", "update")
