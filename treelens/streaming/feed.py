@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy
 from ..operators.reconcile import ScanConfig, excluded_path
 from ..schema import ancestors, contains, normalised, parent_path
+from ..storage import new_folder
 
 # Bits of an event's flags.
 MUST_SCAN, USER_DROPPED, KERNEL_DROPPED, IDS_WRAPPED, HISTORY_DONE, ROOT_CHANGED, MOUNT, UNMOUNT = 0x1, 0x2, 0x4, 0x8, 0x10, 0x20, 0x40, 0x80
@@ -92,7 +96,10 @@ def coalesce(routed: DataFrame, roots: list[str], max_pending: int = MAX_PENDING
 
     More than ``max_pending`` paths become a recursive change of every root.
     """
-    pending = _merge(routed.select("path", "scope", F.col("id").alias("first_id"), "id"))
+    return _covered(_merge(routed.select("path", "scope", F.col("id").alias("first_id"), "id")), roots, max_pending)
+
+
+def _covered(pending: DataFrame, roots: list[str], max_pending: int) -> DataFrame:
     folders = pending.where(F.col("scope") >= DIRECTORY).select(F.col("path").alias("cover"), F.col("scope").alias("cover_scope"))
     up = pending.withColumn("cover", F.explode(ancestors(F.col("path")))).join(folders, "cover")
     direct = (F.col("cover") == parent_path(F.col("path"))) & (F.col("cover_scope") == DIRECTORY) & (F.col("scope") == FILE)
@@ -121,16 +128,87 @@ def defer(pending: DataFrame, last_flush: DataFrame, now: float, cooldown: float
     return pending.join(last_flush, "path", "left").withColumn("due", F.col("at").isNull() | (F.col("scope") == RECURSIVE) | (F.lit(now) - F.col("at") >= cooldown)).drop("at")
 
 
-def start(events: DataFrame, roots: list[str], apply, checkpoint: str, interval: str = "500 milliseconds", config: ScanConfig | None = None, once: bool = False):
-    """Runs the feed: every micro-batch is routed and coalesced, then handed to ``apply(changes, batch_id)``.
+@dataclass
+class State:
+    """What a feed carries from one micro-batch to the next: two tables in the shared folder, and some numbers."""
+
+    pending: str | None = None  # folder of changes that wait: path, scope, first_id, id
+    flushed: str | None = None  # folder of the last flush of each path that may have to wait: path, at
+    seen: int = 0  # the largest id that came
+    cursor: int = 0
+    marker: int = 0
+    history: bool = False
+
+
+class Feed:
+    """Routes and coalesces micro-batches, lets quiet paths through and hands them to ``apply(changes, batch_id)``.
+
+    A path that was flushed less than ``cooldown`` seconds ago waits; the cursor
+    stays below what waits.  If ``apply`` fails, nothing is taken as flushed:
+    all changes stay pending, are merged with the next batch and tried again,
+    and the cursor does not move.  ``apply`` must tolerate a repeated change
+    (reconciling compares states, so a replay changes nothing).
+    """
 
-    ``apply`` reconciles the due paths and must tolerate a repeated batch
-    (reconciling compares states, so a replay changes nothing).  The stream's
-    checkpoint is the durable cursor.
+    def __init__(self, spark: SparkSession, roots: list[str], apply, config: ScanConfig | None = None, cooldown: float = 5.0, max_pending: int = MAX_PENDING, clock=time.time, state: State | None = None, mappings: DataFrame | None = None):
+        self.spark, self.roots, self.apply, self.config = spark, roots, apply, config
+        self.cooldown, self.max_pending, self.clock, self.mappings = cooldown, max_pending, clock, mappings
+        self.state = state or State()
+
+    def _read(self, folder: str | None, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(folder) if folder else self.spark.createDataFrame([], schema)
+
+    def pending(self) -> DataFrame:
+        return self._read(self.state.pending, "path string, scope int, first_id long, id long")
+
+    def _kept(self, rows: DataFrame, name: str) -> str:
+        folder = new_folder(self.spark, name)
+        rows.write.parquet(folder)
+        return folder
+
+    def batch(self, events: DataFrame, batch_id: int = 0) -> State:
+        """One micro-batch; an empty one flushes what has waited long enough."""
+        now, before = self.clock(), self.state
+        events = translate(events, self.mappings) if self.mappings is not None else events
+        marks = history_done(events).first()
+        # what waits already goes in again: a cover that came since absorbs it
+        due = _merge(route(events, self.roots, self.config).select("path", "scope", F.col("id").alias("first_id"), "id").unionByName(self.pending()))
+        seen = max(before.seen, events.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+        flushed = self._read(before.flushed, "path string, at double")
+        due = self._kept(defer(_covered(due, self.roots, self.max_pending), flushed, now, self.cooldown), "due")
+        rows = self.spark.read.parquet(due)
+        marker = max(before.marker, marks.id)
+        try:
+            ready = rows.where("due").drop("due")
+            if not ready.isEmpty():
+                self.apply(ready, batch_id)
+        except Exception:
+            self.state = replace(before, pending=due, seen=seen, marker=marker)
+            raise
+        waiting = rows.where("not due").drop("due")
+        recent = flushed.join(rows.where("due").select("path"), "path", "left_anti").unionByName(rows.where("due").select("path", F.lit(now).cast("double").alias("at")))
+        top = cursor(self.spark.createDataFrame([(seen,)], "id long"), waiting, marker).first()[0]
+        self.state = State(self._kept(waiting, "pending"), self._kept(recent.where(F.lit(now) - F.col("at") < self.cooldown), "flushed"), seen, max(before.cursor, top), marker, before.history or marks.done)
+        return self.state
+
+
+def start(events: DataFrame, roots: list[str], apply, checkpoint: str, interval: str = "500 milliseconds", config: ScanConfig | None = None, once: bool = False, **options):
+    """Runs a Feed: every micro-batch goes through ``Feed.batch`` (options: its cooldown, max_pending, clock, state, mappings).
+
+    A failed ``apply`` is not the stream's end: its changes wait for the next
+    batch.  The stream's checkpoint is the durable cursor of what was read,
+    ``feed.state.cursor`` that of what was applied; the query has its ``feed``.
     """
+    feed = Feed(events.sparkSession, roots, apply, config, **options)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        apply(coalesce(route(df, roots, config), roots), batch_id)
+        try:
+            feed.batch(df, batch_id)
+        except Exception as e:  # kept pending by the feed
+            feed.failure = e
 
+    feed.failure = None
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+    query = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+    query.feed = feed
+    return query
