@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+import sys
+from collections.abc import Callable
+from functools import reduce
+
+import pyspark.cloudpickle as cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import save
+
 # Fixed values of the fixture: separators by part, extensions by part, id ranges by level.
 SEPARATORS = (" ", "-", "_")
 EXTENSIONS = ("pdf", "txt", "PNG", "zip", "swift", "csv", "Heic", "mp3")
@@ -101,23 +107,48 @@ WITH feed AS (
 )"""
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """A directory tree of the driver's machine as ``directory, name, is_dir, is_symlink, size, modified``; links are not followed."""
+LISTING = "directory string, name string, is_dir boolean, is_symlink boolean, size long, modified double, failure string"
+
+
+def _scan(batches):
+    """The items of each directory; one that can't be read whole gives none of them, but a row that says why."""
     import os
 
-    rows, pending = [], [root.rstrip("/") or "/"]
-    while pending:
-        folder = pending.pop()
-        try:
-            found = list(os.scandir(folder))
-        except PermissionError:
-            continue
-        for item in found:
-            st, is_dir = item.stat(follow_symlinks=False), item.is_dir(follow_symlinks=False)
-            rows.append((folder, item.name, is_dir, item.is_symlink(), 0 if is_dir else st.st_size, st.st_mtime))
-            if is_dir:
-                pending.append(item.path)
-    return spark.createDataFrame(rows, "directory string, name string, is_dir boolean, is_symlink boolean, size long, modified double")
+    import pandas as pd
+
+    for batch in batches:
+        for folder in batch["directory"]:
+            rows = []
+            try:
+                with os.scandir(folder) as items:
+                    for item in items:
+                        st, is_dir = item.stat(follow_symlinks=False), item.is_dir(follow_symlinks=False)
+                        rows.append((folder, item.name, is_dir, item.is_symlink(), 0 if is_dir else st.st_size, st.st_mtime, None))
+            except OSError as e:
+                failure = "missing" if isinstance(e, FileNotFoundError) else "denied" if isinstance(e, PermissionError) else "error"
+                rows = [(folder, None, None, None, None, None, failure)]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in LISTING.split(", ")]).astype({"size": "Int64", "is_dir": "boolean", "is_symlink": "boolean"})
+
+
+def listing(spark: SparkSession, root: str, skip: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """A directory tree that all executors can read (a shared mount), as LISTING; links are not followed.
+
+    Level by level: the directories of a level are dealt to tasks, which list
+    them, and the rows are written, so that neither the driver nor a single
+    task ever holds the tree.  Directories that can't be read are rows with a
+    failure and no name.  skip(path, name): subtrees that are not walked.
+    """
+    # functions of this module travel by value: no executor needs the repository on its path
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    level, found = spark.createDataFrame([(root.rstrip("/") or "/",)], "directory string"), []
+    while True:
+        rows = save(level.repartition("directory").mapInPandas(_scan, LISTING), "listing")
+        found.append(rows)
+        path = F.concat(F.when(F.col("directory") == "/", "").otherwise(F.col("directory")), F.lit("/"), F.col("name"))
+        folders = rows.where("failure is null and is_dir and not is_symlink").withColumn("path", path)
+        level = (folders.where(~skip(F.col("path"), F.col("name"))) if skip else folders).select(F.col("path").alias("directory"))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 def from_paths(spark: SparkSession, rows: list[tuple]) -> DataFrame:
