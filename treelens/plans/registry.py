@@ -21,14 +21,17 @@ FLAGSHIP = "bool_dnf"
 #: The day that relative dates count from.
 NOW = datetime(2001, 8, 1, 12, tzinfo=timezone.utc)
 
+#: Added to ids of rows that come from elsewhere.
+_NEW_ID = 10**12
+
 _catalogs: dict[tuple, Catalog] = {}
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """One catalog per application and input: its folders' paths are computed once."""
+    """One catalog per application and input: it is written, and its folders' paths are computed, once."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _catalogs:
-        _catalogs[key] = Catalog(adapters.entries(spark, sf_dir), source=sf_dir)
+        _catalogs[key] = Catalog.stored(adapters.entries(spark, sf_dir), source=sf_dir)
     return _catalogs[key]
 
 
@@ -170,36 +173,41 @@ def _register() -> None:
     _plain("joined_lines", lambda c: engine.joined_names(engine.search(c, Request("gear", now=NOW, limit=50))), f"{adapters.ORACLE} SELECT string_agg(path, chr(10) ORDER BY r) AS lines FROM (SELECT path, row_number() OVER (ORDER BY {_NAME}) AS r FROM e WHERE contains(lower(name), 'gear')) WHERE r <= 50")
     # hierarchy
     _plain("materialize_paths", lambda c: hierarchy.with_paths(c.entries, c.paths).select("id", "path"), f"{adapters.ORACLE} SELECT id, path FROM e")
-    _plain("ancestors", lambda c: hierarchy.ancestor_ids(c.entries, c.paths, c.entries.where("not is_dir and id % 101 = 7").select("id")), f"""{adapters.ORACLE}, up AS (SELECT DISTINCT parent AS id FROM entries WHERE NOT is_dir AND id % 101 = 7 UNION SELECT x.parent FROM up JOIN entries x ON x.id = up.id) SELECT id FROM up WHERE id > 0""")
+    _plain("ancestors", lambda c: hierarchy.ancestor_ids(c.entries, c.paths, c.entries.where("not is_dir").select("id")), f"""{adapters.ORACLE}, up AS (SELECT DISTINCT parent AS id FROM entries WHERE NOT is_dir UNION SELECT x.parent FROM up JOIN entries x ON x.id = up.id) SELECT id FROM up WHERE id > 0""")
     _plain("descendants", lambda c: hierarchy.descendants(c.entries, c.paths, c.entries.where("id in (10, 102)").select("id")), f"""{adapters.ORACLE}, down AS (SELECT id FROM entries WHERE id IN (10, 102) UNION SELECT x.id FROM down JOIN entries x ON x.parent = down.id) SELECT id FROM down""")
     _plain("path_lookup", lambda c: hierarchy.lookup(c.entries, c.paths, _values(c, "('/ASIA'), ('/'), ('/ASIA/none')", "path")).select("id", "path"), f"{adapters.ORACLE} SELECT id, path FROM e WHERE path IN ('/ASIA', '/', '/ASIA/none')")
     _plain("deepest_known", lambda c: hierarchy.deepest_known(c.entries, c.paths, _values(c, "('/ASIA/NATION_2/new/a.txt'), ('/nowhere/x'), ('/EUROPE')", "path")).select("path", "owner"), """SELECT '/ASIA/NATION_2/new/a.txt' AS path, CASE WHEN EXISTS (SELECT 1 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name = 'NATION_2' AND r_name = 'ASIA') THEN '/ASIA/NATION_2' ELSE '/ASIA' END AS owner UNION ALL SELECT '/nowhere/x', '/' UNION ALL SELECT '/EUROPE', '/EUROPE'""")
     _plain("kind_text", lambda c: c.entries.groupBy(schema.kind(F.col("name"), F.col("is_dir")).alias("kind")).agg(F.count("*").alias("n")), f"{adapters.ORACLE} SELECT kind, count(*) AS n FROM e GROUP BY kind")
     _plain("highlight_counts", lambda c: c.entries.where("name <> ''").select("id", highlight.spans_count(F.col("name"), Request("re*ing | !bolt")).alias("spans")), f"{adapters.ORACLE} SELECT id, CAST(len(regexp_extract_all(lower(name), 're')) + len(regexp_extract_all(lower(name), 'ing')) AS BIGINT) AS spans FROM e WHERE name <> ''")
-    _plain("minimal_cover", lambda c: hierarchy.minimal_cover(c.paths.where("id % 7 = 3 and path is not null").select("path")), f"{adapters.ORACLE}, s AS (SELECT DISTINCT CASE WHEN path = '' THEN '/' ELSE path END AS path FROM folder WHERE id % 7 = 3), parts AS (SELECT path, unnest(generate_series(2, len(string_split(path, '/')) - 1)) AS n FROM s), up AS (SELECT path, array_to_string(string_split(path, '/')[1:n], '/') AS above FROM parts) SELECT path FROM s WHERE path NOT IN (SELECT up.path FROM up JOIN s ON s.path = up.above) AND NOT EXISTS (SELECT 1 FROM s t WHERE t.path = '/' AND s.path <> '/')")
+    _plain("minimal_cover", lambda c: hierarchy.minimal_cover(c.paths.where("path is not null and path <> '/'").select("path")), f"{adapters.ORACLE}, s AS (SELECT DISTINCT CASE WHEN path = '' THEN '/' ELSE path END AS path FROM folder WHERE path <> ''), parts AS (SELECT path, unnest(generate_series(2, len(string_split(path, '/')) - 1)) AS n FROM s), up AS (SELECT path, array_to_string(string_split(path, '/')[1:n], '/') AS above FROM parts) SELECT path FROM s WHERE path NOT IN (SELECT up.path FROM up JOIN s ON s.path = up.above) AND NOT EXISTS (SELECT 1 FROM s t WHERE t.path = '/' AND s.path <> '/')")
     _plain("volume_owner", lambda c: hierarchy.owner(c.paths.where("path is not null").select("path"), _values(c, "('/'), ('/ASIA'), ('/ASIA/NATION_2'), ('/EUR')", "holder")), f"{adapters.ORACLE} SELECT p AS path, CASE WHEN p = '/ASIA/NATION_2' OR starts_with(p, '/ASIA/NATION_2/') THEN '/ASIA/NATION_2' WHEN p = '/ASIA' OR starts_with(p, '/ASIA/') THEN '/ASIA' ELSE '/' END AS owner FROM (SELECT CASE WHEN path = '' THEN '/' ELSE path END AS p FROM folder)")
     _plain("share_identity", lambda c: share_identities(c.entries.sparkSession), RESOLVE_ORACLE)
     # changes
     copy = "SELECT id, parent, name, is_dir, size, modified FROM entries"
     everything = f"{adapters.ORACLE} {copy}"
-    _plain("upsert_noop", lambda c: mutate.upsert(c.entries, c.entries).groupBy("change").agg(F.count("*").alias("n")), f"{adapters.ORACLE} SELECT 'none' AS change, count(*) AS n FROM entries")
-    _plain("upsert_replace", lambda c: mutate.upsert(c.entries, _perturbed(c)).groupBy("change").agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("bytes")), f"{adapters.ORACLE}, x AS (SELECT CASE WHEN is_dir OR id % 13 <> 0 THEN 'none' ELSE 'update' END AS change, size + CASE WHEN NOT is_dir AND id % 13 = 0 THEN 1 ELSE 0 END AS size FROM entries UNION ALL SELECT 'insert', size FROM entries WHERE NOT is_dir AND id % 17 = 0) SELECT change, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM x GROUP BY change")
+    _plain("upsert_noop", lambda c: mutate.upsert(c.entries, c.entries), f"{adapters.ORACLE} {copy.replace('modified FROM', "modified, 'none' AS change FROM")}")
+    changed = "NOT is_dir AND id % 13 = 0"
+    _plain("upsert_replace", lambda c: mutate.upsert(c.entries, _perturbed(c)), f"""{adapters.ORACLE} SELECT CASE WHEN {changed} THEN id + {_NEW_ID} ELSE id END AS id, parent, name, is_dir, CASE WHEN {changed} THEN size + 1 ELSE size END AS size, modified, CASE WHEN {changed} THEN 'update' ELSE 'none' END AS change FROM entries
+        UNION ALL SELECT id + {2 * _NEW_ID}, parent, 'inserted~' || name, is_dir, size + CASE WHEN {changed} THEN 1 ELSE 0 END, modified, 'insert' FROM entries WHERE NOT is_dir AND id % 17 = 0""")
     _plain("upsert_last_wins", lambda c: mutate.upsert(c.entries.limit(0), _duplicates(c), "seq").select("name", "size"), "SELECT name, size FROM (SELECT 'line-' || l_orderkey || '-' || l_linenumber AS name, CAST(round(l_extendedprice * 100) AS BIGINT) AS size, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, round(l_extendedprice * 100) DESC) AS r FROM lineitem) WHERE r = 1")
-    _plain("allocate_ids", lambda c: mutate.allocate_ids(c.entries.where("id % 5 = 0").select("name", F.col("id").alias("k")), c.entries, ["k"]).agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.min("id").alias("low"), F.max("id").alias("high")), f"{adapters.ORACLE} SELECT count(*) FILTER (id % 5 = 0) AS n, count(*) FILTER (id % 5 = 0) AS n_ids, max(id) + 1 AS low, max(id) + count(*) FILTER (id % 5 = 0) AS high FROM entries")
+    _plain("allocate_ids", lambda c: mutate.allocate_ids(c.entries.select("name", F.col("id").alias("k")), c.entries, ["k"]).agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.min("id").alias("low"), F.max("id").alias("high")), f"{adapters.ORACLE} SELECT count(*) AS n, count(*) AS n_ids, max(id) + 1 AS low, max(id) + count(*) AS high FROM entries")
     gone = "WITH_DOWN AS (SELECT id FROM entries WHERE id = 101 UNION SELECT x.id FROM WITH_DOWN w JOIN entries x ON x.parent = w.id)"
-    _plain("delete_subtree", lambda c: mutate.delete_subtree(c.entries, _values(c, "(101L)", "id")), f"{adapters.ORACLE}, {gone} {copy} WHERE id NOT IN (SELECT id FROM WITH_DOWN)")
+    _plain("delete_subtree", lambda c: mutate.delete_subtree(c.entries, _values(c, "(101L)", "id"), paths=c.paths), f"{adapters.ORACLE}, {gone} {copy} WHERE id NOT IN (SELECT id FROM WITH_DOWN)")
     _plain("delete_ids", lambda c: mutate.delete_ids(c.entries, c.entries.where("id % 3 = 0").select("id")), f"{everything} WHERE id % 3 <> 0")
     keep = "kept AS (SELECT id FROM entries WHERE id = 103 UNION SELECT x.id FROM kept w JOIN entries x ON x.parent = w.id), above AS (SELECT parent AS id FROM entries WHERE id = 103 UNION SELECT x.parent FROM above a JOIN entries x ON x.id = a.id)"
-    _plain("clear_preserving", lambda c: mutate.clear(c.entries, _values(c, "(103L)", "id")), f"{adapters.ORACLE}, {keep} {copy} WHERE id IN (SELECT id FROM kept UNION SELECT id FROM above)")
-    _plain("delete_keeping", lambda c: mutate.delete_subtree(c.entries, _values(c, "(1L)", "id"), _values(c, "(103L)", "id")), f"{adapters.ORACLE}, {keep} {copy} WHERE id IN (SELECT id FROM kept UNION SELECT id FROM above)")
-    _plain("sync_roots", lambda c: mutate.sync_roots(c.entries, ["/ASIA", "/EUROPE/", "/ASIA/NATION_2", "relative", ""]), f"{adapters.ORACLE} SELECT id, CASE WHEN path IN ('/ASIA', '/EUROPE') THEN 0 ELSE parent END AS parent, CASE WHEN path IN ('/ASIA', '/EUROPE') THEN path ELSE name END AS name, is_dir, size, modified FROM e WHERE path IN ('/ASIA', '/EUROPE') OR starts_with(path, '/ASIA/') OR starts_with(path, '/EUROPE/')")
-    _plain("merge_trees", _merge_self, f"{adapters.ORACLE} SELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, CAST(count(DISTINCT parent) AS BIGINT) AS parents FROM entries")
-    _plain("relocate", lambda c: hierarchy.with_paths(m := mutate.relocate(c.entries, "/ASIA", "/EUROPE/moved"), hierarchy.folder_paths(m)).select("id", "path"), f"{adapters.ORACLE} SELECT id, CASE WHEN path = '/ASIA' OR starts_with(path, '/ASIA/') THEN '/EUROPE/moved' || substr(path, 6) ELSE path END AS path FROM e")
-    _plain("ensure_folders", lambda c: mutate.ensure_folders(c.entries, _values(c, "('/ASIA/x/y'), ('/ASIA/x')", "path")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids")), f"{adapters.ORACLE} SELECT count(*) + 2 AS n, count(*) + 2 AS n_ids FROM entries")
+    _plain("clear_preserving", lambda c: mutate.clear(c.entries, _values(c, "(103L)", "id"), c.paths), f"{adapters.ORACLE}, {keep} {copy} WHERE id IN (SELECT id FROM kept UNION SELECT id FROM above)")
+    _plain("delete_keeping", lambda c: mutate.delete_subtree(c.entries, _values(c, "(1L)", "id"), _values(c, "(103L)", "id"), c.paths), f"{adapters.ORACLE}, {keep} {copy} WHERE id IN (SELECT id FROM kept UNION SELECT id FROM above)")
+    _plain("sync_roots", lambda c: mutate.sync_roots(c.entries, ["/ASIA", "/EUROPE/", "/ASIA/NATION_2", "relative", ""], c.paths), f"{adapters.ORACLE} SELECT id, CASE WHEN path IN ('/ASIA', '/EUROPE') THEN 0 ELSE parent END AS parent, CASE WHEN path IN ('/ASIA', '/EUROPE') THEN path ELSE name END AS name, is_dir, size, modified FROM e WHERE path IN ('/ASIA', '/EUROPE') OR starts_with(path, '/ASIA/') OR starts_with(path, '/EUROPE/')")
+    _plain("merge_trees", _merged_copy, f"{adapters.ORACLE} {copy} UNION ALL SELECT id + {_NEW_ID}, parent, 'extra~' || name, is_dir, size, modified FROM entries WHERE NOT is_dir AND id % 7 = 0")
+    _plain("relocate", lambda c: hierarchy.with_paths(m := mutate.relocate(c.entries, "/ASIA", "/EUROPE/moved", paths=c.paths), hierarchy.folder_paths(m)).select("id", "path"), f"{adapters.ORACLE} SELECT id, CASE WHEN path = '/ASIA' OR starts_with(path, '/ASIA/') THEN '/EUROPE/moved' || substr(path, 6) ELSE path END AS path FROM e")
+    _plain("ensure_folders", lambda c: hierarchy.folder_paths(mutate.ensure_folders(c.entries, _values(c, "('/ASIA/x/y'), ('/ASIA/x'), ('relative')", "path"), c.paths)).select("path"), f"{adapters.ORACLE} SELECT CASE WHEN path = '' THEN '/' ELSE path END AS path FROM folder UNION ALL SELECT '/ASIA/x' UNION ALL SELECT '/ASIA/x/y'")
     # reconciling
-    _plain("reconcile_diff", lambda c: _difference(c).groupBy("change").agg(F.count("*").alias("n")), f"{adapters.ORACLE}, x AS (SELECT CASE WHEN is_dir THEN 'unchanged' WHEN id % 11 = 0 THEN 'delete' WHEN id % 13 = 0 THEN 'update' ELSE 'unchanged' END AS change FROM entries UNION ALL SELECT 'insert' FROM entries WHERE NOT is_dir AND id % 17 = 0) SELECT change, count(*) AS n FROM x GROUP BY change")
+    seen = "CASE WHEN is_dir THEN 'unchanged' WHEN id % 11 = 0 THEN 'delete' WHEN id % 13 = 0 THEN 'update' ELSE 'unchanged' END"
+    _plain("reconcile_diff", lambda c: _difference(c).select("parent", "name", "change", "size", "new_size"), f"{adapters.ORACLE}, x AS (SELECT *, {seen} AS change FROM entries) SELECT parent, name, change, size, CASE change WHEN 'delete' THEN NULL WHEN 'update' THEN size + 1 ELSE size END AS new_size FROM x UNION ALL SELECT parent, 'inserted~' || name, 'insert', NULL, size + CASE WHEN id % 13 = 0 THEN 1 ELSE 0 END FROM entries WHERE NOT is_dir AND id % 17 = 0")
     _plain("reconcile_counters", lambda c: reconcile.counters(_difference(c)), f"{adapters.ORACLE}, x AS (SELECT is_dir, CASE WHEN is_dir THEN 'unchanged' WHEN id % 11 = 0 THEN 'delete' WHEN id % 13 = 0 THEN 'update' ELSE 'unchanged' END AS change FROM entries UNION ALL SELECT false, 'insert' FROM entries WHERE NOT is_dir AND id % 17 = 0) SELECT count(*) FILTER (change <> 'delete') AS scanned, count(*) FILTER (change IN ('insert', 'update')) AS written, count(*) FILTER (change = 'delete') AS deleted, count(*) FILTER (is_dir AND change <> 'delete') AS dirs, count(*) FILTER (NOT is_dir AND change <> 'delete') AS files, bool_or(change <> 'unchanged') AS changed FROM x")
-    _plain("reconcile_apply", lambda c: reconcile.apply_diff(c.entries, _difference(c)).agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.sum("size").cast("long").alias("bytes")), f"{adapters.ORACLE}, x AS (SELECT size + CASE WHEN NOT is_dir AND id % 13 = 0 THEN 1 ELSE 0 END AS size FROM entries WHERE is_dir OR id % 11 <> 0 UNION ALL SELECT size FROM entries WHERE NOT is_dir AND id % 17 = 0) SELECT count(*) AS n, count(*) AS n_ids, CAST(sum(size) AS BIGINT) AS bytes FROM x")
+    # ids of inserted rows are fresh ones; the others stay
+    _plain("reconcile_apply", lambda c: reconcile.apply_diff(c.entries, _difference(c), c.paths).select(F.when(~F.col("name").startswith("inserted~"), F.col("id")).alias("id"), "parent", "name", "is_dir", "size", "modified"), f"{adapters.ORACLE} SELECT id, parent, name, is_dir, size + CASE WHEN {changed} THEN 1 ELSE 0 END AS size, modified FROM entries WHERE is_dir OR id % 11 <> 0 UNION ALL SELECT NULL, parent, 'inserted~' || name, is_dir, size + CASE WHEN {changed} THEN 1 ELSE 0 END, modified FROM entries WHERE NOT is_dir AND id % 17 = 0")
+    _plain("point_check", _point_check, f"{adapters.ORACLE} SELECT path, CASE WHEN is_dir THEN 'directory' WHEN id % 11 = 0 THEN 'delete' WHEN id % 13 = 0 THEN 'update' ELSE 'none' END AS action FROM e UNION ALL SELECT regexp_replace(path, '/([^/]*)$', '/inserted~\\1'), 'insert' FROM e WHERE NOT is_dir AND id % 17 = 0 UNION ALL SELECT '/nowhere' || path, 'parent' FROM e WHERE NOT is_dir AND id % 19 = 0")
     config = reconcile.ScanConfig(("/",), ("BOLT",), ("*.tmp", "red?gear*"), ("/EUROPE",), ("NATION_2",))
     _plain("exclude_names", lambda c: c.entries.where(~reconcile.excluded_name(F.col("name"), F.col("is_dir"), config)).select("id"), f"{adapters.ORACLE} SELECT id FROM e WHERE NOT (contains(lower(name), 'bolt') OR regexp_matches(lower(name), '^red.gear') OR ends_with(lower(name), '.tmp') OR (is_dir AND name = 'NATION_2'))")
     _plain("exclude_prefix", lambda c: hierarchy.with_paths(c.entries, c.paths).where(~reconcile.excluded_path(F.col("path"), config)).select("id"), f"{adapters.ORACLE} SELECT id FROM e WHERE NOT (path = '/EUROPE' OR starts_with(path, '/EUROPE/') OR contains(lower(path), 'bolt') OR regexp_matches(lower(path), '/red.gear[^/]*') OR contains(path || '/', '/NATION_2/'))")
@@ -215,9 +223,9 @@ def _register() -> None:
     _add("event_routing", lambda spark, sf: feed.route(adapters.feed(spark, sf), roots), f"{routed} SELECT path, scope, id FROM routed")
     _add("event_coalesce", lambda spark, sf: feed.coalesce(feed.route(adapters.feed(spark, sf), roots), roots), f"{merged} SELECT path, scope, first_id, id FROM coalesced")
     _add("event_overflow", lambda spark, sf: feed.coalesce(feed.route(adapters.feed(spark, sf), roots), roots, 1), f"{merged} SELECT r AS path, 2 AS scope, min(first_id) AS first_id, max(id) AS id FROM coalesced, (VALUES ('/user-1'), ('/user-2'), ('/user-3/sub')) v(r) GROUP BY r")
-    _add("event_cursor", _cursor, f"{adapters.FEED_ORACLE} SELECT greatest(0, min(id) - 1) AS cursor FROM feed WHERE id % 10 = 9 AND id > 1000")
+    _add("event_cursor", _cursor, f"{adapters.FEED_ORACLE} SELECT coalesce(greatest(0, min(id) FILTER (id % 10 = 9 AND id > 1000) - 1), max(id), 0) AS cursor FROM feed")
     _add("event_flags", lambda spark, sf: adapters.feed(spark, sf).groupBy(feed.is_file_item(F.col("flags")).alias("is_file"), feed.changes_name(F.col("flags")).alias("renames"), feed.replaces_folder(F.col("flags")).alias("replaces"), feed.needs_recursive_scan(F.col("flags")).alias("deep")).agg(F.count("*").alias("n")), "SELECT event_type IN ('click', 'view', 'purchase') AS is_file, event_type = 'purchase' AS renames, event_type = 'signup' AS replaces, event_type = 'error' AS deep, count(*) AS n FROM events GROUP BY ALL")
-    _add("event_history", lambda spark, sf: feed.history_done(adapters.feed(spark, sf)), "SELECT false AS done, 0::BIGINT AS id")
+    _add("event_history", lambda spark, sf: feed.history_done(adapters.feed(spark, sf).withColumn("flags", F.when(F.col("id") % 100 == 7, F.col("flags").bitwiseOR(F.lit(feed.HISTORY_DONE))).otherwise(F.col("flags")))), "SELECT count(*) FILTER (event_id % 100 = 7) > 0 AS done, coalesce(max(event_id) FILTER (event_id % 100 = 7), 0) AS id FROM events")
 
 
 def _values(c: Catalog, rows: str, columns: str) -> DataFrame:
@@ -225,14 +233,29 @@ def _values(c: Catalog, rows: str, columns: str) -> DataFrame:
 
 
 def _perturbed(c: Catalog) -> DataFrame:
+    """The files, every 13th one byte larger and under another id, and every 17th once more under another name."""
     files = c.entries.where("not is_dir")
-    changed = files.withColumn("size", F.when(F.col("id") % 13 == 0, F.col("size") + 1).otherwise(F.col("size")))
-    return changed.unionByName(files.where("id % 17 = 0").withColumn("name", F.concat(F.lit("inserted~"), "name")))
+    moved = F.col("id") % 13 == 0
+    changed = files.withColumn("size", F.when(moved, F.col("size") + 1).otherwise(F.col("size"))).withColumn("old", F.col("id"))
+    more = changed.where("old % 17 = 0").withColumn("name", F.concat(F.lit("inserted~"), "name")).withColumn("id", F.col("id") + 2 * _NEW_ID)
+    return changed.withColumn("id", F.when(moved, F.col("id") + _NEW_ID).otherwise(F.col("id"))).unionByName(more).drop("old")
+
+
+def _observed(c: Catalog) -> DataFrame:
+    """What a scan finds after changes: every 11th file is gone."""
+    return _perturbed(c).where(f"id % {_NEW_ID} % 11 <> 0 or name like 'inserted~%'").unionByName(c.entries.where("is_dir")).withColumn("modified", F.col("modified") + F.lit(0.25))
 
 
 def _difference(c: Catalog) -> DataFrame:
-    observed = _perturbed(c).where("id % 11 <> 0 or name like 'inserted~%'").unionByName(c.entries.where("is_dir"))
-    return reconcile.diff(c.entries, observed.withColumn("modified", F.col("modified") + F.lit(0.25)))
+    return reconcile.diff(c.entries, _observed(c))
+
+
+def _point_check(c: Catalog) -> DataFrame:
+    stored, observed = (hierarchy.with_paths(rows, c.paths) for rows in (c.entries, _observed(c)))
+    strays = stored.where("not is_dir and id % 19 = 0").withColumn("path", F.concat(F.lit("/nowhere"), "path"))
+    changed = stored.select("path").unionByName(observed.select("path")).unionByName(strays.select("path"))
+    seen = observed.select("path", "is_dir", "size", "modified").unionByName(strays.select("path", "is_dir", "size", F.col("modified").cast("double").alias("modified")))
+    return reconcile.point_check(changed, stored, seen, c.paths.where("path is not null"))
 
 
 def _duplicates(c: Catalog) -> DataFrame:
@@ -241,11 +264,12 @@ def _duplicates(c: Catalog) -> DataFrame:
     return items.select(F.lit(1).cast("long").alias("parent"), F.concat(F.lit("line-"), "l_orderkey", F.lit("-"), "l_linenumber").alias("name"), F.lit(False).alias("is_dir"), size.alias("size"), F.lit(0).cast("long").alias("modified"), F.struct("l_partkey", "l_suppkey", size).alias("seq"))
 
 
-def _merge_self(c: Catalog) -> DataFrame:
-    """A catalog merged with a copy of itself under other ids is the catalog."""
-    shift = 10**12
-    copy = c.entries.withColumn("id", F.col("id") + shift).withColumn("parent", F.when(F.col("parent") == 0, 0).otherwise(F.col("parent") + shift))
-    return mutate.merge_trees(c.entries, copy).agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("bytes"), F.countDistinct("parent").alias("parents"))
+def _merged_copy(c: Catalog) -> DataFrame:
+    """A catalog merged with a copy of itself under other ids, in which every seventh file has another name: the catalog and those files."""
+    moved = F.col("id") + _NEW_ID
+    other = F.when(~F.col("is_dir") & (F.col("id") % 7 == 0), F.concat(F.lit("extra~"), "name")).otherwise(F.col("name"))
+    copy = c.entries.select(moved.alias("id"), F.when(F.col("parent") == 0, F.lit(0).cast("long")).otherwise(F.col("parent") + _NEW_ID).alias("parent"), other.alias("name"), "is_dir", "size", "modified")
+    return mutate.merge_trees(c.entries, copy)
 
 
 def _cursor(spark: SparkSession, sf_dir: str) -> DataFrame:

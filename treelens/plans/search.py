@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from ..lang.filters import Group, analyse
 from ..lang.parser import parse
 from ..operators import hierarchy
 from ..sources.scopes import Scope
+from ..storage import save
 
 MAX_LIMIT = 100_000
 
@@ -39,13 +41,25 @@ class Request:
 
 
 class Catalog:
-    """Entries with their folders' paths, which are computed once."""
+    """Entries with their folders' paths, which are computed once.
+
+    A catalog is a snapshot: its tables never change, so all pages of it agree.
+    """
 
     def __init__(self, entries: DataFrame, paths: DataFrame | None = None, source: str | None = None):
+        self.rows = schema.searchable(entries)
         self.entries = entries
         self.source = source  # where the entries were read, if they were
         self._paths = paths
 
+    @classmethod
+    def stored(cls, entries: DataFrame, source: str | None = None) -> Catalog:
+        """Written once, clustered by folder, with what searches look at: filters on size, date, kind and extension reach the scan."""
+        rows = save(schema.searchable(entries).repartitionByRange("parent").sortWithinPartitions("parent", "id"), "catalog")
+        made = cls(rows.select(*schema.COLUMNS), source=source)
+        made.rows = rows
+        return made
+
     @property
     def paths(self) -> DataFrame:
         if self._paths is None:
@@ -78,7 +92,7 @@ def _blank(request: Request) -> bool:
 def order(request: Request) -> list:
     """A total order: ties go by name, then id, in ascending order whatever the direction."""
     scoped = request.scope is not None and not request.scope.unrestricted
-    name, ident = F.lower("name").asc(), F.col("id").asc()
+    name, ident = F.col("folded").asc(), F.col("id").asc()
     if _blank(request) and not request.sort_empty:
         plain = not scoped or request.scope.recent_order
         return [F.col("modified").desc(), F.col("id").desc()] if plain else [F.col("modified").desc(), name, ident]
@@ -87,7 +101,7 @@ def order(request: Request) -> list:
         return column.asc() if request.ascending else column.desc()
 
     if request.sort == "name":
-        return [directed(F.lower("name")), ident]
+        return [directed(F.col("folded")), ident]
     if request.sort == "path":
         return [directed(F.lower("path")), name, ident]
     key = {"size": "size", "modified": "modified", "kind": "is_dir"}[request.sort]
@@ -96,7 +110,11 @@ def order(request: Request) -> list:
 
 def matches(catalog: Catalog, request: Request) -> DataFrame:
     """All matching rows (with path if the query or the order needs it), not ordered."""
-    rows = catalog.entries.where("name <> ''")
+    return _found(catalog, request).drop(*schema.SEARCHED)
+
+
+def _found(catalog: Catalog, request: Request) -> DataFrame:
+    rows = catalog.rows.where("name <> ''")
     if request.kind != "all":
         rows = rows.where(F.col("is_dir") if request.kind == "folders" else ~F.col("is_dir"))
     if not request.include_hidden:
@@ -137,11 +155,11 @@ def search(catalog: Catalog, request: Request) -> DataFrame:
     """The page: ``rank, id, path, name, is_dir, size, modified, kind``; paths are joined to its rows only."""
     limit, offset = max(1, min(request.limit, MAX_LIMIT)), max(0, request.offset)
     keys = order(request)
-    page = matches(catalog, request).orderBy(*keys).offset(offset).limit(limit)
-    # at most `limit` rows from here on
-    page = page.withColumn("rank", F.row_number().over(W.orderBy(*keys)) + offset)
-    page = page.drop("path") if "path" in page.columns else page
-    page = hierarchy.with_paths(page, catalog.paths)
+    page = _found(catalog, request).orderBy(*keys).offset(offset).limit(limit)
+    # at most MAX_LIMIT rows from here on: they go to the folders, which are only read
+    page = save(page.withColumn("rank", F.row_number().over(W.orderBy(*keys)) + offset).select("rank", *schema.COLUMNS), "page")
+    folders = catalog.paths.join(F.broadcast(page.select(F.col("parent").alias("id")).distinct()), "id", "left_semi")
+    page = hierarchy.with_paths(page, F.broadcast(folders))
     return page.select("rank", "id", "path", "name", "is_dir", "size", "modified", schema.kind(F.col("name"), F.col("is_dir")).alias("kind"))
 
 
@@ -161,6 +179,21 @@ def pages(catalog: Catalog, request: Request, size: int):
         offset += size
 
 
+@contextmanager
+def cancellable(spark: SparkSession, tag: str):
+    """What runs in this block (in this thread) can be ended from another one by ``cancel(spark, tag)``."""
+    spark.addTag(tag)
+    try:
+        yield
+    finally:
+        spark.removeTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> list[str]:
+    """Ends the jobs of the blocks with this tag; their actions raise."""
+    return spark.interruptTag(tag)
+
+
 def joined_names(page: DataFrame, column: str = "path") -> DataFrame:
     """Names or paths of a page as one text, a line each, in rank order."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", column)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,15 @@ def extension(name: Column) -> Column:
     return F.regexp_extract(name, r"(?s)^.*[^/]\.([^./]+)$", 1)
 
 
+#: Columns that searches look at besides the entries' own.
+SEARCHED = ("folded", "ext")
+
+
+def searchable(entries: DataFrame) -> DataFrame:
+    """The entries with their names and extensions in lower case."""
+    return entries.select(*COLUMNS, F.lower("name").alias("folded"), F.lower(extension(F.col("name"))).alias("ext"))
+
+
 def kind(name: Column, is_dir: Column) -> Column:
     ext = extension(name)
     return F.when(is_dir, "Folder").when(ext == "", "File").otherwise(F.concat(F.upper(ext), F.lit(" File")))
