@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from treelens.llm import htmltext, warc
@@ -84,3 +86,28 @@ def test_broken_and_odd_pages(spark):
     assert len(got) == len(pages) and got[0].text == "" and got[1].text == "" and got[9].text == "deep"
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_what_an_article_must_not_lose():
+    good = ("the cat is on the mat and it is not in the house with you " * 5).strip()
+    for part, text in (('<p title="the hidden truth">Short one.</p>', "Short one."), ('<p data-id="ad" data-class=\'menu\'>Short one.</p>', "Short one."), ("<p><a href=x>A link of its own</a></p>", "A link of its own"),
+                       ("<figure><img src=x alt='class=ad'><figcaption>The cat.</figcaption></figure>", "The cat."), ("<p>It is <math><mi>x</mi>=<mn>2</mn></math>.</p>", "It is x=2.")):
+        assert htmltext.main_text(f"<nav>Home</nav><article><p>{good}</p>{part}<p>{good}</p></article>") == f"{good} {text} {good}", part
+    # but not lists of links, and what is named or hidden
+    for part in ("<ul><li><a href=x>One</a><li><a href=y>Two</a></ul>", "<p class='ad'>Buy</p>", "<p hidden>x</p>", "<p aria-hidden = 'true'>x</p>", "<p ID=sidebar>x</p>"):
+        assert htmltext.main_text(f"<article><p>{good}</p>{part}<p>{good}</p></article>") == f"{good} {good}", part
+
+
+def test_broken_html_in_linear_time():
+    began = time.monotonic()
+    assert htmltext.main_text("<div>" * 30_000 + "<article><p>deep" + "</b></i></td>" * 30_000) == "deep"
+    assert htmltext.main_text("<article><p>text" + "<svg>" * 30_000) == "text"
+    assert htmltext.main_text("<article>" + "<p>word " * 60_000).count("word") == 60_000
+    assert time.monotonic() - began < 20
+
+
+def test_repeated_and_very_long_pages(spark):
+    page = "<nav>Home</nav><article>" + "<p>the cat is on the mat and it is not in the house with you</p>" * 20_000 + "</article><footer>x</footer>"
+    df = spark.createDataFrame([(1, "u", page)] * 2 + [(None, None, page)], "page_id long, url string, html string")
+    got = htmltext.extract(df).collect()
+    assert len(got) == 3 and {r.n_chars for r in got} == {20_000 * 58 - 1} and {r.page_id for r in got} == {1, None}

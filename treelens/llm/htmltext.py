@@ -5,7 +5,7 @@ and so on never hold main text; forms and what is named advert, comments and
 so on only if long blocks full of stop words say otherwise), its link density, its length
 and its stop-word density make it good, bad, short or near-good.  Standing in
 an ``article`` or ``main`` lifts a block by one step: near-good to good, few
-stop words to short, none at all to weak.  Pass 2 decides the ambiguous ones by their
+stop words to short, none at all to weak, a paragraph that is only a link to weak.  Pass 2 decides the ambiguous ones by their
 nearest decided neighbours.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ STOP_WORDS = frozenset(
 # Elements whose text is never main text.
 OUTSIDE = frozenset("nav header footer aside button select dialog menu noscript".split())
 # Elements whose content is not text at all.
-RAW = frozenset("script style template textarea iframe object svg math title noframes".split())
+RAW = frozenset("script style template textarea iframe object svg title noframes".split())
 # Elements that may hold more than boilerplate, whatever their class or id is.
 PAGE = frozenset("html body main article".split())
 # Names in class, id and role attributes that mark boilerplate, alone or joined with each other.
@@ -37,7 +38,9 @@ BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer header login masthead menu modal nav navbar navigation "
     "newsletter notice notices pagination pager popup promo promotion promoted related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget".split()
 )
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+# Elements of running text: one that is only a link may still belong to the text around it.
+TEXT = frozenset("p blockquote figcaption dd pre".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mfenced".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -50,17 +53,18 @@ HEADING_REACH = 2
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
-_ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+# one attribute after the other, values with them: what stands inside a value is no attribute
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _PART = re.compile(r"[a-z0-9]+")
 _WORD = re.compile(r"\w+")
 
 
 class Block:
-    __slots__ = ("parts", "linked", "inside", "outside", "doubt", "heading", "text", "label")
+    __slots__ = ("parts", "linked", "tag", "inside", "outside", "doubt", "heading", "text", "label")
 
-    def __init__(self, inside: int, outside: bool, doubt: int, heading: bool):
+    def __init__(self, tag: str, inside: int, outside: bool, doubt: int, heading: bool):
         self.parts: list[str] = []
-        self.linked, self.inside, self.outside, self.doubt, self.heading = 0, inside, outside, doubt, heading
+        self.linked, self.tag, self.inside, self.outside, self.doubt, self.heading = 0, tag, inside, outside, doubt, heading
 
 
 def _hidden(attributes: str) -> bool:
@@ -77,12 +81,17 @@ def _boilerplate(attributes: str) -> bool:
     return False
 
 
+_raw_ends = {tag: re.compile(rf"</{tag}[\s>/]") for tag in sorted(RAW)}
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks with their surroundings; tolerates any broken markup."""
     blocks: list[Block] = []
     # open elements: (name, number of the outermost article/main or 0, outside main text, number of the innermost
     # doubtful element (negative: a form) or 0, heading)
     stack: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]
+    opened: Counter[str] = Counter()  # how many elements of each name are open
+    unclosed: set[str] = set()  # raw elements whose end tag doesn't come any more
     articles = doubts = 0
     block, links, at, size = None, 0, 0, len(page)
     lower = page.lower() if len(page.lower()) == size else "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
@@ -94,12 +103,16 @@ def blocks_of(page: str) -> list[Block]:
         if block is None:
             if not text.strip():
                 return
-            block = Block(*stack[-1][1:])
+            block = Block(*stack[-1])
             blocks.append(block)
         block.parts.append(text)
         if links:
             block.linked += len(text)
 
+    def close(depth: int) -> None:
+        opened.subtract(x[0] for x in stack[depth:])
+        del stack[depth:]
+
     while at < size:
         opening = page.find("<", at)
         if opening < 0:
@@ -137,20 +150,20 @@ def blocks_of(page: str) -> list[Block]:
             if tag not in INLINE or any(x[0] == tag for x in stack[-3:]):
                 if tag not in INLINE:
                     block = None
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        del stack[depth:]
-                        block = None
-                        break
+                if opened[tag] > 0:  # else no look through the stack, however deep
+                    close(next(depth for depth in range(len(stack) - 1, 0, -1) if stack[depth][0] == tag))
+                    block = None
             if tag not in INLINE:
                 links = 0
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}[\s>/]").search(lower, at) if tag != "title" or at < size else None
-            if close:
-                end = page.find(">", close.start())
+            found = None if tag in unclosed else _raw_ends[tag].search(lower, at)
+            if found:
+                end = page.find(">", found.start())
                 at = size if end < 0 else end + 1
-            elif tag not in ("title", "object", "svg", "math"):
+            elif tag in ("title", "object", "svg"):
+                unclosed.add(tag)
+            else:
                 at = size
             continue
         attributes = page[name.end() : at]
@@ -171,7 +184,7 @@ def blocks_of(page: str) -> list[Block]:
             # the end tag of these may be missing: a new one closes an open one
             for depth in range(len(stack) - 1, max(0, len(stack) - 3), -1):
                 if stack[depth][0] == tag:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if stack[depth][0] in ("ul", "ol", "dl", "table", "div", "article", "section"):
                     break
@@ -187,6 +200,7 @@ def blocks_of(page: str) -> list[Block]:
             doubt = doubts if named else -doubts
         elif tag == "main" or (tag == "article" and doubt < 0):
             doubt = 0  # a form around an article says nothing of it
+        opened[tag] += 1
         stack.append((tag, inside, outside or bad, doubt, heading or tag in HEADINGS))
     return blocks
 
@@ -206,7 +220,8 @@ def classify(blocks: list[Block]) -> None:
     for b, (density, links, sure) in zip(blocks, measured, strict=True):
         doubtful = dense.get(b.doubt, 0) < 0
         if b.outside or links > (MAX_LINKS_INSIDE if b.inside else MAX_LINKS):
-            b.label = "bad"
+            # a paragraph of an article that is a link goes with the paragraphs around it
+            b.label = "weak" if b.inside and b.tag in TEXT and not (b.outside or doubtful) else "bad"
         elif doubtful:
             b.label = "good" if sure else "bad"
         elif len(b.text) < SHORT:
