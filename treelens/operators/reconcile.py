@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lang.compile import glob
-from ..schema import COLUMNS, contains, parent_path
+from ..schema import COLUMNS, ancestors, contains, parent_path
 from . import hierarchy
 from .mutate import allocate_ids
 
@@ -123,7 +123,7 @@ def guarded_deletes(deletes: DataFrame, unavailable: DataFrame) -> DataFrame:
     """Deletes (column path) without those at, below or above an unavailable place (column path)."""
     held = unavailable.select(F.col("path").alias("holder"))
     safe = hierarchy.owner(deletes, held).where("owner is null").drop("owner")
-    above = unavailable.select(F.explode(F.expr("transform(sequence(1, size(split(path, '/'))), n -> concat_ws('/', slice(split(path, '/'), 1, n)))")).alias("path")).distinct()
+    above = unavailable.select(F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("path")).distinct()
     return safe.join(above, "path", "left_anti")
 
 

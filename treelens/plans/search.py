@@ -182,16 +182,16 @@ def pages(catalog: Catalog, request: Request, size: int):
 @contextmanager
 def cancellable(spark: SparkSession, tag: str):
     """What runs in this block (in this thread) can be ended from another one by ``cancel(spark, tag)``."""
-    spark.addTag(tag)
+    spark.sparkContext.addJobTag(tag)
     try:
         yield
     finally:
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
 
 
-def cancel(spark: SparkSession, tag: str) -> list[str]:
+def cancel(spark: SparkSession, tag: str) -> None:
     """Ends the jobs of the blocks with this tag; their actions raise."""
-    return spark.interruptTag(tag)
+    spark.sparkContext.cancelJobsWithTag(tag)
 
 
 def joined_names(page: DataFrame, column: str = "path") -> DataFrame:
