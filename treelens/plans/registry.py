@@ -98,7 +98,8 @@ def _register() -> None:
     _plain("children_scan", lambda c: hierarchy.children(c.entries, 100), f"{adapters.ORACLE} SELECT id, parent, name, is_dir, size, modified FROM entries WHERE parent = 100")
     _plain("child_folders", lambda c: hierarchy.child_folders(c.entries, 10), f"{adapters.ORACLE} SELECT id, parent, name, is_dir, size, modified FROM entries WHERE parent = 10 AND is_dir")
     _plain("point_lookup", lambda c: hierarchy.child(c.entries, _values(c, "(10L, 'NATION_0'), (10L, 'missing'), (1L, 'ASIA')", "parent, name")).select("id", "parent", "name"), f"{adapters.ORACLE} SELECT id, parent, name FROM entries WHERE (parent, name) IN ((10, 'NATION_0'), (1, 'ASIA'))")
-    _plain("fetch_ids", lambda c: hierarchy.fetch(c.entries, c.entries.where("id % 97 = 3").select("id")), f"{adapters.ORACLE} SELECT id, parent, name, is_dir, size, modified FROM entries WHERE id % 97 = 3")
+    # every id, every parent's id once for each child, and 0, which no entry has
+    _plain("fetch_ids", lambda c: hierarchy.fetch(c.entries, c.entries.select(F.explode(F.array("id", "parent")).alias("id"))), f"{adapters.ORACLE} SELECT id, parent, name, is_dir, size, modified FROM entries WHERE id IN (SELECT id FROM entries UNION ALL SELECT parent FROM entries)")
 
     # terms
     _matching("literal_ci", _HAS_RING, text="ring")
