@@ -35,6 +35,20 @@ def test_upsert_replaces_the_ids_of_files(spark):
     assert {r.id for r in mutate.upsert(entries, twice, "seq").where("name = 'g.txt'").collect()} == {ids["g.txt"].id}
 
 
+def test_versions_advance_only_with_changes(spark):
+    entries = from_paths(spark, TREE)
+    ids = {r.name: r.id for r in entries.collect()}
+    same = entries.where("not is_dir").select("parent", "name", "is_dir", "size", "modified")
+    assert mutate.advance(7, entries, mutate.upsert(entries, same)) == 7
+    assert mutate.advance(7, entries, mutate.upsert(entries, same.withColumn("size", F.col("size") + 1))) == 8
+    missing, known = (spark.createDataFrame([(i,)], "id long") for i in (10**6, ids["h"]))
+    assert mutate.advance(7, entries, mutate.delete_ids(entries, missing)) == 7 and mutate.advance(7, entries, mutate.delete_ids(entries, known)) == 8
+    assert mutate.advance(0, entries.limit(0), entries.limit(0)) == 0
+    after = entries.withColumn("size", F.when(F.col("name") != "f.txt", F.col("size"))).where("name <> 'h'").unionByName(entries.where("name = 'h'").withColumn("id", F.lit(10**6).cast("long")))
+    assert dict(rows(mutate.changes(entries, after).where(F.col("id").isin(ids["f.txt"], ids["h"], 10**6)))) == {ids["f.txt"]: "update", ids["h"]: "delete", 10**6: "insert"}
+    assert mutate.changes(after, after).isEmpty()  # null sizes are equal
+
+
 def test_a_file_gives_way_to_a_folder(spark):
     entries = from_paths(spark, TREE)
     out = mutate.ensure_folders(entries, spark.createDataFrame([("/a/g.txt/deep",), ("/a/b",)], "path string"))

@@ -56,6 +56,28 @@ def upsert(entries: DataFrame, incoming: DataFrame, seq: str | None = None) -> D
     return old.select(*COLUMNS, "change").unionByName(added.select(*COLUMNS, F.lit("insert").alias("change")))
 
 
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``id, change`` of the rows that differ between two snapshots: insert, update or delete.
+
+    One join on id, in which both sides are shuffled once; null values are
+    equal to each other.  Ids must be unique in each snapshot.
+    """
+    values = [c for c in COLUMNS if c != "id"]
+    old = before.select("id", F.struct(*values).alias("_old"))
+    new = after.select("id", F.struct(*values).alias("_new"))
+    change = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").otherwise("update")
+    return old.join(new, "id", "full_outer").where(~F.col("_old").eqNullSafe(F.col("_new"))).select("id", change.alias("change"))
+
+
+def advance(version: int, before: DataFrame, after: DataFrame) -> int:
+    """The data version of ``after``: one more than that of ``before`` if any row differs, else the same (writes of what is there do not count).
+
+    The rows' own ``change`` is believed where there is one, as after ``upsert``.
+    """
+    moved = after.where("change <> 'none'") if "change" in after.columns else changes(before, after)
+    return version if moved.isEmpty() else version + 1
+
+
 def insert(entries: DataFrame, rows: DataFrame) -> DataFrame:
     return entries.unionByName(rows.select(*COLUMNS))
 

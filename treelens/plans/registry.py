@@ -194,6 +194,9 @@ def _register() -> None:
     _plain("allocate_ids", lambda c: mutate.allocate_ids(c.entries.select("name", F.col("id").alias("k")), c.entries, ["k"]).agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.min("id").alias("low"), F.max("id").alias("high")), f"{adapters.ORACLE} SELECT count(*) AS n, count(*) AS n_ids, max(id) + 1 AS low, max(id) + count(*) AS high FROM entries")
     gone = "WITH_DOWN AS (SELECT id FROM entries WHERE id = 101 UNION SELECT x.id FROM WITH_DOWN w JOIN entries x ON x.parent = w.id)"
     _plain("delete_subtree", lambda c: mutate.delete_subtree(c.entries, _values(c, "(101L)", "id"), paths=c.paths), f"{adapters.ORACLE}, {gone} {copy} WHERE id NOT IN (SELECT id FROM WITH_DOWN)")
+    grown, lost = "NOT is_dir AND size >= 3000000", "NOT is_dir AND size < 200000"
+    _plain("snapshot_changes", lambda c: mutate.changes(c.entries, _next(c, grown, lost)), f"""{adapters.ORACLE} SELECT id, CASE WHEN {grown} THEN 'update' ELSE 'delete' END AS change FROM entries WHERE ({grown}) OR ({lost})
+        UNION ALL SELECT id + {_NEW_ID}, 'insert' FROM entries WHERE is_dir""")
     _plain("delete_ids", lambda c: mutate.delete_ids(c.entries, c.entries.where("id % 3 = 0").select("id")), f"{everything} WHERE id % 3 <> 0")
     keep = "kept AS (SELECT id FROM entries WHERE id = 103 UNION SELECT x.id FROM kept w JOIN entries x ON x.parent = w.id), above AS (SELECT parent AS id FROM entries WHERE id = 103 UNION SELECT x.parent FROM above a JOIN entries x ON x.id = a.id)"
     _plain("clear_preserving", lambda c: mutate.clear(c.entries, _values(c, "(103L)", "id"), c.paths), f"{adapters.ORACLE}, {keep} {copy} WHERE id IN (SELECT id FROM kept UNION SELECT id FROM above)")
@@ -229,6 +232,12 @@ def _register() -> None:
     _add("event_history", lambda spark, sf: feed.history_done(adapters.feed(spark, sf).withColumn("flags", F.when(F.col("id") % 100 == 7, F.col("flags").bitwiseOR(F.lit(feed.HISTORY_DONE))).otherwise(F.col("flags")))), "SELECT count(*) FILTER (event_id % 100 = 7) > 0 AS done, coalesce(max(event_id) FILTER (event_id % 100 = 7), 0) AS id FROM events")
 
 
+def _next(c: Catalog, grown: str, lost: str) -> DataFrame:
+    """The entries without some, with others grown, and a copy of each folder."""
+    kept = c.entries.where(f"NOT ({lost})").withColumn("size", F.when(F.expr(grown), F.col("size") + 1).otherwise(F.col("size")))
+    return kept.unionByName(c.entries.where("is_dir").withColumn("id", F.col("id") + _NEW_ID))
+
+
 def _values(c: Catalog, rows: str, columns: str) -> DataFrame:
     return c.entries.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
 
