@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, htmltext, langid, mixing, neardup, pii, repetition, toxicity, urlfilter, warc
+from . import audit, decontam, htmltext, langid, mixing, neardup, pii, repetition, toxicity, urlfilter, warc
 from .common import table
 
 
@@ -52,8 +52,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    found = (op1_language_id, op2_pii, op3_toxicity, op4_url_filter, op5_warc_revisits, op6_main_text, op7_near_duplicates, op8_quality_rules, op9_decontamination, op10_mixing)
+    found = (op1_language_id, op2_pii, op3_toxicity, op4_url_filter, op5_warc_revisits, op6_main_text, op7_near_duplicates, op8_quality_rules, op9_decontamination, op10_mixing, op12_filter_audit)
     return {f.__name__: f for f in found}
 
 
@@ -139,5 +143,46 @@ FROM judged
 """
 
 
+#: Exact: masks counted per part, then met with the 120 orders.
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), failing AS (
+  SELECT d.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+         (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END)
+         || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+         || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END)
+         || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+         || (CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails
+  FROM d LEFT JOIN marks m ON m.doc_id = d.doc_id
+), counted AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY part, fails
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step, filter_order[step] AS letter, filter_order[1 : step - 1] AS earlier FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), outcomes AS (
+  SELECT c.part, s.filter_order, s.step, s.letter, c.n, c.good, c.toxic, contains(c.fails, s.letter) AS fails_it, c.fails = s.letter AS only_it,
+         c.fails <> translate(c.fails, s.earlier, '') AS gone
+  FROM counted c, steps s
+), summed AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (NOT gone AND NOT fails_it), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fails_it), 0) AS removed,
+         coalesce(sum(n) FILTER (gone AND fails_it), 0) AS redundant, coalesce(sum(n) FILTER (only_it), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (NOT gone AND fails_it), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails_it), 0) AS toxic_lost
+  FROM outcomes GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_revisits": _OP5, "op7_near_duplicates": _OP7, "op8_quality_rules": _OP8}
+    return {"op5_warc_revisits": _OP5, "op7_near_duplicates": _OP7, "op8_quality_rules": _OP8, "op12_filter_audit": _OP12}
