@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, decontam, htmltext, langid, mixing, neardup, pii, repetition, toxicity, urlfilter, warc
+from . import audit, decontam, htmltext, langid, mixing, neardup, pii, repetition, substrings, toxicity, urlfilter, warc
 from .common import table
 
 
@@ -56,8 +56,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedupe(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict:
-    found = (op1_language_id, op2_pii, op3_toxicity, op4_url_filter, op5_warc_revisits, op6_main_text, op7_near_duplicates, op8_quality_rules, op9_decontamination, op10_mixing, op12_filter_audit)
+    found = (op1_language_id, op2_pii, op3_toxicity, op4_url_filter, op5_warc_revisits, op6_main_text, op7_near_duplicates, op8_quality_rules, op9_decontamination, op10_mixing, op12_filter_audit, op13_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
