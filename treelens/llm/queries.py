@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, decontam, htmltext, langid, mixing, neardup, pii, repetition, substrings, toxicity, urlfilter, warc
+from . import audit, decontam, htmltext, langid, lexical, mixing, neardup, pii, repetition, substrings, toxicity, urlfilter, warc
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,7 +65,7 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_language_id, op2_pii, op3_toxicity, op4_url_filter, op5_warc_revisits, op6_main_text, op7_near_duplicates, op8_quality_rules, op9_decontamination, op10_mixing, op12_filter_audit, op13_suffix_dedup)
+    found = (op1_language_id, op2_pii, op3_toxicity, op4_url_filter, op5_warc_revisits, op6_main_text, op7_near_duplicates, op8_quality_rules, op9_decontamination, op10_mixing, op11_lexical_search, op12_filter_audit, op13_suffix_dedup)
     return {f.__name__: f for f in found}
 
 
@@ -147,6 +151,32 @@ FROM judged
 """
 
 
+#: Exact: term counts of the benchmark's terms in all documents.
+_OP11 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), lengths AS (
+  SELECT doc_id, t, len(t) AS n FROM d WHERE len(t) > 0
+), total AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM lengths
+), asked AS (
+  SELECT item_id, term, count(*) AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY item_id, term
+), found AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM lengths) WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM found, total GROUP BY term, docs
+), scored AS (
+  SELECT a.item_id, f.doc_id, CAST(sum(a.q * w.w * ((1000000000 * f.tf) // (1000 * f.tf + 12 * (100 - 25 + (25 * f.n * total.docs) // total.words)))) AS BIGINT) AS score
+  FROM asked a JOIN found f ON f.term = a.term JOIN weights w ON w.term = a.term, total GROUP BY a.item_id, f.doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 #: Exact: masks counted per part, then met with the 120 orders.
 _OP12 = r"""
 WITH d AS (
@@ -189,4 +219,4 @@ FROM summed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_revisits": _OP5, "op7_near_duplicates": _OP7, "op8_quality_rules": _OP8, "op12_filter_audit": _OP12}
+    return {"op5_warc_revisits": _OP5, "op7_near_duplicates": _OP7, "op8_quality_rules": _OP8, "op11_lexical_search": _OP11, "op12_filter_audit": _OP12}
