@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import highlight
 from ..operators import hierarchy, mutate, reconcile, tokens
+from ..operators.tokens import TokenIndex
 from ..operators.volumes import RESOLVE_ORACLE, share_identities
 from ..sources import adapters
 from ..sources.scopes import Scope
@@ -89,6 +90,15 @@ def _day(text: str) -> str:
     return f"epoch_us(TIMESTAMP '{text}') // 1000000"
 
 
+def _patched_tokens(c: Catalog) -> DataFrame:
+    """A phrase in the index after a change set: every 997th id renamed, every 991st gone."""
+    after = c.entries.where("id % 991 <> 0").withColumn("name", F.when(F.expr("id % 997 = 0"), F.concat(F.lit("Ring-"), "name")).otherwise(F.col("name")))
+    index = c.tokens.patch(c.entries.where("id % 991 = 0 or id % 997 = 0").select("id"), after.where("id % 997 = 0"))
+    index = index or TokenIndex.build(after)
+    found = index.ids("ring.blue", prefix=False).union(index.ids("ring.red", prefix=False)).distinct()
+    return after.join(found, "id", "left_semi").select("id", "name")
+
+
 def _register() -> None:
     # scans and aggregates
     _plain("scan_count", lambda c: c.statistics(), f"{adapters.ORACLE} SELECT count(*) AS n_rows, count(*) FILTER (is_dir) AS n_dirs, count(*) FILTER (NOT is_dir) AS n_files, CAST(sum(strlen(name)) AS BIGINT) AS name_bytes, max(id) + 1 AS next_id FROM entries")
@@ -99,7 +109,7 @@ def _register() -> None:
     _plain("child_folders", lambda c: hierarchy.child_folders(c.entries, 10), f"{adapters.ORACLE} SELECT id, parent, name, is_dir, size, modified FROM entries WHERE parent = 10 AND is_dir")
     _plain("point_lookup", lambda c: hierarchy.child(c.entries, _values(c, "(10L, 'NATION_0'), (10L, 'missing'), (1L, 'ASIA')", "parent, name")).select("id", "parent", "name"), f"{adapters.ORACLE} SELECT id, parent, name FROM entries WHERE (parent, name) IN ((10, 'NATION_0'), (1, 'ASIA'))")
     # every id, every parent's id once for each child, and 0, which no entry has
-    _plain("fetch_ids", lambda c: hierarchy.fetch(c.entries, c.entries.select(F.explode(F.array("id", "parent")).alias("id"))), f"{adapters.ORACLE} SELECT id, parent, name, is_dir, size, modified FROM entries WHERE id IN (SELECT id FROM entries UNION ALL SELECT parent FROM entries)")
+    _plain("fetch_ids", lambda c: hierarchy.fetch(c.entries, c.entries.select(F.explode(F.array("id", "parent")).alias("id"))), f"{adapters.ORACLE} SELECT x.id, x.parent, x.name, x.is_dir, x.size, x.modified FROM entries x JOIN (SELECT id FROM entries UNION SELECT parent FROM entries) w ON w.id = x.id")
 
     # terms
     _matching("literal_ci", _HAS_RING, text="ring")
@@ -110,8 +120,11 @@ def _register() -> None:
     _matching("wildcard_star", r"regexp_matches(lower(name), '^.*\.png$')", text="*.png")
     _matching("wildcard_qmark", r"regexp_matches(lower(name), '^.*-.\.csv$')", text="*-?.csv")
     _matching("whole_word", _WORD_RING, text="ring", whole_word=True)
-    _plain("token_match", lambda c: tokens.token_match(c.entries, "ring").select(*_ROW.split(", ")), rf"{adapters.ORACLE} SELECT {_ROW} FROM e WHERE regexp_matches(lower(name), '(^|[^\p{{L}}\p{{N}}])ring([^\p{{L}}\p{{N}}]|$)')")
+    _plain("token_match", lambda c: c.tokens.match(c.entries, "ring", prefix=False).select(*_ROW.split(", ")), rf"{adapters.ORACLE} SELECT {_ROW} FROM e WHERE regexp_matches(lower(name), '(^|[^\p{{L}}\p{{N}}])ring([^\p{{L}}\p{{N}}]|$)')")
     _plain("token_phrase", lambda c: tokens.token_match(c.entries, "red.ring").select(*_ROW.split(", ")), rf"{adapters.ORACLE} SELECT {_ROW} FROM e WHERE regexp_matches(lower(name), '(^|[^\p{{L}}\p{{N}}])red[^\p{{L}}\p{{N}}]+ring([^\p{{L}}\p{{N}}]|$)')")
+    _plain("token_prefix_phrase", lambda c: c.tokens.match(c.entries, "red.ri").select(*_ROW.split(", ")), rf"{adapters.ORACLE} SELECT {_ROW} FROM e WHERE regexp_matches(lower(name), '(^|[^\p{{L}}\p{{N}}])red[^\p{{L}}\p{{N}}]+ri')")
+    _plain("token_prefix_all", lambda c: c.tokens.match(c.entries, "gea bl").select(*_ROW.split(", ")), rf"{adapters.ORACLE} SELECT {_ROW} FROM e WHERE regexp_matches(lower(name), '(^|[^\p{{L}}\p{{N}}])gea') AND regexp_matches(lower(name), '(^|[^\p{{L}}\p{{N}}])bl')")
+    _plain("token_patched", _patched_tokens, rf"{adapters.ORACLE}, n AS (SELECT id, CASE WHEN id % 997 = 0 THEN 'Ring-' || name ELSE name END AS name FROM entries WHERE id % 991 <> 0) SELECT id, name FROM n WHERE regexp_matches(lower(name), '(^|[^\p{{L}}\p{{N}}])ring[^\p{{L}}\p{{N}}]+(blue|red)([^\p{{L}}\p{{N}}]|$)')")
     _matching("regex_name", r"regexp_matches(name, '(?i)^red.*\.(png|heic)$')", text=r"^red.*\.(png|heic)$", use_regex=True)
     _matching("regex_cs", r"regexp_matches(name, '\.PNG$')", text=r"\.PNG$", use_regex=True, match_case=True)
     _matching("regex_path", r"regexp_matches(path, '(?i)^/ASIA/.*\.pdf$')", text=r"^/ASIA/.*\.pdf$", use_regex=True, match_path=True)

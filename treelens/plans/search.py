@@ -15,6 +15,7 @@ from ..lang import compile as compiler
 from ..lang.filters import Group, analyse
 from ..lang.parser import parse
 from ..operators import hierarchy
+from ..operators.tokens import TokenIndex
 from ..sources.scopes import Scope
 from ..storage import save
 
@@ -51,6 +52,7 @@ class Catalog:
         self.entries = entries
         self.source = source  # where the entries were read, if they were
         self._paths = paths
+        self._tokens: TokenIndex | None = None
 
     @classmethod
     def stored(cls, entries: DataFrame, source: str | None = None) -> Catalog:
@@ -66,14 +68,21 @@ class Catalog:
             self._paths = hierarchy.folder_paths(self.entries)
         return self._paths
 
+    @property
+    def tokens(self) -> TokenIndex:
+        """The index of the names' words, built and stored when it is first asked for."""
+        if self._tokens is None:
+            self._tokens = TokenIndex.build(self.entries)
+        return self._tokens
+
     def cache(self) -> Catalog:
-        """Memory mode: entries and paths stay in the executors' columnar cache."""
-        self.entries.cache()
+        """Memory mode: what searches read and the paths stay in the executors' columnar cache."""
+        self.rows.cache()
         self.paths.cache()
         return self
 
     def release(self) -> None:
-        self.entries.unpersist()
+        self.rows.unpersist()
         if self._paths is not None:
             self._paths.unpersist()
 
