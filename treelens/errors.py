@@ -19,3 +19,11 @@ class CycleFound(CatalogError):
 
 class MoveRefused(CatalogError):
     """A subtree cannot be moved where it was asked to go."""
+
+
+class StorageFailed(CatalogError):
+    """A stored catalog cannot be opened or written."""
+
+
+class Conflict(StorageFailed):
+    """Another writer has committed since this transaction began."""

@@ -14,6 +14,8 @@ from ..operators.tokens import TokenIndex
 from ..operators.volumes import RESOLVE_ORACLE, share_identities
 from ..sources import adapters
 from ..sources.scopes import Scope
+from ..storage import new_folder
+from ..store import CatalogStore
 from ..streaming import feed
 from . import search as engine
 from .search import Catalog, Request
@@ -99,6 +101,25 @@ def _patched_tokens(c: Catalog) -> DataFrame:
     return after.join(found, "id", "left_semi").select("id", "name")
 
 
+def _patched_store(c: Catalog) -> CatalogStore:
+    """A stored catalog and one patch on it: every 997th file renamed, every 991st gone, every 983rd there once more."""
+    store = CatalogStore(c.entries.sparkSession, new_folder(c.entries.sparkSession, "store"))
+    with store.transaction() as t:
+        t.append(c.entries)
+    files = c.entries.where("not is_dir")
+    renamed = files.where("id % 997 = 0 and id % 991 <> 0").withColumn("name", F.concat(F.lit("Ring-"), "name"))
+    copied = files.where("id % 983 = 0").withColumn("name", F.concat(F.lit("again~"), "name")).withColumn("id", F.col("id") + _NEW_ID)
+    with store.transaction() as t:
+        t.patch(files.where("id % 997 = 0 or id % 991 = 0").select("id").unionByName(copied.select("id")), renamed.unionByName(copied))
+    return store
+
+
+def _compacted(c: Catalog) -> DataFrame:
+    store = _patched_store(c)
+    store.compact(dead_bytes=1, dead_share=0.0)
+    return store.catalog().entries
+
+
 def _register() -> None:
     # scans and aggregates
     _plain("scan_count", lambda c: c.statistics(), f"{adapters.ORACLE} SELECT count(*) AS n_rows, count(*) FILTER (is_dir) AS n_dirs, count(*) FILTER (NOT is_dir) AS n_files, CAST(sum(strlen(name)) AS BIGINT) AS name_bytes, max(id) + 1 AS next_id FROM entries")
@@ -218,6 +239,11 @@ def _register() -> None:
     _plain("merge_trees", _merged_copy, f"{adapters.ORACLE} {copy} UNION ALL SELECT id + {_NEW_ID}, parent, 'extra~' || name, is_dir, size, modified FROM entries WHERE NOT is_dir AND id % 7 = 0")
     _plain("relocate", lambda c: hierarchy.with_paths(m := mutate.relocate(c.entries, "/ASIA", "/EUROPE/moved", paths=c.paths), hierarchy.folder_paths(m)).select("id", "path"), f"{adapters.ORACLE} SELECT id, CASE WHEN path = '/ASIA' OR starts_with(path, '/ASIA/') THEN '/EUROPE/moved' || substr(path, 6) ELSE path END AS path FROM e")
     _plain("ensure_folders", lambda c: hierarchy.folder_paths(mutate.ensure_folders(c.entries, _values(c, "('/ASIA/x/y'), ('/ASIA/x'), ('relative')", "path"), c.paths)).select("path"), f"{adapters.ORACLE} SELECT CASE WHEN path = '' THEN '/' ELSE path END AS path FROM folder UNION ALL SELECT '/ASIA/x' UNION ALL SELECT '/ASIA/x/y'")
+    patched = f"""{adapters.ORACLE}, p AS (SELECT id, parent, CASE WHEN NOT is_dir AND id % 997 = 0 THEN 'Ring-' || name ELSE name END AS name, is_dir, size, modified, kind, CASE WHEN NOT is_dir AND id % 997 = 0 THEN left(path, length(path) - length(name)) || 'Ring-' || name ELSE path END AS path FROM e WHERE is_dir OR id % 991 <> 0
+        UNION ALL SELECT id + {_NEW_ID}, parent, 'again~' || name, is_dir, size, modified, kind, left(path, length(path) - length(name)) || 'again~' || name FROM e WHERE NOT is_dir AND id % 983 = 0)"""
+    by_size = "size DESC, lower(name), id"
+    _plain("patched_search", lambda c: engine.search(_patched_store(c).catalog(), Request("ring", sort="size", ascending=False, limit=300, now=NOW)), f"{patched} SELECT row_number() OVER (ORDER BY {by_size}) AS rank, {_PAGE} FROM p WHERE {_HAS_RING} QUALIFY rank <= 300")
+    _plain("compacted_catalog", _compacted, f"{patched} SELECT id, parent, name, is_dir, size, modified FROM p")
     # reconciling
     seen = "CASE WHEN is_dir THEN 'unchanged' WHEN id % 11 = 0 THEN 'delete' WHEN id % 13 = 0 THEN 'update' ELSE 'unchanged' END"
     _plain("reconcile_diff", lambda c: _difference(c).select("parent", "name", "change", "size", "new_size"), f"{adapters.ORACLE}, x AS (SELECT *, {seen} AS change FROM entries) SELECT parent, name, change, size, CASE change WHEN 'delete' THEN NULL WHEN 'update' THEN size + 1 ELSE size END AS new_size FROM x UNION ALL SELECT parent, 'inserted~' || name, 'insert', NULL, size + CASE WHEN id % 13 = 0 THEN 1 ELSE 0 END FROM entries WHERE NOT is_dir AND id % 17 = 0")

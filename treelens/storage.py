@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,6 +41,67 @@ def discard(spark: SparkSession) -> int:
     """Deletes what this session has saved, once no DataFrame that reads it is needed any more; the number of folders."""
     folders, spark._treelens_folders = spark.__dict__.get("_treelens_folders", []), []
     for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, folder)
     return len(folders)
+
+
+def _open(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A file or a folder with all that is in it; what is not there is fine."""
+    found, system = _open(spark, path)
+    system.delete(found, True)
+
+
+def bytes_below(spark: SparkSession, path: str) -> int:
+    found, system = _open(spark, path)
+    return system.getContentSummary(found).getLength() if system.exists(found) else 0
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, in order; none if it is not there."""
+    found, system = _open(spark, folder)
+    return sorted(f.getPath().getName() for f in system.listStatus(found)) if system.exists(found) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file; None if it is not there."""
+    found, system = _open(spark, path)
+    if not system.exists(found):
+        return None
+    stream = system.open(found)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str, replace: bool = False) -> bool:
+    """Writes a small file whole or not at all; without ``replace`` False, and no change, if it is there already.
+
+    It is written beside its place and renamed, which file systems with an
+    atomic rename (HDFS, local disks, mounted ones) let one writer do.
+    """
+    target, system = _open(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{uuid.uuid4().hex}")
+    stream = system.create(draft, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    chosen = spark.sparkContext._gateway.new_array(options, int(replace))
+    if replace:
+        chosen[0] = options.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(system.makeQualified(draft), system.makeQualified(target), chosen)
+    except Py4JJavaError as e:
+        system.delete(draft, False)
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    return True
