@@ -164,15 +164,15 @@ class SuffixQueue:
 
     def come_by(self, suffixes: np.ndarray, pushes, current: int) -> None:
         """A block comes by in order, all with the first symbol ``current``; ``pushes(symbols before)`` tells which suffixes before them are induced."""
-        position, prefix = suffixes["position"].astype(np.int64), suffixes["prefix"].astype(np.int64)
+        position, prefix = suffixes["position"].astype(np.int64), np.ascontiguousarray(suffixes["prefix"])
         base, self.seen = self.seen, self.seen + len(position)
         inner = np.flatnonzero(position > 0)
-        before = self.text[position[inner] - 1].astype(np.int64)
+        before = self.text[position[inner] - 1]  # in the text's own type: bytes are sorted by radix
         wanted = pushes(before)
         inner, before = inner[wanted], before[wanted]
         if len(inner):
             order = np.argsort(before, kind="stable")
-            before, at = before[order], inner[order]
+            before, at = before[order].astype(np.int64), inner[order]
             starts = np.concatenate([[0], np.flatnonzero(before[1:] != before[:-1]) + 1])
             low = np.empty_like(at)
             low[1:] = at[:-1] + 1
@@ -346,23 +346,24 @@ def _names(text: np.ndarray, types: np.ndarray, seeds: np.ndarray, symbols: int,
 def _doubling(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes of a string of names by their first ``depth`` symbols at least, and common prefixes with the one before."""
     m = len(names)
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     ordered = names[order]
     new = np.append(True, ordered[1:] != ordered[:-1])
-    rank = np.empty(m + 1, np.int64)
+    rank = np.empty(m + 1, np.int32)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(m), 0))
     rank[m] = -1
-    levels, h = [rank.copy()], 1
+    levels, h = [rank], 1
     while h < depth:
         # classes of more than one suffix, in place
-        new = np.append(rank[order][1:] != rank[order][:-1], True)
+        ordered = rank[order]
+        new = np.append(ordered[1:] != ordered[:-1], True)
         single = new & np.append(True, new[:-1])
         open_ = np.flatnonzero(~single)
         if not len(open_):
             break
         who = order[open_]
-        key = (rank[who] << np.int64(32)) | (rank[np.minimum(who + h, m)] + 1)
-        by = np.argsort(key, kind="stable")
+        key = (ordered[open_].astype(np.int64) << 32) | (rank[np.minimum(who + h, m)].astype(np.int64) + 1)
+        by = np.argsort(key)
         who, key = who[by], key[by]
         order[open_] = who
         changed = np.append(True, key[1:] != key[:-1])
@@ -373,9 +374,8 @@ def _doubling(names: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     a, b, common = order[1:].copy(), order[:-1].copy(), np.zeros(m, np.int64)
     for k in range(len(levels) - 1, -1, -1):
         r = levels[k]
-        same = r[np.minimum(a, m)] == r[np.minimum(b, m)]
-        step = same * (1 << k)
-        a, b = a + step, b + step
+        step = (r[a] == r[b]) * (1 << k)
+        a, b = np.minimum(a + step, m), np.minimum(b + step, m)
         common[1:] += step
     return order, np.minimum(common, depth)
 

@@ -45,10 +45,16 @@ _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
 
 
+_known_powers: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, factor: int) -> np.ndarray:
-    found = np.full(n, factor, np.uint64)
-    found[0] = 1
-    return np.multiply.accumulate(found)
+    """The first powers of a factor, kept up to those of the longest text (a process grows them by doubling)."""
+    if factor not in _known_powers or len(_known_powers[factor]) < n:
+        found = np.full(1 << max(16, (n - 1).bit_length()), factor, np.uint64)
+        found[0] = 1
+        _known_powers[factor] = np.multiply.accumulate(found)
+    return _known_powers[factor][:n]
 
 
 def gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
@@ -83,23 +89,28 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(cut - 1, len(values) - 1)
 
 
-def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first start, last start) of each run of windows with the same anchor."""
+def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first start, last start, times) of each run of windows with the same anchor.
+
+    times: 2 if the anchor stands at two places of the run's windows, else 1.
+    """
     hashes = gram_hashes(np.frombuffer(text, np.uint8), gram)
     least = sliding(hashes, length - gram + 1)
     first, last = _runs(least)
-    return least[first].view(np.int64), first, last
-
-
-def twice_inside(text: bytes, length: int, gram: int, anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """For each run, whether its anchor stands at two places of its windows."""
-    hashes = gram_hashes(np.frombuffer(text, np.uint8), gram).view(np.int64)
-    chosen = np.flatnonzero(np.isin(hashes, anchor))
-    known, rank = np.unique(hashes[chosen], return_inverse=True)
-    wide = np.int64(len(hashes) + 1)
-    keys = np.sort(rank * wide + chosen)
-    base = np.searchsorted(known, anchor) * wide
-    return np.searchsorted(keys, base + last + (length - gram), side="right") - np.searchsorted(keys, base + first) > 1
+    anchor = least[first]
+    ordered = np.sort(hashes)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    times = np.ones(len(anchor), np.int32)
+    if len(again):
+        # only pieces that the text has twice can be there twice
+        again = np.intersect1d(again, anchor)
+        chosen = np.flatnonzero(np.isin(hashes, again))
+        wide = np.int64(len(hashes) + 1)
+        keys = np.sort(np.searchsorted(again, hashes[chosen]) * wide + chosen)
+        base = np.searchsorted(again, anchor) * wide
+        here = np.searchsorted(keys, base + last + (length - gram), side="right") - np.searchsorted(keys, base + first)
+        times[np.isin(anchor, again) & (here > 1)] = 2
+    return anchor.view(np.int64), first, last, times
 
 
 def _encoded(text: str | None) -> bytes:
@@ -118,15 +129,13 @@ def _find_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = []
+            keys, found = [], []
             for key, text in zip(batch["key"], batch["text"]):
-                raw = _encoded(text)
-                if len(raw) >= length:
-                    anchor, first, last = anchors(raw, length, gram)
-                    twice = twice_inside(raw, length, gram, anchor, first, last)
-                    found.append(pd.DataFrame({"key": [key] * len(anchor), "anchor": anchor, "first": first, "last": last, "n": 1 + twice.astype(np.int32)}))
+                found.append(anchors(_encoded(text), length, gram))
+                keys += [key] * len(found[-1][0])
             if found:
-                yield pd.concat(found)
+                anchor, first, last, n = (np.concatenate(x) for x in zip(*found))
+                yield pd.DataFrame({"key": keys, "anchor": anchor, "first": first, "last": last, "n": n})
 
     return rows.where(F.octet_length("text") >= length).select("key", "text").mapInPandas(run, "key binary, anchor long, first int, last int, n int")
 
@@ -151,12 +160,14 @@ def _segments(rows: DataFrame, length: int, gram: int, starts: int) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            found = []
+            found, held = [], 0
             for key, text, firsts, lasts, own, hot in zip(batch["key"], batch["text"], batch["firsts"], batch["lasts"], batch["anchors"], batch["hots"]):
-                found += cut(key, text, zip(firsts.tolist(), lasts.tolist(), own.tolist(), hot.tolist()))
-                if sum(len(x[2]) for x in found) > 8 << 20:
+                more = cut(key, text, zip(firsts.tolist(), lasts.tolist(), own.tolist(), hot.tolist()))
+                found += more
+                held += sum(len(x[2]) for x in more)
+                if held > 8 << 20:
                     yield pd.DataFrame(found, columns=["segment", "shard", "content", "key", "first"])
-                    found = []
+                    found, held = [], 0
             yield pd.DataFrame(found, columns=["segment", "shard", "content", "key", "first"])
 
     return rows.mapInPandas(run, "segment binary, shard long, content binary, key binary, first int")
