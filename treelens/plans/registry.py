@@ -12,11 +12,11 @@ from ..functions import highlight
 from ..operators import hierarchy, mutate, reconcile, tokens
 from ..operators.tokens import TokenIndex
 from ..operators.volumes import RESOLVE_ORACLE, share_identities
-from ..sources import adapters
+from ..sources import adapters, journal
 from ..sources.scopes import Scope
 from ..storage import new_folder
 from ..store import CatalogStore
-from ..streaming import feed
+from ..streaming import feed, live
 from . import search as engine
 from .search import Catalog, Request
 
@@ -101,6 +101,25 @@ def _patched_tokens(c: Catalog) -> DataFrame:
     return after.join(found, "id", "left_semi").select("id", "name")
 
 
+#: Events are replayed from here on.
+_SINCE = 137
+
+
+def _replayed(spark: SparkSession, sf_dir: str, roots: list[str]) -> DataFrame:
+    """The feed's events as a journal, replayed behind a cursor through the stream until its flush at the end: all that was applied."""
+    folder = new_folder(spark, "journal")
+    events = adapters.feed(spark, sf_dir).select(F.lit("main").alias("volume"), "id", "path", "flags")
+    last = events.agg(F.max("id")).first()[0] or 0
+    ask = spark.createDataFrame([("main", last + 1, "/", live.FLUSH)], journal.SCHEMA)
+    journal.write_events(events.unionByName(ask), folder)
+    applied = new_folder(spark, "applied")
+    # nothing is due before the flush that is asked for
+    query = live.start(journal.stream(spark, folder, {"main": _SINCE}), dict.fromkeys(roots, "main"), lambda df, batch: df.write.parquet(f"{applied}/batch={batch}"), new_folder(spark, "feed"), once=True, debounce=3600.0)
+    query.awaitTermination()
+    schema = "volume string, root string, path string, scope int, first_id long, id long, batch long"
+    return spark.read.schema(schema).parquet(applied).select("path", "scope", "first_id", "id")
+
+
 def _patched_store(c: Catalog) -> CatalogStore:
     """A stored catalog and one patch on it: every 997th file renamed, every 991st gone, every 983rd there once more."""
     store = CatalogStore(c.entries.sparkSession, new_folder(c.entries.sparkSession, "store"))
@@ -265,6 +284,8 @@ def _register() -> None:
         coalesced AS (SELECT path, max(scope) AS scope, min(first_id) AS first_id, max(id) AS id FROM target GROUP BY path)"""
     _add("event_routing", lambda spark, sf: feed.route(adapters.feed(spark, sf), roots), f"{routed} SELECT path, scope, id FROM routed")
     _add("event_coalesce", lambda spark, sf: feed.coalesce(feed.route(adapters.feed(spark, sf), roots), roots), f"{merged} SELECT path, scope, first_id, id FROM coalesced")
+    behind = merged.replace("WHERE held", f"WHERE held AND id > {_SINCE}").replace("path = '/user-3'", f"path = '/user-3' AND id > {_SINCE}")
+    _add("feed_replay", lambda spark, sf: _replayed(spark, sf, roots), f"{behind} SELECT path, scope, first_id, id FROM coalesced")
     _add("event_overflow", lambda spark, sf: feed.coalesce(feed.route(adapters.feed(spark, sf), roots), roots, 1), f"{merged} SELECT r AS path, 2 AS scope, min(first_id) AS first_id, max(id) AS id FROM coalesced, (VALUES ('/user-1'), ('/user-2'), ('/user-3/sub')) v(r) GROUP BY r")
     _add("event_cursor", _cursor, f"{adapters.FEED_ORACLE} SELECT coalesce(greatest(0, min(id) FILTER (id % 10 = 9 AND id > 1000) - 1), max(id), 0) AS cursor FROM feed")
     _add("event_flags", lambda spark, sf: adapters.feed(spark, sf).groupBy(feed.is_file_item(F.col("flags")).alias("is_file"), feed.changes_name(F.col("flags")).alias("renames"), feed.replaces_folder(F.col("flags")).alias("replaces"), feed.needs_recursive_scan(F.col("flags")).alias("deep")).agg(F.count("*").alias("n")), "SELECT event_type IN ('click', 'view', 'purchase') AS is_file, event_type = 'purchase' AS renames, event_type = 'signup' AS replaces, event_type = 'error' AS deep, count(*) AS n FROM events GROUP BY ALL")
