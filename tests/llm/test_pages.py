@@ -111,3 +111,43 @@ def test_repeated_and_very_long_pages(spark):
     df = spark.createDataFrame([(1, "u", page)] * 2 + [(None, None, page)], "page_id long, url string, html string")
     got = htmltext.extract(df).collect()
     assert len(got) == 3 and {r.n_chars for r in got} == {20_000 * 58 - 1} and {r.page_id for r in got} == {1, None}
+
+
+_READER = "I really do not think that this is what the author had in mind when they wrote it, but it was a good read for all of us and I will be back for more of it. " * 3
+_STORY = "<p>" + "</p><p>".join(f"The story of the river number {i} is that it was there before the town, and that the people of the town have lived with it and by it for as long as anyone can say." * 2 for i in range(3)) + "</p>"
+
+
+@pytest.mark.parametrize("open_, close", [("<section id=comments>", "</section>"), ("<div class='comments'>", "</div>"), ("<ol class=comment-list>", "</ol>"), ("<div id='disqus_thread'>", "</div>"), ("<div class='post-comments'>", "</div>"), ("<div class='comment-12 reply'>", "</div>")])
+def test_dense_comments_never_count(open_, close):
+    """However long and full of stop words, after an article, inside one, or on a page without one."""
+    comments = f"{open_}<p>{_READER}</p><p>{_READER}</p>{close}"
+    want = htmltext.main_text(f"<body><article>{_STORY}</article></body>")
+    assert "river number 2" in want
+    for page in (f"<body><article>{_STORY}</article>{comments}</body>", f"<body><article>{_STORY}{comments}</article></body>", f"<body><div class=content>{_STORY}</div>{comments}</body>", f"<body><main>{comments}{_STORY}</main></body>"):
+        assert htmltext.main_text(page) == want
+    # names that only mention comments say nothing
+    assert htmltext.main_text(f"<body><div class='comments-open'>{_STORY}</div></body>") == want
+
+
+_OTHER = {
+    "pl": "Rzeka płynie przez miasto od wielu stuleci, a jej brzegi zmieniały się wraz z każdym pokoleniem mieszkańców. Dawniej stały tutaj młyny i małe warsztaty. Dziś spacerują tędy rodziny, które chcą odpocząć po pracy.",
+    "ru": "Река течёт через город уже много столетий, и её берега менялись вместе с каждым поколением жителей. Раньше здесь стояли мельницы и небольшие мастерские. Сегодня здесь гуляют семьи, которые хотят отдохнуть после работы.",
+    "zh": "这条河流经城市已有许多世纪，河岸随着每一代居民而改变。从前这里有磨坊和小作坊，人们靠水力工作。今天，许多家庭在下班之后来到这里散步休息，孩子们在树下玩耍，老人们坐在长椅上聊天，夏天的夜晚还有音乐会。",
+    "tr": "Nehir yüzyıllardır şehrin ortasından akıyor ve kıyıları her kuşakla birlikte değişti. Eskiden burada değirmenler ve küçük atölyeler vardı. Bugün işten sonra dinlenmek isteyen aileler burada yürüyüş yapıyor.",
+}
+
+
+@pytest.mark.parametrize("language", _OTHER)
+def test_other_languages_without_an_article(language):
+    """Four paragraphs in a plain container: all of them, and nothing of the boilerplate around them."""
+    paragraphs = [f"{_OTHER[language]} {i}." for i in range(4)]
+    links = "".join(f"<li><a href=/{i}>{_OTHER[language][:12]}</a></li>" for i in range(9))
+    page = f"<body><nav>{links}</nav><ul>{links}</ul><div class=content>{''.join(f'<p>{p}</p>' for p in paragraphs)}</div><div class=sidebar>{_OTHER[language][:60]}</div><footer>© 2020</footer></body>"
+    assert htmltext.main_text(page) == " ".join(paragraphs)
+    assert htmltext.main_text(f"<body><article>{''.join(f'<p>{p}</p>' for p in paragraphs)}</article></body>") == " ".join(paragraphs)
+
+
+def test_a_tag_with_an_open_quote_and_what_follows():
+    """The tag ends at the next >, and elements after it are still closed."""
+    page = f"<body><div><p title=\"never closed>{'This is the text of the page that was there for all of us to read and it is long. ' * 4}</p></div><p>And the end of it is here for you.</p></body>"
+    assert "text of the page" in htmltext.main_text(page)

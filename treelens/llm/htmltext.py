@@ -1,12 +1,16 @@
 """Main-text extraction from HTML in two passes over blocks.
 
-Pass 1 looks at each block alone: where it stands (navigation, header, footer
-and so on never hold main text; forms and what is named advert, comments and
-so on only if long blocks full of stop words say otherwise), its link density, its length
+Pass 1 looks at each block alone: where it stands (navigation, header, footer,
+reader comments and so on never hold main text; forms and what is named advert
+and so on only if long blocks full of stop words say otherwise), its link density, its length
 and its stop-word density make it good, bad, short or near-good.  Standing in
 an ``article`` or ``main`` lifts a block by one step: near-good to good, few
 stop words to short, none at all to weak, a paragraph that is only a link to weak.  Pass 2 decides the ambiguous ones by their
 nearest decided neighbours.
+
+Stop words are those of four languages.  Where most of a page's longer text has
+hardly any of them, it is in another language, and a block without them counts
+by its length and its ends of sentences instead.
 """
 
 from __future__ import annotations
@@ -38,6 +42,9 @@ BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer header login masthead menu modal nav navbar navigation "
     "newsletter notice notices pagination pager popup promo promotion promoted related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget".split()
 )
+# Names of what readers wrote, alone or with the others beside them: no text inside ever overrules these.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+COMMENT_PARTS = frozenset("all area author block body box container content count feed form group head header holder inner item items list main meta new node post reader readers section template text thread threads title top user users view wrap wrapper".split())
 # Elements of running text: one that is only a link may still belong to the text around it.
 TEXT = frozenset("p blockquote figcaption dd pre".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mfenced".split())
@@ -48,6 +55,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SHORT, LONG = 70, 200
 MAX_LINKS, MAX_LINKS_INSIDE = 0.2, 0.66
 STOP_LOW, STOP_HIGH = 0.15, 0.3
+#: Characters of a block that one end of a sentence may stand for, where no stop words are known.
+SENTENCE = 250
 #: Blocks between a heading and the good block it may belong to.
 HEADING_REACH = 2
 
@@ -57,6 +66,9 @@ _TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 _PART = re.compile(r"[a-z0-9]+")
 _WORD = re.compile(r"\w+")
+_SENTENCE_END = re.compile(r"[.!?…](?=\s|$)|[。！？।؟۔]")
+# Scripts whose characters stand for syllables or words: each counts as three.
+_WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
 class Block:
@@ -81,6 +93,17 @@ def _boilerplate(attributes: str) -> bool:
     return False
 
 
+def _comments(attributes: str) -> bool:
+    """Whether a whole name (``comments``, ``comment-list``; not ``comments-open``) marks what readers wrote."""
+    for name, value in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for own in value.strip("\"'").lower().split():
+                parts = _PART.findall(own)
+                if not COMMENTS.isdisjoint(parts) and all(p in COMMENTS or p in COMMENT_PARTS or p.isdigit() for p in parts):
+                    return True
+    return False
+
+
 _raw_ends = {tag: re.compile(rf"</{tag}[\s>/]") for tag in sorted(RAW)}
 
 
@@ -141,8 +164,8 @@ def blocks_of(page: str) -> list[Block]:
         if end:
             at = end.end()
         else:  # an unclosed quote: the tag ends at the next ">"
-            close = page.find(">", name.end())
-            at = size if close < 0 else close + 1
+            stop = page.find(">", name.end())
+            at = size if stop < 0 else stop + 1
         tag = name.group(1).lower()
         if following == "/":
             if tag == "a":
@@ -168,7 +191,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         attributes = page[name.end() : at]
         named = len(attributes) > 2 and tag not in PAGE and _boilerplate(attributes)
-        bad = tag in OUTSIDE or (len(attributes) > 2 and _hidden(attributes))
+        bad = tag in OUTSIDE or (len(attributes) > 2 and (_hidden(attributes) or (tag not in PAGE and _comments(attributes))))
         if tag == "br":
             add(" " if block is not None else "")
             continue
@@ -207,27 +230,39 @@ def blocks_of(page: str) -> list[Block]:
 
 def classify(blocks: list[Block]) -> None:
     """Sets ``label`` to good or bad (two passes) on blocks that have their ``text``."""
-    measured = []
-    dense: dict[int, int] = {}  # characters of each doubtful element: in long blocks full of stop words for, others against
+    raw = []
+    known = unknown = 0  # characters of longer text with stop words, and without
     for b in blocks:
         words = _WORD.findall(b.text.lower())
         density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         links = b.linked / max(1, sum(map(len, b.parts)))
-        sure = len(b.text) > LONG and density >= STOP_HIGH and links <= MAX_LINKS
-        measured.append((density, links, sure))
+        length = len(b.text) + 2 * len(_WIDE.findall(b.text))
+        raw.append((density, links, length))
+        if length >= SHORT and links <= MAX_LINKS and not b.outside:
+            known, unknown = (known + length, unknown) if density >= STOP_LOW else (known, unknown + length)
+    measured = []
+    dense: dict[int, int] = {}  # characters of each doubtful element: in long blocks full of stop words for, others against
+    for b, (density, links, length) in zip(blocks, raw, strict=True):
+        if unknown > known and density < STOP_LOW and length >= SHORT:
+            ends = len(_SENTENCE_END.findall(b.text))
+            density = STOP_HIGH if length > LONG and ends * SENTENCE >= length else STOP_LOW if ends else density
+        else:
+            length = len(b.text)
+        sure = length > LONG and density >= STOP_HIGH and links <= MAX_LINKS
+        measured.append((density, links, sure, length))
         if b.doubt and not b.outside:
             dense[b.doubt] = dense.get(b.doubt, 0) + (len(b.text) if sure else -len(b.text))
-    for b, (density, links, sure) in zip(blocks, measured, strict=True):
+    for b, (density, links, sure, length) in zip(blocks, measured, strict=True):
         doubtful = dense.get(b.doubt, 0) < 0
         if b.outside or links > (MAX_LINKS_INSIDE if b.inside else MAX_LINKS):
             # a paragraph of an article that is a link goes with the paragraphs around it
             b.label = "weak" if b.inside and b.tag in TEXT and not (b.outside or doubtful) else "bad"
         elif doubtful:
             b.label = "good" if sure else "bad"
-        elif len(b.text) < SHORT:
+        elif length < SHORT:
             b.label = "short" if links == 0 else "weak" if b.inside else "bad"
         elif density >= STOP_HIGH:
-            b.label = "good" if len(b.text) > LONG or b.inside else "near"
+            b.label = "good" if length > LONG or b.inside else "near"
         elif density >= STOP_LOW:
             b.label = "good" if b.inside else "near"
         else:
@@ -276,7 +311,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page's whole html.
 
-    Null, empty and textless html gives an empty text; a page without any
+    Null, empty and textless html gives an empty text; pages in other languages
+    than those of STOP_WORDS are judged by lengths and sentences; a page without any
     decided block keeps its near-good ones; repeated rows each get a row; null
     page_id and url stay null; extra columns are ignored; an empty table gives
     an empty table.
