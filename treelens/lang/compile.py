@@ -11,7 +11,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidRegex
+from ..schema import is_ascii
 from .filters import Filter, Group, Range
+from .literal import required
 from .parser import Term
 
 # One character of a wildcard: anything but the line ends of the pattern language.
@@ -52,11 +54,51 @@ def _literal(on_path: bool, text: str, match_case: bool) -> Column:
     return (F.lower("path") if on_path else F.col("folded")).contains(text.lower())
 
 
+def regex_column(pattern: str, match_case: bool, on_path: bool) -> Column:
+    """Whether ``pattern`` is found.  A text that all its matches contain is looked for first, which most rows fail.
+
+    Where case does not count, names beyond ASCII go to the pattern at once:
+    some of their characters match ASCII letters that lower case does not give.
+    """
+    target = F.col("path" if on_path else "name")
+    found = target.rlike(regex(pattern, match_case))
+    text = required(pattern, ascii_only=not match_case)
+    if not text:
+        return found
+    first = _literal(on_path, text, match_case)
+    return (first if match_case else first | ~is_ascii(target)) & found
+
+
+#: Line ends, which a wildcard does not pass.
+_LINE_ENDS = r"[\n\r\u000B\u000C\u0085\u2028\u2029]"
+
+
+def wildcard_column(text: str, match_case: bool, on_path: bool) -> Column:
+    """``*x``, ``x*`` and ``*x*`` by the built-in tests of ends and parts, other wildcards by a pattern.
+
+    Names beyond ASCII always go to the pattern, as in ``regex_column``.
+    """
+    target = F.col("path" if on_path else "name")
+    found = target.rlike(regex(glob(text), match_case))
+    core = text.strip("*")
+    if not core or "*" in core or "?" in core or not core.isascii():
+        return found
+    seen = target if match_case else F.lower("path") if on_path else F.col("folded")
+    core = core if match_case else core.lower()
+    if text.startswith("*") and text.endswith("*"):
+        quick = seen.contains(core)
+    elif text.startswith("*"):
+        quick = seen.endswith(core)
+    else:
+        quick = seen.startswith(core)
+    return F.when(is_ascii(target), quick & ~target.rlike(_LINE_ENDS)).otherwise(found)
+
+
 def term_column(term: Term, match_case: bool, whole_word: bool, match_path: bool) -> Column:
     on_path = match_path or term.has_slash
     target = F.col("path") if on_path else F.col("name")
     if term.wild:
-        found = target.rlike(regex(glob(term.text), match_case))
+        found = wildcard_column(term.text, match_case, on_path)
     elif on_path and term.is_prefix:
         found = target.startswith(term.text) if match_case else F.lower(target).startswith(term.text.lower())
     elif whole_word:

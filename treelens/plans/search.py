@@ -6,6 +6,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from ..sources.scopes import Scope
 from ..storage import save
 
 MAX_LIMIT = 100_000
+#: Rows of a page that the driver holds for a moment; larger pages are written.
+SMALL_PAGE = 1000
 
 
 @dataclass(frozen=True)
@@ -131,8 +134,8 @@ def _found(catalog: Catalog, request: Request) -> DataFrame:
     scope = request.scope if request.scope is not None and not request.scope.unrestricted else None
     pattern = None
     if request.use_regex and not _blank(request):
-        pattern = compiler.regex(request.text, request.match_case)
-        compiler.check_regex(rows.sparkSession, pattern)
+        pattern = request.text
+        compiler.check_regex(rows.sparkSession, compiler.regex(pattern, request.match_case))
         groups = [[]]  # in regex mode the typed text is the pattern; only the scope has terms and filters
     else:
         groups = parse(request.text)
@@ -146,7 +149,7 @@ def _found(catalog: Catalog, request: Request) -> DataFrame:
         rows = hierarchy.with_paths(rows, catalog.paths, "empty" if on_path else "name")
     found = compiler.predicate(analysed, request.match_case, request.whole_word, request.match_path)
     if pattern is not None:
-        found = found & F.col("path" if request.match_path else "name").rlike(pattern)
+        found = found & compiler.regex_column(pattern, request.match_case, request.match_path)
     return rows.where(found)
 
 
@@ -160,13 +163,23 @@ def _below(rows: DataFrame, catalog: Catalog, required: list[str], match_case: b
     return rows.join(inside, "parent", "left_semi").unionByName(rows.where("parent = 0"))
 
 
+def _held(page: DataFrame, offset: int) -> DataFrame:
+    """A small page in its order as a local table with ranks: no file is left behind."""
+    rows = page.toArrow()
+    ranks = pa.array(range(offset + 1, offset + 1 + rows.num_rows), pa.int32())
+    return page.sparkSession.createDataFrame(rows.add_column(0, "rank", ranks), "rank int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in page.schema))
+
+
 def search(catalog: Catalog, request: Request) -> DataFrame:
     """The page: ``rank, id, path, name, is_dir, size, modified, kind``; paths are joined to its rows only."""
     limit, offset = max(1, min(request.limit, MAX_LIMIT)), max(0, request.offset)
     keys = order(request)
     page = _found(catalog, request).orderBy(*keys).offset(offset).limit(limit)
     # at most MAX_LIMIT rows from here on: they go to the folders, which are only read
-    page = save(page.withColumn("rank", F.row_number().over(W.orderBy(*keys)) + offset).select("rank", *schema.COLUMNS), "page")
+    if limit <= SMALL_PAGE:
+        page = _held(page.select(*schema.COLUMNS), offset)
+    else:
+        page = save(page.withColumn("rank", F.row_number().over(W.orderBy(*keys)) + offset).select("rank", *schema.COLUMNS), "page")
     folders = catalog.paths.join(F.broadcast(page.select(F.col("parent").alias("id")).distinct()), "id", "left_semi")
     page = hierarchy.with_paths(page, F.broadcast(folders))
     return page.select("rank", "id", "path", "name", "is_dir", "size", "modified", schema.kind(F.col("name"), F.col("is_dir")).alias("kind"))
