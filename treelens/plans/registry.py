@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import highlight
-from ..operators import hierarchy, mutate, reconcile, tokens
+from ..operators import frontier, hierarchy, mutate, reconcile, tokens
 from ..operators.tokens import TokenIndex
 from ..operators.volumes import RESOLVE_ORACLE, share_identities
 from ..sources import adapters, journal
 from ..sources.scopes import Scope
-from ..storage import new_folder
+from ..storage import new_folder, save
 from ..store import CatalogStore
 from ..streaming import feed, live
 from . import search as engine
@@ -267,6 +267,13 @@ def _register() -> None:
     seen = "CASE WHEN is_dir THEN 'unchanged' WHEN id % 11 = 0 THEN 'delete' WHEN id % 13 = 0 THEN 'update' ELSE 'unchanged' END"
     _plain("reconcile_diff", lambda c: _difference(c).select("parent", "name", "change", "size", "new_size"), f"{adapters.ORACLE}, x AS (SELECT *, {seen} AS change FROM entries) SELECT parent, name, change, size, CASE change WHEN 'delete' THEN NULL WHEN 'update' THEN size + 1 ELSE size END AS new_size FROM x UNION ALL SELECT parent, 'inserted~' || name, 'insert', NULL, size + CASE WHEN id % 13 = 0 THEN 1 ELSE 0 END FROM entries WHERE NOT is_dir AND id % 17 = 0")
     _plain("reconcile_counters", lambda c: reconcile.counters(_difference(c)), f"{adapters.ORACLE}, x AS (SELECT is_dir, CASE WHEN is_dir THEN 'unchanged' WHEN id % 11 = 0 THEN 'delete' WHEN id % 13 = 0 THEN 'update' ELSE 'unchanged' END AS change FROM entries UNION ALL SELECT false, 'insert' FROM entries WHERE NOT is_dir AND id % 17 = 0) SELECT count(*) FILTER (change <> 'delete') AS scanned, count(*) FILTER (change IN ('insert', 'update')) AS written, count(*) FILTER (change = 'delete') AS deleted, count(*) FILTER (is_dir AND change <> 'delete') AS dirs, count(*) FILTER (NOT is_dir AND change <> 'delete') AS files, bool_or(change <> 'unchanged') AS changed FROM x")
+    _plain("reconcile_frontier", _frontier, rf"""{adapters.ORACLE}, x AS (SELECT id, parent, regexp_replace(path, '/[^/]*$', '') AS directory, path, name, is_dir, size, modified FROM e WHERE parent > 0),
+        due AS (SELECT id FROM x WHERE NOT starts_with(path, '/EUROPE') AND id BETWEEN 1000000 AND 99999999 AND id % 5 = 0),
+        files AS (SELECT f.* FROM x f JOIN x o ON f.parent = o.id JOIN due ON o.parent = due.id WHERE NOT f.is_dir)
+        SELECT directory, name, CASE WHEN id % 11 = 0 THEN 'delete' ELSE 'update' END AS change, size, CASE WHEN id % 11 <> 0 THEN size + 1 END AS new_size FROM files WHERE id % 11 = 0 OR id % 13 = 0
+        UNION ALL SELECT path, 'fresh', 'insert', NULL, 0 FROM x WHERE id BETWEEN 100 AND 999 AND id % 3 = 0 AND NOT starts_with(path, '/EUROPE')
+        UNION ALL SELECT path || '/fresh', 'inside.txt', 'insert', NULL, 3 FROM x WHERE id BETWEEN 100 AND 999 AND id % 3 = 0 AND NOT starts_with(path, '/EUROPE')
+        UNION ALL SELECT CASE WHEN directory = '' THEN '/' ELSE directory END, name, 'delete', size, NULL FROM x WHERE path = '/EUROPE' OR starts_with(path, '/EUROPE/')""")
     # ids of inserted rows are fresh ones; the others stay
     _plain("reconcile_apply", lambda c: reconcile.apply_diff(c.entries, _difference(c), c.paths).select(F.when(~F.col("name").startswith("inserted~"), F.col("id")).alias("id"), "parent", "name", "is_dir", "size", "modified"), f"{adapters.ORACLE} SELECT id, parent, name, is_dir, size + CASE WHEN {changed} THEN 1 ELSE 0 END AS size, modified FROM entries WHERE is_dir OR id % 11 <> 0 UNION ALL SELECT NULL, parent, 'inserted~' || name, is_dir, size + CASE WHEN {changed} THEN 1 ELSE 0 END, modified FROM entries WHERE NOT is_dir AND id % 17 = 0")
     _plain("point_check", _point_check, f"{adapters.ORACLE} SELECT path, CASE WHEN is_dir THEN 'directory' WHEN id % 11 = 0 THEN 'delete' WHEN id % 13 = 0 THEN 'update' ELSE 'none' END AS action FROM e UNION ALL SELECT regexp_replace(path, '/([^/]*)$', '/inserted~\\1'), 'insert' FROM e WHERE NOT is_dir AND id % 17 = 0 UNION ALL SELECT '/nowhere' || path, 'parent' FROM e WHERE NOT is_dir AND id % 19 = 0")
@@ -328,6 +335,22 @@ def _point_check(c: Catalog) -> DataFrame:
     return reconcile.point_check(changed, stored, seen, c.paths.where("path is not null"))
 
 
+def _frontier(c: Catalog) -> DataFrame:
+    """Some customers due whole and some nations due alone, where customers lost files or are gone, and new folders with a file came."""
+    stored = hierarchy.with_paths(c.entries.where("parent > 0"), c.paths)
+    directory = schema.parent_path(F.col("path"))
+    seen = stored.where("(is_dir or id % 11 <> 0)").withColumn("size", F.when(~F.col("is_dir") & (F.col("id") % 13 == 0), F.col("size") + 1).otherwise(F.col("size")))
+    rows = seen.select(directory.alias("directory"), "name", "is_dir", "size", F.col("modified").cast("double").alias("modified"))
+    nations = stored.where("id between 100 and 999")
+    fresh = nations.select(F.col("path").alias("directory"), F.lit("fresh").alias("name"), F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("size"), F.lit(1.5).alias("modified"))
+    inside = nations.select(F.concat("path", F.lit("/fresh")).alias("directory"), F.lit("inside.txt").alias("name"), F.lit(False).alias("is_dir"), F.lit(3).cast("long").alias("size"), F.lit(2.5).alias("modified"))
+    rows = save(rows.unionByName(fresh).unionByName(inside).withColumn("is_symlink", F.lit(False)).withColumn("failure", F.lit(None).cast("string")), "observed")
+    due = stored.where("id between 1000000 and 99999999 and id % 5 = 0").select("path", F.lit(frontier.RECURSIVE).alias("scope")).unionByName(nations.where("id % 3 = 0").select("path", F.lit(1).alias("scope")))
+    due = due.unionByName(_values(c, "('/EUROPE', 2)", "path, scope"))
+    config = reconcile.ScanConfig(("/",), prefixes=("/EUROPE",))
+    return frontier.reconcile(c.entries, c.paths, due, lambda level: rows.join(level, "directory", "left_semi"), config).select("directory", "name", "change", "size", "new_size")
+
+
 def _duplicates(c: Catalog) -> DataFrame:
     items = adapters.read(c.entries.sparkSession, c.source, "lineitem")
     size = F.round(F.col("l_extendedprice") * 100).cast("long")

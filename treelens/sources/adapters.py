@@ -130,6 +130,12 @@ def _scan(batches):
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in LISTING.split(", ")]).astype({"size": "Int64", "is_dir": "boolean", "is_symlink": "boolean"})
 
 
+def read_directories(level: DataFrame) -> DataFrame:
+    """The directories (column directory) of a tree that all executors can read, as LISTING; one that can't be read whole is a row with its failure."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    return level.repartition("directory").mapInPandas(_scan, LISTING)
+
+
 def listing(spark: SparkSession, root: str, skip: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """A directory tree that all executors can read (a shared mount), as LISTING; links are not followed.
 
