@@ -1,3 +1,4 @@
+from treelens.operators import volumes
 from treelens.operators.volumes import Binding, Mount, common_watch_folder, resolve, volumes_for
 from treelens.streaming import feed
 from treelens.streaming.checkpoint import Checkpoint, CheckpointFile, VolumeCursor
@@ -74,3 +75,27 @@ def test_volumes():
     assert resolve([Binding("/Volumes/Work/projects", "uuid:work", "projects")], moved * 2).unavailable == ("/Volumes/Work/projects",)
     assert resolve([Binding("/Volumes/Work/projects", "uuid:work", "projects")], moved, lambda p: False).moves == {}
     assert common_watch_folder(["/a/b/c", "/a/b/d/e"]) == "/a/b" and common_watch_folder(["/a", "/b"]) == "/"
+
+
+def test_locations_on_tables(spark):
+    bindings = [("/Volumes/Work/projects", "w", "projects"), ("/Volumes/Work/projects/in", "w", "projects/in"), ("/Home", "h", ""), ("/Volumes/Twice", "t", ""), ("/Volumes/Gone/x", "g", "x"), ("/Volumes/Work/none", "w", "/none/"), ("/Volumes/Null", None, "")]
+    mounts = [("/Volumes/Work 1", "w"), ("/Volumes/Work 1", "w"), ("/Home", "h"), ("/a", "t"), ("/b", "t"), ("/c", None)]
+    folders = [(p,) for p in ("/Volumes/Work 1/projects", "/Volumes/Work 1/projects/in", "/Home", "/a", "/b")]
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    found = volumes.resolve_locations(frame(bindings, "path string, identity string, relative string"), frame(mounts, "path string, identity string"), frame(folders, "path string"))
+    assert {r.path: (r.status, r.target) for r in found.collect()} == {
+        "/Volumes/Work/projects": ("moved", "/Volumes/Work 1/projects"), "/Volumes/Work/projects/in": ("moved", "/Volumes/Work 1/projects/in"), "/Home": ("available", "/Home"), "/Volumes/Twice": ("ambiguous", None),
+        "/Volumes/Gone/x": ("offline", None), "/Volumes/Work/none": ("missing", None), "/Volumes/Null": ("offline", None),
+    }
+    assert [tuple(r) for r in volumes.moves(found).collect()] == [("/Volumes/Work/projects", "/Volumes/Work 1/projects")]
+    mounts = frame([("/", "root"), ("/v", "v"), ("/v/w", "w")], "path string, volume string")
+    own = volumes.relative_paths(frame([("/v/w/a",), ("/v/wa",), ("/v",), ("/x",), ("/",)], "path string"), mounts)
+    assert {tuple(r) for r in own.collect()} == {("/v/w/a", "w", "/a"), ("/v/wa", "v", "/wa"), ("/v", "v", "/"), ("/x", "root", "/x"), ("/", "root", "/")}
+    back = volumes.absolute_paths(own.withColumnRenamed("path", "was"), mounts)
+    assert all(r.was == r.path for r in back.collect())
+
+
+def test_history_by_volume(spark):
+    events = spark.createDataFrame([("a", 5, feed.HISTORY_DONE), ("a", 9, feed.HISTORY_DONE), ("b", 7, EDIT), ("c", 8, feed.HISTORY_DONE)], "volume string, id long, flags long")
+    assert {tuple(r) for r in feed.history_by_volume(events, events).collect()} == {("a", True, 9, False), ("b", False, 0, False), ("c", True, 8, False)}
+    assert all(r.finished for r in feed.history_by_volume(events, events.where("volume <> 'b'")).collect())

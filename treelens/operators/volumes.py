@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import share_identity
@@ -84,12 +84,52 @@ def common_watch_folder(paths: list[str]) -> str:
     return "/" + "/".join(same)
 
 
-_SHARES = ("//alice:secret@SERVER/Team", "smb://Server:445/Team/", "//server/team/Sub", "nfs://host.example/export")
+def resolve_locations(bindings: DataFrame, mounts: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """``path, identity, status, target`` of every binding (path, identity, relative): where its volume is mounted now.
 
-
-def share_identities(spark: SparkSession) -> DataFrame:
-    rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}')" for u in _SHARES) + " AS t(url)")
-    return rows.select("url", share_identity(F.col("url"), F.lit("smbfs")).alias("identity"))
-
-
-RESOLVE_ORACLE = "SELECT * FROM (VALUES ('//alice:secret@SERVER/Team', 'share:smbfs:server/Team'), ('smb://Server:445/Team/', 'share:smbfs:server:445/Team'), ('//server/team/Sub', 'share:smbfs:server/team/Sub'), ('nfs://host.example/export', 'share:smbfs:host.example/export')) t(url, identity)"
+    mounts: ``path, identity``; folders: ``path`` of all that exist, if that is
+    known.  status: available (at its own path), moved (target is another
+    path), offline (mounted nowhere), ambiguous (mounted more than once), or
+    missing (the folder is not on its volume); target is null for the last
+    three.  Joins on the identity and on the whole path; a binding without an
+    identity is offline, rows that repeat stay.
+    """
+    # one row for each identity, so that no binding is multiplied
+    places = mounts.where("identity is not null").groupBy("identity").agg(F.count_distinct("path").alias("_n"), F.min("path").alias("_mount"))
+    rows = bindings.select("path", "identity", "relative").join(places, "identity", "left")
+    relative = F.regexp_replace(F.coalesce("relative", F.lit("")), "^/+|/+$", "")
+    joined = F.concat(F.regexp_replace("_mount", "/+$", ""), F.when(relative == "", "").otherwise(F.concat(F.lit("/"), relative)))
+    rows = rows.withColumn("_target", F.when(F.col("_n") == 1, F.when(joined == "", "/").otherwise(joined)))
+    exists = F.lit(True)
+    if folders is not None:
+        rows = rows.join(folders.select(F.col("path").alias("_target"), F.lit(True).alias("_exists")).distinct(), "_target", "left")
+        exists = F.coalesce("_exists", F.lit(False))
+    status = F.when(F.col("_n").isNull(), "offline").when(F.col("_n") > 1, "ambiguous").when(~exists, "missing").when(F.col("_target") == F.col("path"), "available").otherwise("moved")
+    return rows.withColumn("status", status).select("path", "identity", "status", F.when(F.col("status").isin("available", "moved"), F.col("_target")).alias("target"))
+
+
+def moves(resolved: DataFrame) -> DataFrame:
+    """``source, target`` of the subtrees that ``mutate.relocate`` has to move, the outermost only: what lies inside one moves with it."""
+    moved = resolved.where("status = 'moved'").select(F.col("path").alias("source"), "target").distinct()
+    outer = hierarchy.minimal_cover(moved.select(F.col("source").alias("path")))
+    return moved.join(outer.withColumnRenamed("path", "source"), "source", "left_semi")
+
+
+def relative_paths(paths: DataFrame, mounts: DataFrame) -> DataFrame:
+    """``path, volume, relative``: absolute paths by the longest mount (path, volume) that holds them; nulls where none does."""
+    own = hierarchy.owner(paths.select("path"), mounts.select(F.col("path").alias("holder")))
+    found = own.join(mounts.select(F.col("path").alias("owner"), "volume").dropDuplicates(["owner"]), "owner", "left")
+    cut = F.when(F.col("owner") == "/", F.col("path")).otherwise(F.substring("path", F.length("owner") + 1, F.length("path")))
+    return found.select("path", "volume", F.when(F.col("owner").isNotNull(), F.when(cut == "", "/").otherwise(cut)).alias("relative"))
+
+
+def absolute_paths(rows: DataFrame, mounts: DataFrame) -> DataFrame:
+    """Rows (volume, relative and others) with ``path``, on the volume's mount (path, volume); null for volumes that are not mounted."""
+    found = rows.join(mounts.select("volume", F.col("path").alias("_mount")).dropDuplicates(["volume"]), "volume", "left")
+    path = F.when(F.col("_mount") == "/", F.col("relative")).when(F.col("relative") == "/", F.col("_mount")).otherwise(F.concat("_mount", "relative"))
+    return found.withColumn("path", path).drop("_mount")
+
+
+def share_identities(urls: DataFrame) -> DataFrame:
+    """``url, identity`` of network shares (column url)."""
+    return urls.select("url", share_identity(F.col("url"), F.lit("smbfs")).alias("identity"))

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import highlight
-from ..operators import frontier, hierarchy, mutate, reconcile, tokens
+from ..operators import frontier, hierarchy, mutate, reconcile, tokens, volumes
 from ..operators.tokens import TokenIndex
-from ..operators.volumes import RESOLVE_ORACLE, share_identities
 from ..sources import adapters, journal
 from ..sources.scopes import Scope
 from ..storage import new_folder, save
@@ -235,7 +234,12 @@ def _register() -> None:
     _plain("highlight_counts", lambda c: c.entries.where("name <> ''").select("id", highlight.spans_count(F.col("name"), Request("re*ing | !bolt")).alias("spans")), f"{adapters.ORACLE} SELECT id, CAST(len(regexp_extract_all(lower(name), 're')) + len(regexp_extract_all(lower(name), 'ing')) AS BIGINT) AS spans FROM e WHERE name <> ''")
     _plain("minimal_cover", lambda c: hierarchy.minimal_cover(c.paths.where("path is not null and path <> '/'").select("path")), f"{adapters.ORACLE}, s AS (SELECT DISTINCT CASE WHEN path = '' THEN '/' ELSE path END AS path FROM folder WHERE path <> ''), parts AS (SELECT path, unnest(generate_series(2, len(string_split(path, '/')) - 1)) AS n FROM s), up AS (SELECT path, array_to_string(string_split(path, '/')[1:n], '/') AS above FROM parts) SELECT path FROM s WHERE path NOT IN (SELECT up.path FROM up JOIN s ON s.path = up.above) AND NOT EXISTS (SELECT 1 FROM s t WHERE t.path = '/' AND s.path <> '/')")
     _plain("volume_owner", lambda c: hierarchy.owner(c.paths.where("path is not null").select("path"), _values(c, "('/'), ('/ASIA'), ('/ASIA/NATION_2'), ('/EUR')", "holder")), f"{adapters.ORACLE} SELECT p AS path, CASE WHEN p = '/ASIA/NATION_2' OR starts_with(p, '/ASIA/NATION_2/') THEN '/ASIA/NATION_2' WHEN p = '/ASIA' OR starts_with(p, '/ASIA/') THEN '/ASIA' ELSE '/' END AS owner FROM (SELECT CASE WHEN path = '' THEN '/' ELSE path END AS p FROM folder)")
-    _plain("share_identity", lambda c: share_identities(c.entries.sparkSession), RESOLVE_ORACLE)
+    shares = "concat('smb://', replace(s_name, '#', ''), ':secret@Server-', s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN ':445' ELSE '' END, '/Team/', s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '/' ELSE '' END)"
+    _add("share_identity", lambda spark, sf: volumes.share_identities(adapters.read(spark, sf, "supplier").selectExpr(f"{shares} AS url")), f"SELECT {shares} AS url, 'share:smbfs:server-' || s_nationkey || CASE WHEN s_suppkey % 3 = 0 THEN ':445' ELSE '' END || '/Team/' || s_suppkey AS identity FROM supplier")
+    _add("resolve_locations", _locations, "SELECT '/Volumes/' || c_name || '/data' AS path, 'uuid:' || c_custkey AS identity, CASE WHEN c_custkey % 11 = 0 THEN 'offline' WHEN c_custkey % 13 = 0 THEN 'ambiguous' WHEN c_custkey % 17 = 0 THEN 'missing' WHEN c_custkey % 7 = 0 THEN 'moved' ELSE 'available' END AS status, CASE WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 OR c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN '/Volumes/' || c_name || ' 1/data' ELSE '/Volumes/' || c_name || '/data' END AS target FROM customer")
+    _plain("volume_paths", _volume_paths, f"""{adapters.ORACLE} SELECT path, volume, CASE volume WHEN 'root' THEN path WHEN 'asia' THEN coalesce(nullif(substr(path, 6), ''), '/') ELSE coalesce(nullif(substr(path, 15), ''), '/') END AS relative,
+        CASE volume WHEN 'root' THEN path WHEN 'asia' THEN '/mnt/asia' || substr(path, 6) ELSE '/mnt/two' || substr(path, 15) END AS now
+        FROM (SELECT path, CASE WHEN path = '/ASIA/NATION_2' OR starts_with(path, '/ASIA/NATION_2/') THEN 'two' WHEN path = '/ASIA' OR starts_with(path, '/ASIA/') THEN 'asia' ELSE 'root' END AS volume FROM e)""")
     # changes
     copy = "SELECT id, parent, name, is_dir, size, modified FROM entries"
     everything = f"{adapters.ORACLE} {copy}"
@@ -297,6 +301,7 @@ def _register() -> None:
     _add("event_cursor", _cursor, f"{adapters.FEED_ORACLE} SELECT coalesce(greatest(0, min(id) FILTER (id % 10 = 9 AND id > 1000) - 1), max(id), 0) AS cursor FROM feed")
     _add("event_flags", lambda spark, sf: adapters.feed(spark, sf).groupBy(feed.is_file_item(F.col("flags")).alias("is_file"), feed.changes_name(F.col("flags")).alias("renames"), feed.replaces_folder(F.col("flags")).alias("replaces"), feed.needs_recursive_scan(F.col("flags")).alias("deep")).agg(F.count("*").alias("n")), "SELECT event_type IN ('click', 'view', 'purchase') AS is_file, event_type = 'purchase' AS renames, event_type = 'signup' AS replaces, event_type = 'error' AS deep, count(*) AS n FROM events GROUP BY ALL")
     _add("event_history", lambda spark, sf: feed.history_done(adapters.feed(spark, sf).withColumn("flags", F.when(F.col("id") % 100 == 7, F.col("flags").bitwiseOR(F.lit(feed.HISTORY_DONE))).otherwise(F.col("flags")))), "SELECT count(*) FILTER (event_id % 100 = 7) > 0 AS done, coalesce(max(event_id) FILTER (event_id % 100 = 7), 0) AS id FROM events")
+    _add("event_history_volumes", _history, "SELECT 'v' || user_id % 7 AS volume, count(*) FILTER (event_id % 50 = 7) > 0 AS done, coalesce(max(event_id) FILTER (event_id % 50 = 7), 0) AS id, bool_and(count(*) FILTER (event_id % 50 = 7) > 0) OVER () AS finished FROM events GROUP BY 1")
 
 
 def _next(c: Catalog, grown: str, lost: str) -> DataFrame:
@@ -351,6 +356,28 @@ def _frontier(c: Catalog) -> DataFrame:
     return frontier.reconcile(c.entries, c.paths, due, lambda level: rows.join(level, "directory", "left_semi"), config).select("directory", "name", "change", "size", "new_size")
 
 
+def _locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A volume for each customer: some are gone, mounted twice or elsewhere, or lack their folder."""
+    rows = adapters.read(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "concat('uuid:', c_custkey) AS identity", "concat('/Volumes/', c_name) AS mount")
+    bindings = rows.selectExpr("concat(mount, '/data') AS path", "identity", "'data' AS relative")
+    now = rows.selectExpr("k", "identity", "CASE WHEN k % 7 = 0 THEN concat(mount, ' 1') ELSE mount END AS path").where("k % 11 <> 0")
+    mounts = now.select("path", "identity").unionByName(now.where("k % 13 = 0").selectExpr("concat('/Mnt', path) AS path", "identity"))
+    return volumes.resolve_locations(bindings, mounts, now.where("k % 17 <> 0").selectExpr("concat(path, '/data') AS path"))
+
+
+def _volume_paths(c: Catalog) -> DataFrame:
+    """Every path as its volume's own, and where it is once two volumes are mounted elsewhere."""
+    mounts = _values(c, "('/', 'root'), ('/ASIA', 'asia'), ('/ASIA/NATION_2', 'two')", "path, volume")
+    own = volumes.relative_paths(hierarchy.with_paths(c.entries, c.paths).select("path"), mounts)
+    moved = volumes.absolute_paths(own.withColumnRenamed("path", "was"), _values(c, "('/', 'root'), ('/mnt/asia', 'asia'), ('/mnt/two', 'two')", "path, volume"))
+    return moved.select(F.col("was").alias("path"), "volume", "relative", F.col("path").alias("now"))
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapters.read(spark, sf_dir, "events").selectExpr("concat('v', user_id % 7) AS volume", "event_id AS id", f"CASE WHEN event_id % 50 = 7 THEN {feed.HISTORY_DONE}L ELSE 0L END AS flags")
+    return feed.history_by_volume(rows, rows.select("volume"))
+
+
 def _duplicates(c: Catalog) -> DataFrame:
     items = adapters.read(c.entries.sparkSession, c.source, "lineitem")
     size = F.round(F.col("l_extendedprice") * 100).cast("long")

@@ -53,6 +53,13 @@ def history_done(events: DataFrame) -> DataFrame:
     return marks.agg((F.count("*") > 0).alias("done"), F.coalesce(F.max("id"), F.lit(0)).alias("id"))
 
 
+def history_by_volume(events: DataFrame, volumes: DataFrame) -> DataFrame:
+    """``volume, done, id, finished`` of every volume (column volume): whether its marker came, the largest id of one, and whether all volumes' have."""
+    marks = events.where(_has(F.col("flags"), HISTORY_DONE)).groupBy("volume").agg(F.max("id").alias("id"))
+    each = volumes.select("volume").distinct().join(marks, "volume", "left").select("volume", F.col("id").isNotNull().alias("done"), F.coalesce("id", F.lit(0)).alias("id"))
+    return each.crossJoin(F.broadcast(each.agg(F.coalesce(F.bool_and("done"), F.lit(False)).alias("finished"))))  # one row on the right
+
+
 def translate(events: DataFrame, mappings: DataFrame) -> DataFrame:
     """Event paths from canonical to configured form: the longest mapping (canonical, configured) that contains them."""
     own = hierarchy.owner(events, mappings.select(F.col("canonical").alias("holder")))
