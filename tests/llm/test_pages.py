@@ -1,6 +1,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from treelens.llm import htmltext, warc
 
@@ -151,3 +152,14 @@ def test_a_tag_with_an_open_quote_and_what_follows():
     """The tag ends at the next >, and elements after it are still closed."""
     page = f"<body><div><p title=\"never closed>{'This is the text of the page that was there for all of us to read and it is long. ' * 4}</p></div><p>And the end of it is here for you.</p></body>"
     assert "text of the page" in htmltext.main_text(page)
+
+
+def test_filters_grow_with_what_is_in_them(spark):
+    """One in sixteen other keys passes by chance, at any size up to the bound of the broadcast."""
+    assert [warc.filter_bits(n) for n in (0, 1, 5000, 10**6, 10**12)] == [1 << 16, 1 << 16, 1 << 17, 1 << 24, 1 << 28]
+    for n in (3, 30_000):
+        known = warc.bloom(spark.range(n).selectExpr("xxhash64(id) AS hashed"))
+        rows = spark.range(2 * n)
+        inside = warc._filtered(rows, known, F.xxhash64("id"), "left_semi")
+        passed = {r.id for r in inside.collect()}
+        assert set(range(n)) <= passed and len(passed) - n <= max(1, n // 8)

@@ -5,8 +5,8 @@ digest: the smallest page_id of a digest is the response, the others become
 revisit records that refer to it, which need no payload.  Payloads stay where
 they are: a Bloom filter of the digests that repeat tells most of them apart
 in place; of the rest only the responses (by a second filter) meet their
-headers in a join.  Both filters have a fixed size, and what they let through
-by chance is decided by exact joins.
+headers in a join.  Filters are sized to what is in them, up to a bound of
+their broadcast, and what they let through by chance is decided by exact joins.
 
 Archives are gzipped WARC/1.1 files written by Spark's own text writer with
 the record separator CR LF CR LF, which works on any file system and commits
@@ -19,6 +19,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -32,32 +33,46 @@ from .common import new_folder, save
 LEAST_BYTES = 100
 #: Bytes of payload in one archive file, on average over all files, and records at most.
 FILE_BYTES, RECORDS_PER_FILE = 64 << 20, 4000
-#: Bits of a Bloom filter (1 MB), whatever is in it.
-FILTER_BITS = 1 << 23
+#: Bits of a Bloom filter for each key (one in so many others passes by chance), and in all at least and at most (8 KB, 32 MB).
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 #: Bytes of payload read back that one frame holds, on its way to Spark.
 FRAME_BYTES = 16 << 20
 
 _CRLF = "\r\n"
 
 
-def _bits(hashed: Column) -> tuple[Column, Column]:
-    at = F.pmod(hashed, F.lit(FILTER_BITS))
+@dataclass(frozen=True)
+class Bloom:
+    """One row ``words`` (array of long) of ``bits`` bits."""
+
+    words: DataFrame
+    bits: int
+
+
+def _bits(hashed: Column, bits: int) -> tuple[Column, Column]:
+    at = F.pmod(hashed, F.lit(bits))
     return F.floor(at / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
 
 
-def bloom(keys: DataFrame) -> DataFrame:
-    """One row ``words`` (array of long): a filter of the hashes in column ``hashed``."""
-    word, bit = _bits(F.col("hashed"))
+def filter_bits(keys: int) -> int:
+    """The least power of two with KEY_BITS for each key, within the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_BITS * max(1, keys) - 1).bit_length()))
+
+
+def bloom(keys: DataFrame) -> Bloom:
+    """A filter of the hashes in column ``hashed``."""
+    bits = filter_bits(keys.count())
+    word, bit = _bits(F.col("hashed"), bits)
     known = keys.select(word.alias("id"), bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
-    every = keys.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("id"))
+    every = keys.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("id"))
     filled = every.join(known, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")).alias("w"))
-    return save(filled.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("words")), "bloom")
+    return Bloom(save(filled.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("words")), "bloom"), bits)
 
 
-def _filtered(rows: DataFrame, words: DataFrame, hashed: Column, how: str) -> DataFrame:
+def _filtered(rows: DataFrame, known: Bloom, hashed: Column, how: str) -> DataFrame:
     """``how``: left_semi for the rows whose hash may be in the filter, left_anti for those whose hash is not."""
-    word, bit = _bits(hashed)
-    return rows.join(F.broadcast(words), F.get("words", word).bitwiseAND(bit) != 0, how)  # one row of a fixed size
+    word, bit = _bits(hashed, known.bits)
+    return rows.join(F.broadcast(known.words), F.get("words", word).bitwiseAND(bit) != 0, how)  # one row of MOST_BITS at most
 
 
 def payloads(pages: DataFrame) -> DataFrame:
