@@ -99,3 +99,14 @@ def test_history_by_volume(spark):
     events = spark.createDataFrame([("a", 5, feed.HISTORY_DONE), ("a", 9, feed.HISTORY_DONE), ("b", 7, EDIT), ("c", 8, feed.HISTORY_DONE)], "volume string, id long, flags long")
     assert {tuple(r) for r in feed.history_by_volume(events, events).collect()} == {("a", True, 9, False), ("b", False, 0, False), ("c", True, 8, False)}
     assert all(r.finished for r in feed.history_by_volume(events, events.where("volume <> 'b'")).collect())
+
+
+def test_checkpoint_in_the_shared_folder_follows_a_feed(spark, tmp_path):
+    """What a live feed has applied, per volume; cursors only rise, and another driver reads them."""
+    template = Checkpoint("db", {"roots": ["/"]}, 0.0, [VolumeCursor("v1", "j", 3), VolumeCursor("v2", "k", 0)])
+    file = CheckpointFile(f"{tmp_path}/shared/checkpoint.json", spark)
+    assert file.load() is None and file.follow(template, {"v1": 40}, 10.0) and not file.follow(template, {"v1": 12}, 20.0)
+    assert file.follow(template, {"v1": 41, "v2": 7, "other": 1}, 30.0)
+    found = CheckpointFile(f"{tmp_path}/shared/checkpoint.json", spark).load()
+    assert [(v.identity, v.id) for v in found.volumes] == [("v1", 41), ("v2", 7)] and found.saved_at == 30.0
+    assert found.valid("db", {"roots": ["/"]}, [], [VolumeCursor("v1", "j", 50), VolumeCursor("v2", "k", 7)], 40.0)

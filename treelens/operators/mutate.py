@@ -15,13 +15,21 @@ from ..storage import save
 from . import hierarchy
 
 
-def allocate_ids(new: DataFrame, used: DataFrame, keys: list[str], buckets: int = 512) -> DataFrame:
+#: Rows of a bucket, on average, that are numbered together.
+BUCKET_ROWS = 200_000
+
+
+def allocate_ids(new: DataFrame, used: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
     """Adds ``id`` above every id of ``used``, one after the other without a gap.
 
     Rows are numbered within hash buckets of their keys and each bucket gets
-    an offset, so nothing is numbered in one task but the buckets.  The same
-    rows get the same ids on every run.
+    an offset, so nothing is numbered in one task but the buckets.  Their
+    number follows from that of the rows (which are written first) unless it is
+    given; the same rows get the same ids on every run.
     """
+    if buckets is None:
+        new = save(new, "new-rows")
+        buckets = max(8, -(-new.count() // BUCKET_ROWS))
     new = new.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     sizes = new.groupBy("_bucket").agg(F.count("*").alias("_n"))
     offset = sizes.select("_bucket", F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
@@ -176,13 +184,15 @@ def _merged(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(best.alias("b")).select("path", "b.id", F.col("b.dir").alias("is_dir"), "b.size", "b.modified")
 
 
-def merge_trees(entries: DataFrame, incoming: DataFrame) -> DataFrame:
+def merge_trees(entries: DataFrame, incoming: DataFrame, paths: DataFrame | None = None, incoming_paths: DataFrame | None = None) -> DataFrame:
     """Two catalogs as one: folders of equal paths merge, an incoming folder beats a file, an incoming file loses.
 
     Ids of ``incoming`` must differ from those of ``entries``; what lay below
-    a replaced or merged folder hangs below the surviving one.
+    a replaced or merged folder hangs below the surviving one.  paths,
+    incoming_paths: their folder paths, if they are known already.
     """
-    sides = [hierarchy.with_paths(e, hierarchy.folder_paths(e), "empty").where("path <> ''").withColumn("side", F.lit(k)) for k, e in enumerate((entries, incoming))]
+    trees = [(entries, paths), (incoming, incoming_paths)]
+    sides = [hierarchy.with_paths(e, hierarchy.folder_paths(e) if p is None else p, "empty").where("path <> ''").withColumn("side", F.lit(k)) for k, (e, p) in enumerate(trees)]
     both = sides[0].unionByName(sides[1])
     roots = both.where("parent = 0").select("path").distinct().withColumn("root", F.lit(True))
     kept = _merged(both).join(roots, "path", "left").withColumn("root", F.coalesce("root", F.lit(False)))

@@ -229,7 +229,9 @@ def _register() -> None:
     _plain("ancestors", lambda c: hierarchy.ancestor_ids(c.entries, c.paths, c.entries.where("not is_dir").select("id")), f"""{adapters.ORACLE}, up AS (SELECT DISTINCT parent AS id FROM entries WHERE NOT is_dir UNION SELECT x.parent FROM up JOIN entries x ON x.id = up.id) SELECT id FROM up WHERE id > 0""")
     _plain("descendants", lambda c: hierarchy.descendants(c.entries, c.paths, c.entries.where("id in (10, 102)").select("id")), f"""{adapters.ORACLE}, down AS (SELECT id FROM entries WHERE id IN (10, 102) UNION SELECT x.id FROM down JOIN entries x ON x.parent = down.id) SELECT id FROM down""")
     _plain("path_lookup", lambda c: hierarchy.lookup(c.entries, c.paths, _values(c, "('/ASIA'), ('/'), ('/ASIA/none')", "path")).select("id", "path"), f"{adapters.ORACLE} SELECT id, path FROM e WHERE path IN ('/ASIA', '/', '/ASIA/none')")
-    _plain("deepest_known", lambda c: hierarchy.deepest_known(c.entries, c.paths, _values(c, "('/ASIA/NATION_2/new/a.txt'), ('/nowhere/x'), ('/EUROPE')", "path")).select("path", "owner"), """SELECT '/ASIA/NATION_2/new/a.txt' AS path, CASE WHEN EXISTS (SELECT 1 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name = 'NATION_2' AND r_name = 'ASIA') THEN '/ASIA/NATION_2' ELSE '/ASIA' END AS owner UNION ALL SELECT '/nowhere/x', '/' UNION ALL SELECT '/EUROPE', '/EUROPE'""")
+    # every file where it is and below a name that is not there, and something outside the tree
+    _plain("deepest_known", lambda c: hierarchy.deepest_known(c.entries, c.paths, _wanted(c)).select("path", "owner"), f"""{adapters.ORACLE}, w AS (SELECT DISTINCT path, regexp_replace(path, '/[^/]*$', '') AS folder FROM e WHERE NOT is_dir)
+        SELECT path, folder AS owner FROM w UNION ALL SELECT folder || '/not-there/at all' || regexp_extract(path, '/[^/]*$'), folder FROM w UNION ALL SELECT '/nowhere/x', '/'""")
     _plain("kind_text", lambda c: c.entries.groupBy(schema.kind(F.col("name"), F.col("is_dir")).alias("kind")).agg(F.count("*").alias("n")), f"{adapters.ORACLE} SELECT kind, count(*) AS n FROM e GROUP BY kind")
     _plain("highlight_counts", lambda c: c.entries.where("name <> ''").select("id", highlight.spans_count(F.col("name"), Request("re*ing | !bolt")).alias("spans")), f"{adapters.ORACLE} SELECT id, CAST(len(regexp_extract_all(lower(name), 're')) + len(regexp_extract_all(lower(name), 'ing')) AS BIGINT) AS spans FROM e WHERE name <> ''")
     _plain("minimal_cover", lambda c: hierarchy.minimal_cover(c.paths.where("path is not null and path <> '/'").select("path")), f"{adapters.ORACLE}, s AS (SELECT DISTINCT CASE WHEN path = '' THEN '/' ELSE path END AS path FROM folder WHERE path <> ''), parts AS (SELECT path, unnest(generate_series(2, len(string_split(path, '/')) - 1)) AS n FROM s), up AS (SELECT path, array_to_string(string_split(path, '/')[1:n], '/') AS above FROM parts) SELECT path FROM s WHERE path NOT IN (SELECT up.path FROM up JOIN s ON s.path = up.above) AND NOT EXISTS (SELECT 1 FROM s t WHERE t.path = '/' AND s.path <> '/')")
@@ -378,6 +380,12 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.history_by_volume(rows, rows.select("volume"))
 
 
+def _wanted(c: Catalog) -> DataFrame:
+    files = hierarchy.with_paths(c.entries.where("not is_dir"), c.paths).select("path")
+    below = files.select(F.concat(schema.parent_path(F.col("path")), F.lit("/not-there/at all/"), schema.last_component(F.col("path"))).alias("path"))
+    return files.unionByName(below).unionByName(_values(c, "('/nowhere/x')", "path"))
+
+
 def _duplicates(c: Catalog) -> DataFrame:
     items = adapters.read(c.entries.sparkSession, c.source, "lineitem")
     size = F.round(F.col("l_extendedprice") * 100).cast("long")
@@ -389,7 +397,7 @@ def _merged_copy(c: Catalog) -> DataFrame:
     moved = F.col("id") + _NEW_ID
     other = F.when(~F.col("is_dir") & (F.col("id") % 7 == 0), F.concat(F.lit("extra~"), "name")).otherwise(F.col("name"))
     copy = c.entries.select(moved.alias("id"), F.when(F.col("parent") == 0, F.lit(0).cast("long")).otherwise(F.col("parent") + _NEW_ID).alias("parent"), other.alias("name"), "is_dir", "size", "modified")
-    return mutate.merge_trees(c.entries, copy)
+    return mutate.merge_trees(c.entries, copy, c.paths, c.paths.withColumn("id", moved).withColumn("chain", F.transform("chain", lambda i: i + _NEW_ID)))
 
 
 def _cursor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+
+from pyspark.sql import SparkSession
+
+from .. import storage
 
 VERSION, MAX_AGE = 2, 7 * 24 * 3600
 
@@ -39,16 +43,38 @@ def fingerprint(config: dict, identities: list[str], access: bool, topology: lis
 
 
 class CheckpointFile:
-    """JSON beside the catalog, replaced as a whole; a cursor never moves back and an unchanged one is not written."""
+    """JSON beside the catalog, replaced as a whole; a cursor never moves back and an unchanged one is not written.
+
+    With a session, ``path`` is in the shared folder and outlives the driver;
+    without one it is a file of this machine.
+    """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        self.path, self.spark = path, spark
         self.saved: Checkpoint | None = None
 
+    def _read(self) -> str:
+        if self.spark:
+            return storage.read_text(self.spark, self.path) or ""
+        with open(self.path, encoding="utf-8") as f:
+            return f.read()
+
+    def _write(self, text: str) -> None:
+        if self.spark:
+            storage.write_text(self.spark, self.path, text, replace=True)
+            return
+        with open(f"{self.path}.new", "w", encoding="utf-8") as f:
+            f.write(text)
+        os.replace(f"{self.path}.new", self.path)
+
+    def follow(self, template: Checkpoint, cursors: dict[str, int], now: float) -> bool:
+        """Saves the cursors of a live feed (``on_commit``): the id of each volume of ``template`` up to which all is applied."""
+        volumes = [VolumeCursor(v.identity, v.journal, cursors.get(v.identity, v.id)) for v in template.volumes]
+        return self.save(replace(template, saved_at=now, volumes=volumes))
+
     def load(self) -> Checkpoint | None:
         try:
-            with open(self.path, encoding="utf-8") as f:
-                raw = json.load(f)
+            raw = json.loads(self._read())
             self.saved = Checkpoint(**(raw | {"volumes": [VolumeCursor(**v) for v in raw["volumes"]]}))
         except (OSError, ValueError, TypeError, KeyError):
             self.saved = None
@@ -61,8 +87,6 @@ class CheckpointFile:
             v.id = max(v.id, (before or {}).get(v.identity, 0))
         if before == {v.identity: v.id for v in checkpoint.volumes} and self.saved.config == checkpoint.config:
             return False
-        with open(f"{self.path}.new", "w", encoding="utf-8") as f:
-            json.dump(asdict(checkpoint), f)
-        os.replace(f"{self.path}.new", self.path)
+        self._write(json.dumps(asdict(checkpoint)))
         self.saved = checkpoint
         return True
