@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -229,6 +230,40 @@ def test_decontamination_equals_plain_alignment_of_every_pair(spark):
     assert got == want
 
 
+def test_repeated_passages_take_linear_time_and_the_best_is_reported():
+    passage = "seven grey herons stood in the shallow water below the old mill and none of them moved while the boats went by that morning"
+    items = decontam.Items([(5, passage)], 0.08, 40)
+    near = passage.replace("grey", "gray")
+    for copies in ([passage] * 2000, [near] * 2000, [near] * 1999 + [passage]):
+        text = " then again ".join(copies)
+        begun = time.process_time()
+        (got,) = decontam._found(text, items)
+        assert time.process_time() - begun < 10  # 20 seconds and more when each copy is aligned on its own
+        edits = 0 if passage in copies else 1
+        assert got == (5, text.index(passage if edits == 0 else near), text.index(passage if edits == 0 else near) + len(passage), edits, len(passage))
+
+
+def test_alignment_equals_a_plain_table():
+    rng = random.Random(4)
+    for _ in range(300):
+        item, regions = "".join(rng.choices("ab ", k=rng.randint(1, 20))), ["".join(rng.choices("ab ", k=rng.randint(0, 30))) for _ in range(3)]
+        got = decontam.align(decontam.codes(item), [decontam.codes(r) for r in regions], 4)
+        for region, hit in zip(regions, got, strict=True):
+            rows = [[(0, b) for b in range(len(region) + 1)]]
+            for k, c in enumerate(item):
+                rows.append([(k + 1, 0)])
+                for j, t in enumerate(region):
+                    ways = ((rows[k][j], c != t), (rows[k][j + 1], 1), (rows[k + 1][j], 1))
+                    rows[k + 1].append(min((edits + more, begin) for (edits, begin), more in ways))
+            best = min((*cell, end) for end, cell in enumerate(rows[-1]))
+            assert hit == (best if best[0] <= 4 else None)
+
+
+def test_plain_and_other_texts_are_normalised_alike():
+    for text in ("A_b--C\t9\x1f!", "".join(map(chr, range(128))), "", " ", None, "x" * 3):
+        assert decontam.normalise(text) == (decontam._SEPARATORS.sub(" ", text.lower()).strip() if text else "")
+
+
 def test_decontamination_refuses_what_the_lemma_cannot_promise(spark):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "passage " * 12)], "item_id long, text string")

@@ -37,8 +37,16 @@ _U = np.uint64
 OUTPUT = "doc_id string, item_id long, begin long, end long, edits long, item_chars long"
 
 
+#: Bytes below 128 in lower case, those that are neither letters nor digits as spaces.
+_PLAIN = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256))
+
+
 def normalise(text: str | None) -> str:
-    return _SEPARATORS.sub(" ", text.lower()).strip() if text else ""
+    if not text:
+        return ""
+    if text.isascii():
+        return " ".join(text.encode("ascii").translate(_PLAIN).decode("ascii").split())
+    return _SEPARATORS.sub(" ", text.lower()).strip()
 
 
 def codes(text: str) -> np.ndarray:
@@ -98,31 +106,45 @@ class Items:
         self.seen[_slot(gram, self.BITS)] = True
 
 
-def align(item: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, int, int] | None:
-    """Best occurrence of ``item`` in ``text`` with at most ``budget`` edits: (edits, begin, end).
+#: Cells of the alignments that run side by side.
+CELLS = 1 << 15
+_NOTHING = np.uint32(0xFFFFFFFF)  # no character: fills regions up to one width
+
+
+def align(item: np.ndarray, regions: list[np.ndarray], budget: int) -> list[tuple[int, int, int] | None]:
+    """Of each region the least (edits, begin, end) of ``item`` in it, None where that takes more than ``budget`` edits.
 
-    Semi-global edit distance, one vector per item character; the insertion
-    chain along the text is a running minimum.  ``text`` is a band's region,
-    at most item length + 4 * budget + 4 wide.
+    Semi-global edit distance of all regions side by side, one step per
+    character of the item.  A cell holds edits * base + begin, less base for
+    each character of the region before it, so that the chain of insertions
+    along the region is a running minimum.
     """
-    n = len(text)
-    steps = np.arange(n + 1)
-    cost, begin = np.zeros(n + 1, np.int64), steps.copy()
-    for c in item:
-        change = np.concatenate([[1 << 30], cost[:-1] + (text != c)])
-        best, origin = cost + 1, begin.copy()
-        take = change <= best
-        best = np.where(take, change, best)
-        origin[take] = np.concatenate([[0], begin[:-1]])[take]
-        # insertions: best[j] = min over i <= j of best[i] + j - i
-        shifted = best - steps
-        low = np.minimum.accumulate(shifted)
-        source = np.maximum.accumulate(np.where(shifted == low, steps, 0))
-        cost, begin = low + steps, origin[source]
-        if cost.min() > budget:
-            return None
-    end = int(np.argmin(cost))
-    return (int(cost[end]), int(begin[end]), end) if cost[end] <= budget else None
+    width = max(map(len, regions))
+    text = np.full((len(regions), width), _NOTHING)
+    for row, region in enumerate(regions):
+        text[row, : len(region)] = region
+    base = width + 1
+    steps = np.arange(width + 1, dtype=np.int64)
+    cell = np.broadcast_to(steps - steps * base, (len(regions), width + 1)).copy()
+    rows = np.arange(len(regions))
+    for k, c in enumerate(item, 1):
+        change = cell[:, :-1] - (text == c) * base
+        cell += base
+        np.minimum(cell[:, 1:], change, out=cell[:, 1:])
+        np.minimum.accumulate(cell, axis=1, out=cell)
+        if k % 16 == 0:
+            alive = (cell + steps * base).min(axis=1) < (budget + 1) * base
+            if not alive.all():
+                if not alive.any():
+                    return [None] * len(regions)
+                cell, text, rows = cell[alive], text[alive], rows[alive]
+    found: list[tuple[int, int, int] | None] = [None] * len(regions)
+    cell += steps * base
+    for row, end in zip(range(len(rows)), cell.argmin(axis=1).tolist(), strict=True):
+        edits, begin = divmod(int(cell[row, end]), base)
+        if edits <= budget:
+            found[rows[row]] = edits, begin, end
+    return found
 
 
 def occurrences(text: str, items: Items) -> list[tuple[int, int, int, int, int]]:
@@ -145,10 +167,14 @@ def occurrences(text: str, items: Items) -> list[tuple[int, int, int, int, int]]
     shared = np.bincount(item, minlength=len(items.bound))
     enough = shared >= items.bound
     best = _whole(chars, items, item[enough[item]], text_at[enough[item]], entry[enough[item]])
-    for i in np.flatnonzero(items.long & (shared >= items.part_bound)).tolist():
-        own = item == i
-        if i not in best and (hit := _part(chars, items, i, text_at[own], items.at[entry[own]])):
-            best[i] = hit
+    parts = [i for i in np.flatnonzero(items.long & (shared >= items.part_bound)).tolist() if i not in best]
+    if parts:
+        order = np.argsort(item, kind="stable")
+        ends = np.cumsum(shared)
+        for i in parts:
+            own = order[ends[i] - shared[i] : ends[i]]
+            if hit := _part(chars, items, i, text_at[own], items.at[entry[own]]):
+                best[i] = hit
     return [(i, b, e, edits, len(items.chars[i])) for i, (edits, b, e) in sorted(best.items())]
 
 
@@ -159,53 +185,67 @@ def _part(chars: np.ndarray, items: Items, i: int, text_at: np.ndarray, at: np.n
     cell = (text_at - at) // (budget + 1)
     order = np.argsort(cell, kind="stable")
     cell, at = cell[order], at[order]
-    known = np.unique(cell)
-    for band in np.union1d(known, known - 1).tolist():
-        own = np.unique(at[np.searchsorted(cell, band) : np.searchsorted(cell, band + 1, "right")])
+    for band, first, last in _bands(cell, items.part_bound):
+        own = np.unique(at[first:last])
         if len(own) < items.part_bound:
             continue
         inside = np.searchsorted(own, starts + window - Q, "right") - np.searchsorted(own, starts)
         lowest = band * (budget + 1)
         for start in starts[inside >= items.part_bound].tolist():
             begin, end = max(0, lowest + start - budget), min(len(chars), lowest + start + 2 * (budget + 1) + window + budget)
-            hit = align(item[start : start + window], chars[begin:end], budget)
+            hit = align(item[start : start + window], [chars[begin:end]], budget)[0]
             if hit:
                 return hit[0], begin + hit[1], begin + hit[2]
     return None
 
 
+def _bands(cell: np.ndarray, bound: int):
+    """(band, first, last) of the bands whose cells have ``bound`` entries or more in the sorted ``cell``.
+
+    Bands overlap: band b holds the diagonals of cells b and b + 1.
+    """
+    known = np.unique(cell)
+    bands = np.union1d(known, known - 1)
+    first, last = np.searchsorted(cell, bands), np.searchsorted(cell, bands + 1, "right")
+    kept = last - first >= bound
+    return zip(bands[kept].tolist(), first[kept].tolist(), last[kept].tolist(), strict=True)
+
+
 def _whole(chars: np.ndarray, items: Items, item: np.ndarray, text_at: np.ndarray, entry: np.ndarray) -> dict[int, tuple[int, int, int]]:
     """Index of each passage found whole -> (edits, begin, end) of its best occurrence."""
-    if not len(item):
-        return {}
-    at = items.at[entry]
-    cell = (text_at - at) // (items.budget[item] + 1)
-    # overlapping bands: band b holds the diagonals of cells b and b + 1
-    span = int(np.abs(cell).max()) + 2
-    own = item * (2 * span + 1) + cell + span
-    cells, count = np.unique(own, return_counts=True)
-    after = np.searchsorted(cells, cells + 1)
-    both = count + np.where(np.take(cells, after, mode="clip") == cells + 1, np.take(count, after, mode="clip"), 0)
-    before = np.searchsorted(cells, cells - 1)
-    lone = np.take(cells, before, mode="clip") != cells - 1
-    bands = np.concatenate([cells, cells[lone] - 1])
-    shared = np.concatenate([both, count[lone]])
-    bands = bands[shared >= items.bound[(bands) // (2 * span + 1)]]
+    order = np.lexsort((text_at - items.at[entry], item))
+    item, at, diagonal = item[order], items.at[entry[order]], (text_at - items.at[entry])[order]
     best: dict[int, tuple[int, int, int]] = {}
-    kept, of = [], []
-    for band in bands.tolist():
+    for i in np.unique(item).tolist():
+        low, high = np.searchsorted(item, i), np.searchsorted(item, i, "right")
+        hit = _best(chars, items.chars[i], int(items.budget[i]), int(items.bound[i]), diagonal[low:high], at[low:high])
+        if hit:
+            best[i] = hit
+    return best
+
+
+def _best(chars: np.ndarray, passage: np.ndarray, budget: int, bound: int, diagonal: np.ndarray, at: np.ndarray) -> tuple[int, int, int] | None:
+    """The least (edits, begin, end) in the bands that meet the bound, those that may hold the fewest edits first."""
+    m, bands = len(passage), []
+    for band, first, last in _bands(diagonal // (budget + 1), bound):
         # several text positions may hit one q-gram of the passage: count the different ones
-        i = band // (2 * span + 1)
-        if len(np.unique(at[(own == band) | (own == band + 1)])) >= items.bound[i]:
-            kept.append(band)
-            of.append(i)
-    for band, i in zip(kept, of, strict=True):
-        budget, m = int(items.budget[i]), len(items.chars[i])
-        lowest = (band - i * (2 * span + 1) - span) * (budget + 1)
-        begin, end = max(0, lowest - budget), min(len(chars), lowest + 2 * (budget + 1) + m + budget)
-        hit = align(items.chars[i], chars[begin:end], budget)
-        if hit and (i not in best or (hit[0], begin + hit[1]) < best[i][:2]):
-            best[i] = (hit[0], begin + hit[1], begin + hit[2])
+        shared = len(np.unique(at[first:last]))
+        if shared >= bound:
+            lowest = band * (budget + 1)
+            # e edits spoil at most Q * e of the passage's q-grams
+            bands.append((-((shared - (m + 1 - Q)) // Q), max(0, lowest - budget), min(len(chars), lowest + 2 * (budget + 1) + m + budget)))
+    bands.sort()
+    best, done, size = None, 0, 1
+    most = max(1, CELLS // (m + 4 * budget + 4))
+    while done < len(bands):
+        # what a band may hold at best gets worse from one to the next
+        some = [(begin, end) for least, begin, end in bands[done : done + size] if best is None or (least, begin) < best[:2]]
+        if not some:
+            break
+        for (begin, _), hit in zip(some, align(passage, [chars[b:e] for b, e in some], budget), strict=True):
+            if hit and (best is None or (hit[0], begin + hit[1], begin + hit[2]) < best):
+                best = hit[0], begin + hit[1], begin + hit[2]
+        done, size = done + size, min(2 * size, most)
     return best
 
 
