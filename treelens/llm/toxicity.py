@@ -22,13 +22,14 @@ from .common import bounded_sample, held_out, id_number, id_text, ship
 
 BUCKETS, DIM = 1 << 17, 8
 ORDERS = (3, 4, 5)
-#: Words in a window; one window begins at every word.
-WINDOW = 3
+#: Words in a window; one window begins at every word.  Other words dilute a mean of few: by cross-validation on sf0.1's
+#: training rows recall is 0.84 with three words and 0.91 with one, with as many false alarms (7 of 1365).
+WINDOW = 1
 EPOCHS, RATE = 16, 0.2
 #: An n-gram is learned only if that many training texts have it (a hundredth of them, if that is less); the others stay at zero.
 LEAST_TEXTS = 3
 #: Weight of a toxic row's step; the other rows weigh 1.
-POSITIVE = 2.0
+POSITIVE = 1.0
 #: Training rows at most, by a hash of their id.
 TRAIN_ROWS = 6000
 
