@@ -101,23 +101,36 @@ def _blank(request: Request) -> bool:
     return not request.text.strip()
 
 
-def order(request: Request) -> list:
-    """A total order: ties go by name, then id, in ascending order whatever the direction."""
+def _keys(request: Request) -> list[tuple]:
+    """(key, whether it ascends) of a total order: ties go by name, then id, in ascending order whatever the direction."""
     scoped = request.scope is not None and not request.scope.unrestricted
-    name, ident = F.col("folded").asc(), F.col("id").asc()
+    name, ident, modified = (F.col("folded"), True), (F.col("id"), True), (F.col("modified"), False)
     if _blank(request) and not request.sort_empty:
         plain = not scoped or request.scope.recent_order
-        return [F.col("modified").desc(), F.col("id").desc()] if plain else [F.col("modified").desc(), name, ident]
-
-    def directed(column):
-        return column.asc() if request.ascending else column.desc()
-
+        return [modified, (F.col("id"), False)] if plain else [modified, name, ident]
     if request.sort == "name":
-        return [directed(F.col("folded")), ident]
+        return [(F.col("folded"), request.ascending), ident]
     if request.sort == "path":
-        return [directed(F.lower("path")), name, ident]
+        return [(F.lower("path"), request.ascending), name, ident]
     key = {"size": "size", "modified": "modified", "kind": "is_dir"}[request.sort]
-    return [directed(F.col(key)), name, ident]
+    return [(F.col(key), request.ascending), name, ident]
+
+
+def order(request: Request) -> list:
+    return [key.asc() if ascending else key.desc() for key, ascending in _keys(request)]
+
+
+def _behind(found: DataFrame, request: Request, last: int) -> DataFrame:
+    """The matches that come after the one with the id ``last``: a filter, whatever was on the pages before."""
+    keys = _keys(request)
+    values = found.where(F.col("id") == last).select(*[key.alias(f"key{n}") for n, (key, _) in enumerate(keys)]).first()
+    if values is None:
+        raise ValueError(f"row {last} is not among the matches")
+    behind = F.lit(False)
+    for (key, ascending), value in reversed(list(zip(keys, values, strict=True))):
+        value = F.lit(value)
+        behind = (key > value if ascending else key < value) | ((key == value) & behind)
+    return found.where(behind)
 
 
 def matches(catalog: Catalog, request: Request) -> DataFrame:
@@ -170,16 +183,26 @@ def _held(page: DataFrame, offset: int) -> DataFrame:
     return page.sparkSession.createDataFrame(rows.add_column(0, "rank", ranks), "rank int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in page.schema))
 
 
-def search(catalog: Catalog, request: Request) -> DataFrame:
-    """The page: ``rank, id, path, name, is_dir, size, modified, kind``; paths are joined to its rows only."""
-    limit, offset = max(1, min(request.limit, MAX_LIMIT)), max(0, request.offset)
-    keys = order(request)
-    page = _found(catalog, request).orderBy(*keys).offset(offset).limit(limit)
+def search(catalog: Catalog, request: Request, after: tuple[int, int] | None = None) -> DataFrame:
+    """The page: ``rank, id, path, name, is_dir, size, modified, kind``; paths are joined to its rows only.
+
+    ``after``: (rank, id) of the row that the page follows, instead of an
+    offset.  An offset sends all rows before the page to one task, this only
+    the page; it is an error if no match has that id.
+    """
+    limit = max(1, min(request.limit, MAX_LIMIT))
+    keys, found = order(request), _found(catalog, request)
+    if after is None:
+        before = max(0, request.offset)
+        page = found.orderBy(*keys).offset(before).limit(limit)
+    else:
+        before = after[0]
+        page = _behind(found, request, after[1]).orderBy(*keys).limit(limit)
     # at most MAX_LIMIT rows from here on: they go to the folders, which are only read
     if limit <= SMALL_PAGE:
-        page = _held(page.select(*schema.COLUMNS), offset)
+        page = _held(page.select(*schema.COLUMNS), before)
     else:
-        page = save(page.withColumn("rank", F.row_number().over(W.orderBy(*keys)) + offset).select("rank", *schema.COLUMNS), "page")
+        page = save(page.withColumn("rank", F.row_number().over(W.orderBy(*keys)) + before).select("rank", *schema.COLUMNS), "page")
     folders = catalog.paths.join(F.broadcast(page.select(F.col("parent").alias("id")).distinct()), "id", "left_semi")
     page = hierarchy.with_paths(page, F.broadcast(folders))
     return page.select("rank", "id", "path", "name", "is_dir", "size", "modified", schema.kind(F.col("name"), F.col("is_dir")).alias("kind"))
@@ -191,14 +214,16 @@ def total(catalog: Catalog, request: Request) -> DataFrame:
 
 
 def pages(catalog: Catalog, request: Request, size: int):
-    """Pages of one snapshot until one is not full."""
-    offset = request.offset
+    """Pages of one snapshot until one is not full; each is found from the last row of the one before."""
+    after, request = None, replace(request, limit=size)
+    size = max(1, min(size, MAX_LIMIT))
     while True:
-        page = search(catalog, replace(request, offset=offset, limit=size))
+        page = search(catalog, request, after)
         yield page
-        if page.count() < size:
+        last = page.agg(F.count("*").alias("rows"), F.max("rank").alias("rank"), F.max_by("id", "rank").alias("id")).first()
+        if last.rows < size:
             return
-        offset += size
+        after = last.rank, last.id
 
 
 @contextmanager
