@@ -78,6 +78,30 @@ def ancestors(path: Column) -> Column:
     return F.when(path == "/", F.array().cast("array<string>")).otherwise(F.concat(F.array(F.lit("/")), F.when(F.size(parts) > 1, inner).otherwise(F.array().cast("array<string>"))))
 
 
+def _usual(path: Column) -> Column:
+    """Whether a path is written as the catalog writes it: no list of its parts is needed then."""
+    return path.startswith("/") & ~path.contains("//") & ~path.endswith("/")
+
+
+def depth(path: Column) -> Column:
+    """The number of folders above a path, 0 for /."""
+    return F.when(_usual(path), F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))).otherwise(F.size(ancestors(path)))
+
+
+def cut(path: Column, levels: int) -> Column:
+    """The folder above a path (or itself) that has ``levels`` folders above it; the path where it has no more than that."""
+    first = F.substring_index(path, "/", levels + 1)
+    up = ancestors(path)
+    return F.when(_usual(path), F.when(first == "", "/").otherwise(first)).otherwise(F.when(F.size(up) > levels, F.get(up, F.lit(levels))).otherwise(path))
+
+
+def folder_above(path: Column) -> Column:
+    """The last of ``ancestors``; null for /."""
+    first = F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
+    up = ancestors(path)
+    return F.when(_usual(path), F.when(first == "", "/").otherwise(first)).otherwise(F.get(up, F.size(up) - 1))
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """The deepest folder that holds both paths."""
     left, right = F.filter(F.split(a, "/"), lambda p: p != ""), F.filter(F.split(b, "/"), lambda p: p != "")
