@@ -18,7 +18,7 @@ from ..lang.parser import parse
 from ..operators import hierarchy
 from ..operators.tokens import TokenIndex
 from ..sources.scopes import Scope
-from ..storage import save
+from ..storage import save, tasks
 
 MAX_LIMIT = 100_000
 #: Rows of a page that the driver holds for a moment; larger pages are written.
@@ -44,6 +44,13 @@ class Request:
     first_weekday: int = 0
 
 
+def clustered(entries: DataFrame) -> DataFrame:
+    """What searches read, in ranges of folder; the rows are written first, since ranges are found by reading them twice."""
+    rows = save(entries, "entries")
+    dealt = schema.searchable(rows).repartitionByRange(tasks(rows.sparkSession, rows.count()), "parent", "id")
+    return dealt.sortWithinPartitions("parent", "id")
+
+
 class Catalog:
     """Entries with their folders' paths, which are computed once.
 
@@ -60,7 +67,7 @@ class Catalog:
     @classmethod
     def stored(cls, entries: DataFrame, source: str | None = None) -> Catalog:
         """Written once, clustered by folder, with what searches look at: filters on size, date, kind and extension reach the scan."""
-        rows = save(schema.searchable(entries).repartitionByRange("parent").sortWithinPartitions("parent", "id"), "catalog")
+        rows = save(clustered(entries), "catalog")
         made = cls(rows.select(*schema.COLUMNS), source=source)
         made.rows = rows
         return made
@@ -157,9 +164,10 @@ def _found(catalog: Catalog, request: Request) -> DataFrame:
     if on_path or (request.sort == "path" and not (_blank(request) and not request.sort_empty)):
         required = compiler.required_folders(analysed)
         if required is not None:
-            # every match lies below one of these: only their folders' children are joined to paths at all
+            # every match lies below one of these: only their folders' children get paths at all
             rows = _below(rows, catalog, required, request.match_case)
-        rows = hierarchy.with_paths(rows, catalog.paths, "empty" if on_path else "name")
+        else:
+            rows = hierarchy.with_paths(rows, catalog.paths, "empty" if on_path else "name")
     found = compiler.predicate(analysed, request.match_case, request.whole_word, request.match_path)
     if pattern is not None:
         found = found & compiler.regex_column(pattern, request.match_case, request.match_path)
@@ -172,8 +180,8 @@ def _below(rows: DataFrame, catalog: Catalog, required: list[str], match_case: b
     for folder in required:
         folder = folder if match_case else folder.lower()
         wanted = wanted | schema.contains(F.lit(folder), path)
-    inside = catalog.paths.where("path is not null").where(wanted).select(F.col("id").alias("parent"))
-    return rows.join(inside, "parent", "left_semi").unionByName(rows.where("parent = 0"))
+    roots = rows.where("parent = 0").withColumn("path", hierarchy.full_path(F.lit(None).cast("string"), F.col("name"), F.col("parent")))
+    return hierarchy.with_paths(rows, catalog.paths.where("path is not null").where(wanted), how="inner").unionByName(roots)
 
 
 def _held(page: DataFrame, offset: int) -> DataFrame:
@@ -204,7 +212,7 @@ def search(catalog: Catalog, request: Request, after: tuple[int, int] | None = N
     else:
         page = save(page.withColumn("rank", F.row_number().over(W.orderBy(*keys)) + before).select("rank", *schema.COLUMNS), "page")
     folders = catalog.paths.join(F.broadcast(page.select(F.col("parent").alias("id")).distinct()), "id", "left_semi")
-    page = hierarchy.with_paths(page, F.broadcast(folders))
+    page = hierarchy.with_paths(page, F.broadcast(folders), few=True)
     return page.select("rank", "id", "path", "name", "is_dir", "size", "modified", schema.kind(F.col("name"), F.col("is_dir")).alias("kind"))
 
 

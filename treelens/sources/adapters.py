@@ -10,7 +10,10 @@ import pyspark.cloudpickle as cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import save
+from ..storage import save, spread
+
+#: Parts that are broadcast; more meet their items by a shuffle.
+SMALL = 100_000
 
 # Fixed values of the fixture: separators by part, extensions by part, id ranges by level.
 SEPARATORS = (" ", "-", "_")
@@ -45,9 +48,11 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     # (order, line) repeats: the first by all other columns counts
     rest = [c for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")]
     keys = ["l_orderkey", "l_linenumber"]
-    first = items.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("f")).select(*keys, "f.*")
-    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    named = first.join(parts, first.l_partkey == parts.p_partkey)
+    rows = items.count()
+    first = spread(items.select(*keys, *rest), rows, *keys).groupBy(*keys).agg(F.min(F.struct(*rest)).alias("f")).select(*keys, "f.*")
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    first = first.select(*keys, "l_partkey", "l_extendedprice", "l_returnflag", "l_shipdate")
+    named = first.join(F.broadcast(parts), "l_partkey") if parts.count() <= SMALL else spread(first, rows, "l_partkey").join(spread(parts, rows, "l_partkey"), "l_partkey")
     separator = F.element_at(F.array(*map(lit, SEPARATORS)), (col("l_partkey") % 3 + 1).cast("int"))
     ext = F.element_at(F.array(*map(lit, EXTENSIONS)), (col("l_partkey") % 8 + 1).cast("int"))
     dot = F.when((col("l_returnflag") == "R") & (col("l_partkey") % 5 == 0), ".").otherwise("")

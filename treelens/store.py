@@ -22,7 +22,7 @@ from . import schema, storage
 from .errors import Conflict, StorageFailed
 from .operators import hierarchy, mutate
 from .operators.tokens import PATCH_LIMIT, TokenIndex
-from .plans.search import Catalog
+from .plans.search import Catalog, clustered
 
 #: Bytes that must be dead, and their share of all, before ``compact`` rewrites a catalog.
 DEAD_BYTES, DEAD_SHARE = 128 << 20, 0.25
@@ -204,7 +204,7 @@ class Transaction:
 
     def _write_base(self, entries: DataFrame) -> None:
         n = self.next
-        n.base = self._write(schema.searchable(entries).repartitionByRange("parent").sortWithinPartitions("parent", "id"), "rows")
+        n.base = self._write(clustered(entries), "rows")
         rows = self.store.read(n.base, _ROWS)
         n.base_rows, n.base_bytes = rows.count(), storage.bytes_below(self.spark, f"{self.store.folder}/{n.base}")
         index = TokenIndex.build(rows)
