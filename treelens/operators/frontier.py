@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ancestors, join_path, parent_path
-from ..storage import save
-from .hierarchy import with_paths
+from ..storage import matched, save, spread
+from .hierarchy import nearest, with_paths
 from .reconcile import ScanConfig, excluded_path, filter_listing
 
 #: Scope of a change that lists a whole subtree (others list one folder).
@@ -74,10 +74,12 @@ def reconcile(entries: DataFrame, paths: DataFrame, due: DataFrame, read: Callab
     roots, excluded = due_roots(due, config)
     listed, observed, failed = walk(roots, paths, read, config)
     listed, failed = save(listed, "listed"), save(failed.select("directory"), "failed")
+    size = entries.count()
     stored = with_paths(entries.where("parent > 0"), paths, "empty").where("path <> ''").select("id", "path", "name", "is_dir", "size", "modified", parent_path(F.col("path")).alias("directory"))
-    here = stored.join(listed, "directory", "left_semi")
+    stored = save(stored, "stored")
+    here = matched(stored, listed.distinct(), "directory", "inner").select(*stored.columns)
     new = observed.select("directory", "name", *[F.col(c).alias(f"new_{c}") for c in ("is_dir", "size")], F.col("modified").cast("long").alias("new_modified"))
-    both = here.join(new, ["directory", "name"], "full_outer")
+    both = spread(here, size, "directory", "name").join(spread(new, size, "directory", "name"), ["directory", "name"], "full_outer")
     same = (F.col("is_dir") == F.col("new_is_dir")) & (F.col("is_dir") | (F.col("size") == F.col("new_size"))) & (F.col("modified") == F.col("new_modified"))
     change = F.when(F.col("id").isNull(), "insert").when(F.col("new_is_dir").isNull(), "delete").when(~same, "update")
     found = both.withColumn("change", change).where("change is not null").select("directory", "name", "id", "change", "is_dir", "size", "modified", "new_is_dir", "new_size", "new_modified")
@@ -86,10 +88,10 @@ def reconcile(entries: DataFrame, paths: DataFrame, due: DataFrame, read: Callab
     tops = found.where("is_dir and (change = 'delete' or not new_is_dir)").select(join_path(F.col("directory"), F.col("name")).alias("top"))
     held = failed.select("directory", F.explode(F.concat(ancestors(F.col("directory")), F.array("directory"))).alias("top")).select("top").distinct()
     tops = tops.join(held, "top", "left_anti")
-    above = F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("top")
-    each = stored.select("id", "path", above)
-    below = each.join(tops, "top", "left_semi").where(F.col("path") != F.col("top")).select("id").unionByName(each.join(excluded.select(F.col("path").alias("top")), "top", "left_semi").select("id")).distinct()
-    gone = stored.join(below, "id", "left_semi").join(found.where("id is not null").select("id"), "id", "left_anti")
+    tops = save(tops.select(F.col("top").alias("owner")).distinct(), "tops")
+    outside = save(excluded.select(F.col("path").alias("owner")).distinct(), "excluded")
+    below = save(nearest(stored.select("id", F.col("directory").alias("path")), tops).select("id").unionByName(nearest(stored.select("id", "path"), outside).select("id")).distinct(), "below")
+    gone = matched(stored, below, "id", "inner").select(*stored.columns).join(found.where("id is not null").select("id"), "id", "left_anti")
     return found.unionByName(gone.select("directory", "name", "id", F.lit("delete").alias("change"), "is_dir", "size", "modified"), allowMissingColumns=True)
 
 
