@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import MoveRefused
 from ..schema import COLUMNS, ancestors, contains, last_component, parent_path
-from ..storage import save
+from ..storage import matched, save, spread
 from . import hierarchy
 
 
@@ -152,7 +152,10 @@ def relocate(entries: DataFrame, source: str, target: str, replace_empty: bool =
     if target == source or target.startswith(source.rstrip("/") + "/"):
         raise MoveRefused("A folder cannot be moved into itself.")
     paths = hierarchy.folder_paths(entries) if paths is None else paths
-    catalog = hierarchy.with_paths(entries, paths, "empty").where(F.col("path").isin(source, target, target.rsplit("/", 1)[0] or "/"))
+    places = {source, target, target.rsplit("/", 1)[0] or "/"}
+    up = F.broadcast(paths.where(F.col("path").isin(*{p.rsplit("/", 1)[0] or "/" for p in places})))  # three folders at most
+    near = entries.join(up.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi").select(*COLUMNS).unionByName(entries.where("parent = 0").select(*COLUMNS))
+    catalog = save(hierarchy.with_paths(near, up, "empty", few=True).where(F.col("path").isin(*places)), "places")
     moved = _at(catalog, source)
     there = catalog.where(F.col("path") == target).select("id", "is_dir").limit(1).collect()
     if there:
@@ -172,16 +175,17 @@ def rebuild(files: DataFrame) -> DataFrame:
 
     root: whether the row is an index root (its name is its whole path).
     """
+    files = save(files, "rebuilt")
     parents = files.where("is_dir").select(F.col("id").alias("parent"), F.col("path").alias("_up"))
-    rows = files.withColumn("_up", F.when(F.col("root"), F.lit(None)).otherwise(parent_path(F.col("path")))).join(parents, "_up", "left")
+    rows = matched(files.withColumn("_up", F.when(F.col("root"), F.lit(None)).otherwise(parent_path(F.col("path")))), parents, "_up")
     name = F.when(F.col("root"), F.when(F.col("path") == "/", "").otherwise(F.col("path"))).otherwise(last_component(F.col("path")))
     return rows.select("id", F.coalesce("parent", F.lit(0)).cast("long").alias("parent"), name.alias("name"), "is_dir", "size", "modified")
 
 
-def _merged(rows: DataFrame) -> DataFrame:
-    """One row per path: a folder beats a file, then the smaller ``side`` (the tree that stays), then the smaller id."""
+def _merged(rows: DataFrame, size: int) -> DataFrame:
+    """One row per path of ``size`` rows: a folder beats a file, then the smaller ``side`` (the tree that stays), then the smaller id; root: whether one is."""
     best = F.min(F.struct(~F.col("is_dir"), F.col("side"), F.col("id"), F.col("is_dir").alias("dir"), F.col("size"), F.col("modified")))
-    return rows.groupBy("path").agg(best.alias("b")).select("path", "b.id", F.col("b.dir").alias("is_dir"), "b.size", "b.modified")
+    return spread(rows, size, "path").groupBy("path").agg(best.alias("b"), F.bool_or(F.col("parent") == 0).alias("root")).select("path", "b.id", F.col("b.dir").alias("is_dir"), "b.size", "b.modified", "root")
 
 
 def merge_trees(entries: DataFrame, incoming: DataFrame, paths: DataFrame | None = None, incoming_paths: DataFrame | None = None) -> DataFrame:
@@ -194,10 +198,8 @@ def merge_trees(entries: DataFrame, incoming: DataFrame, paths: DataFrame | None
     trees = [(entries, paths), (incoming, incoming_paths)]
     sides = [hierarchy.with_paths(e, hierarchy.folder_paths(e) if p is None else p, "empty").where("path <> ''").withColumn("side", F.lit(k)) for k, (e, p) in enumerate(trees)]
     both = sides[0].unionByName(sides[1])
-    roots = both.where("parent = 0").select("path").distinct().withColumn("root", F.lit(True))
-    kept = _merged(both).join(roots, "path", "left").withColumn("root", F.coalesce("root", F.lit(False)))
     # a file that lost to a folder can hold nothing; what was below a file's path cannot exist
-    return rebuild(kept)
+    return rebuild(_merged(both, entries.count() + incoming.count()))
 
 
 def normalise_roots(roots: list[str]) -> list[str]:
@@ -218,10 +220,10 @@ def sync_roots(entries: DataFrame, roots: list[str], paths: DataFrame | None = N
     if not wanted:
         return entries.limit(0)
     table = spark.createDataFrame([(r,) for r in wanted], "holder string")
-    inside = hierarchy.owner(rows.withColumn("side", F.lit(0)), table).where("owner is not null")
-    kept = _merged(inside)
+    inside = rows.where(reduce(or_, [contains(F.lit(r), F.col("path")) for r in wanted]))
+    kept = save(_merged(inside.withColumn("side", F.lit(0)), entries.count()).drop("root"), "kept")
     zero = F.lit(0).cast("long")
-    missing = table.select(F.col("holder").alias("path")).join(kept.select("path"), "path", "left_anti")
+    missing = table.select(F.col("holder").alias("path")).join(kept.where(F.col("path").isin(*wanted)).select("path"), "path", "left_anti")
     made = allocate_ids(missing, entries, ["path"]).select("path", "id", F.lit(True).alias("is_dir"), zero.alias("size"), zero.alias("modified"))
     files = kept.unionByName(made)
     return rebuild(files.withColumn("root", F.col("path").isin(*wanted)))
