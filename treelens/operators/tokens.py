@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import new_folder, save
+from ..schema import is_ascii
+from ..storage import new_folder, save, tasks
 
 _CUT = r"[^\p{L}\p{N}]+"
 #: Bytes of a row group of the index: small, so that a range of words skips the others.
@@ -37,7 +38,8 @@ def _plain_letters() -> dict[str, str]:
 def fold(text: Column) -> Column:
     """Lower case, without diacritics, whether they are part of a letter or stand behind it."""
     letters = _plain_letters()
-    return F.regexp_replace(F.translate(F.lower(text), "".join(letters), "".join(letters.values())), r"\p{Mn}", "")
+    plain = F.lower(text)
+    return F.when(is_ascii(plain), plain).otherwise(F.regexp_replace(F.translate(plain, "".join(letters), "".join(letters.values())), r"\p{Mn}", ""))
 
 
 def words(text: str) -> list[str]:
@@ -95,7 +97,8 @@ class TokenIndex:
     def build(cls, entries: DataFrame) -> TokenIndex:
         """Words that very many names have are spread over several files by id."""
         spark, folder = entries.sparkSession, new_folder(entries.sparkSession, "tokens")
-        rows = _postings(entries).repartitionByRange("token", "id").sortWithinPartitions("token", "id", "position")
+        # a name has some words: four times its rows
+        rows = _postings(entries).repartitionByRange(tasks(spark, 4 * entries.count()), "token", "id").sortWithinPartitions("token", "id", "position")
         rows.write.option("parquet.block.size", ROW_GROUP).parquet(folder)
         return cls(spark.read.schema(rows.schema).parquet(folder))
 
