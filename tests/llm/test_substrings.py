@@ -91,3 +91,24 @@ def test_whole_lengths(spark):
     texts = [fresh(300) + a + fresh(200), "1" + a, fresh(100) + "2" + b + "3", "4" + b + "5" + fresh(500), own, own, fresh(2000)]
     found = {r.doc_id: r.n_removed for r in substrings.dedupe(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert found == {0: 400, 1: 400, 2: 0, 3: 0, 4: 900, 5: 900, 6: 0}
+
+
+def test_passages_of_over_fifty_words(spark):
+    """Shared passages of 51 to 90 words go, once they are 400 bytes; n_removed and n_spans tell them, n_bytes is the input's length."""
+    rnd = random.Random(51)
+    fresh = lambda n, letters: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(letters)) for _ in range(n))
+    texts, passages = [], []
+    for words, letters in [(51, 7), (64, 6), (90, 4), (51, 6), (60, 5)]:
+        passage = fresh(words, letters)
+        texts += [f"{fresh(n, 6)} {passage} {fresh(n // 2, 6)}" for n in (40, 80)]
+        passages += [passage] * 2
+    texts += [fresh(n, 6) for n in (60, 150, 400)]
+    passages += [None] * 3
+    found = {r.doc_id: r for r in substrings.dedupe(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    whole = [p is not None and len(p) >= 400 for p in passages]
+    assert whole == [True] * 6 + [False] * 7
+    for i, (text, passage) in enumerate(zip(texts, passages)):
+        kept = found[i].kept.decode()
+        assert found[i].n_bytes == len(text) and found[i].n_removed == len(text) - len(kept)
+        assert found[i].n_spans == (1 if whole[i] else 0)
+        assert kept.startswith(text[:200]) and passage not in kept if whole[i] else kept == text
