@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from treelens.llm import induced, substrings
@@ -112,3 +113,28 @@ def test_passages_of_over_fifty_words(spark):
         assert found[i].n_bytes == len(text) and found[i].n_removed == len(text) - len(kept)
         assert found[i].n_spans == (1 if whole[i] else 0)
         assert kept.startswith(text[:200]) and passage not in kept if whole[i] else kept == text
+
+
+def test_copies_are_marked_without_sorting(monkeypatch):
+    """Segments that stand more than once are marked as a whole; they are sorted, once, only beside others that stand once."""
+    rnd = random.Random(8)
+    fresh = lambda n: bytes(rnd.choice(b"abcdefgh") for _ in range(n))
+    shared = fresh(30)
+    rows = [
+        (1, b"two", fresh(50), 2), (1, b"many", fresh(70), 9),  # copies alone
+        (2, b"once", b"x" + shared + b"y", 1), (2, b"copied", b"z" + shared + fresh(10), 3),
+        (3, b"single", fresh(25), 1),
+    ]
+    sorted_bytes = []
+    whole = induced.repeats
+    monkeypatch.setattr(induced, "repeats", lambda text, *more: sorted_bytes.append(len(text)) or whole(text, *more))
+
+    class Shards:
+        def mapInPandas(self, run, schema):  # noqa: N802
+            frame = pd.DataFrame(rows, columns=["shard", "segment", "content", "n"])
+            return list(run(iter([frame[:2], frame[2:3], frame[3:]])))
+
+    found = pd.concat(substrings._mark(Shards(), 20, 1 << 20, 1 << 20))
+    marks = sorted(found[["segment", "low", "high"]].itertuples(index=False, name=None))
+    assert marks == [(b"copied", 0, 21), (b"many", 0, 50), (b"once", 1, 11), (b"two", 0, 30)]
+    assert sorted_bytes == [33 + 42 + 26]
