@@ -204,7 +204,9 @@ class Transaction:
 
     def _write_base(self, entries: DataFrame) -> None:
         n = self.next
-        n.base = self._write(clustered(entries), "rows")
+        given = storage.save(entries, "entries")
+        n.base = self._write(clustered(given), "rows")
+        storage.drop(given)
         rows = self.store.read(n.base, _ROWS)
         n.base_rows, n.base_bytes = rows.count(), storage.bytes_below(self.spark, f"{self.store.folder}/{n.base}")
         index = TokenIndex.build(rows)
